@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from .decontaminate import op1_decontamination
+from .simhash import op7_simhash
 
 QUERIES = {
     "op1_decontamination": op1_decontamination,
+    "op7_simhash": op7_simhash,
 }
 
 ORACLE_SQL: dict[str, str] = {}
