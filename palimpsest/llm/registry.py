@@ -3,11 +3,17 @@
 from __future__ import annotations
 
 from .decontaminate import op1_decontamination
+from .exactdedup import OP8_SQL, op8_exact_dedup
+from .mixing import op4_mixing
 from .simhash import op7_simhash
 
 QUERIES = {
     "op1_decontamination": op1_decontamination,
+    "op4_mixing": op4_mixing,
     "op7_simhash": op7_simhash,
+    "op8_exact_dedup": op8_exact_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {
+    "op8_exact_dedup": OP8_SQL,
+}
