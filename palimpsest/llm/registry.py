@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .decontaminate import op1_decontamination
 from .exactdedup import OP8_SQL, op8_exact_dedup
+from .linededup import OP10_SQL, op10_line_dedup
 from .mixing import op4_mixing
 from .simhash import op7_simhash
 
@@ -12,8 +13,10 @@ QUERIES = {
     "op4_mixing": op4_mixing,
     "op7_simhash": op7_simhash,
     "op8_exact_dedup": op8_exact_dedup,
+    "op10_line_dedup": op10_line_dedup,
 }
 
 ORACLE_SQL = {
     "op8_exact_dedup": OP8_SQL,
+    "op10_line_dedup": OP10_SQL,
 }
