@@ -7,7 +7,9 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -79,11 +81,9 @@ def fold_ascii(text: Column) -> Column:
 
 def batches_of(batches: Iterator[pa.RecordBatch], rows: int, size: int, column: str) -> Iterator[pa.RecordBatch]:
     """Splits Arrow batches so that each holds at most `rows` rows and about `size` bytes of `column`."""
-    import numpy as np
-
     for batch in batches:
         text = batch.column(batch.schema.get_field_index(column))
-        ends = np.concatenate(([0], np.cumsum(np.asarray(pa.compute.fill_null(pa.compute.binary_length(text), 0), dtype=np.int64))))
+        ends = np.concatenate(([0], np.cumsum(np.asarray(pc.fill_null(pc.binary_length(text), 0), dtype=np.int64))))
         at, n = 0, batch.num_rows
         while at < n:
             to = int(np.searchsorted(ends, ends[at] + size, side="right")) - 1

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from .decontaminate import op1_decontamination
 from .exactdedup import OP8_SQL, op8_exact_dedup
+from .language import op3_language_id
 from .linededup import OP10_SQL, op10_line_dedup
 from .mixing import op4_mixing
 from .simhash import op7_simhash
 
 QUERIES = {
     "op1_decontamination": op1_decontamination,
+    "op3_language_id": op3_language_id,
     "op4_mixing": op4_mixing,
     "op7_simhash": op7_simhash,
     "op8_exact_dedup": op8_exact_dedup,
