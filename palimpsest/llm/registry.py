@@ -8,17 +8,22 @@ from .language import op3_language_id
 from .linededup import OP10_SQL, op10_line_dedup
 from .mixing import op4_mixing
 from .simhash import op7_simhash
+from .tokens import op5_token_output
+from .warc import OP6_SQL, op6_warc
 
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op3_language_id": op3_language_id,
     "op4_mixing": op4_mixing,
+    "op5_token_output": op5_token_output,
+    "op6_warc": op6_warc,
     "op7_simhash": op7_simhash,
     "op8_exact_dedup": op8_exact_dedup,
     "op10_line_dedup": op10_line_dedup,
 }
 
 ORACLE_SQL = {
+    "op6_warc": OP6_SQL,
     "op8_exact_dedup": OP8_SQL,
     "op10_line_dedup": OP10_SQL,
 }
