@@ -7,12 +7,14 @@ from .exactdedup import OP8_SQL, op8_exact_dedup
 from .language import op3_language_id
 from .linededup import OP10_SQL, op10_line_dedup
 from .mixing import op4_mixing
+from .ngramscore import OP2_SQL, op2_lm_score
 from .simhash import op7_simhash
 from .tokens import op5_token_output
 from .warc import OP6_SQL, op6_warc
 
 QUERIES = {
     "op1_decontamination": op1_decontamination,
+    "op2_lm_score": op2_lm_score,
     "op3_language_id": op3_language_id,
     "op4_mixing": op4_mixing,
     "op5_token_output": op5_token_output,
@@ -23,6 +25,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op2_lm_score": OP2_SQL,
     "op6_warc": OP6_SQL,
     "op8_exact_dedup": OP8_SQL,
     "op10_line_dedup": OP10_SQL,
