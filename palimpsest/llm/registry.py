@@ -8,6 +8,7 @@ from .language import op3_language_id
 from .linededup import OP10_SQL, op10_line_dedup
 from .mixing import op4_mixing
 from .ngramscore import OP2_SQL, op2_lm_score
+from .secretscan import op9_secret_scan
 from .simhash import op7_simhash
 from .tokens import op5_token_output
 from .warc import OP6_SQL, op6_warc
@@ -21,6 +22,7 @@ QUERIES = {
     "op6_warc": op6_warc,
     "op7_simhash": op7_simhash,
     "op8_exact_dedup": op8_exact_dedup,
+    "op9_secret_scan": op9_secret_scan,
     "op10_line_dedup": op10_line_dedup,
 }
 
