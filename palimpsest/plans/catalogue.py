@@ -1,6 +1,8 @@
-"""The queries of the retrieval library and their SQL."""
+"""All queries of the retrieval library and their SQL."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from . import retrieval  # noqa: F401  modules register their queries as they are imported
+from .base import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
