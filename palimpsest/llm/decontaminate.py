@@ -66,8 +66,9 @@ class Suffixes:
 
     def __init__(self, items: list[tuple[str, list[bytes]]], width: int):
         self.width = width
+        items = [(i, words) for i, words in items if words]
         self.code = {w: k + 1 for k, w in enumerate(sorted({w for _, words in items for w in words}))}
-        self.items = sorted({i for i, words in items if words})
+        self.items = sorted({i for i, _ in items})
         order = {i: k for k, i in enumerate(self.items)}
         codes, item, pos, left = [], [], [], []
         for i, words in items:
