@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .text import blank
 
@@ -46,7 +47,7 @@ def _first_object(text: str | None) -> str | None:
     return None
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def balanced_object(texts: pd.Series) -> pd.Series:
     """The first balanced JSON object of dirty text. Counting braces is beyond regular expressions."""
     return texts.map(_first_object)
@@ -117,7 +118,7 @@ def usage_objects(value: object) -> Iterator[dict]:
             yield from usage_objects(inner)
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def usages(texts: pd.Series) -> pd.Series:
     """The usage objects of a JSON record at any depth, as JSON. Recursion is beyond fixed paths."""
     import json

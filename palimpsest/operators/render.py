@@ -53,12 +53,18 @@ def search_text(text: Column, timestamp: Column, location: Column, subject: Colu
 def search_record(df: DataFrame, rich: bool = False) -> DataFrame:
     """(id, type, ts, city, text[, detail]): the compact record of an item, for the search tool."""
     text = F.concat_ws(" ", filled("short_caption"), filled("caption"), filled(F.array_join("tags", " ")), filled(F.array_join(F.transform("entities", lambda e: e["entity"]), " ")), filled("location_name"), filled(F.left("ocr_text", F.lit(600))))
-    out = df.select(F.col("item_id").alias("id"), F.col("modality").alias("type"), F.left(blank("timestamp"), F.lit(16)).alias("ts"), blank("city").alias("city"), text.alias("text"), "*")
+    out = df.select(F.col("item_id").alias("id"), F.col("modality").alias("type"), F.left(blank("timestamp"), F.lit(16)).alias("ts"), blank("city").alias("city"), text.alias("text"), *_detail(rich))
+    return out.where(blank(F.col("id").cast("string")) != "")
+
+
+def _detail(rich: bool) -> list[Column]:
+    if not rich:
+        return []
     detail = F.struct(
         F.left(blank("short_caption"), F.lit(160)).alias("short_caption"), F.left(blank("caption"), F.lit(400)).alias("caption"), F.left(blank("ocr_text"), F.lit(600)).alias("ocr_text"),
         F.slice("tags", 1, 10).alias("tags"), F.slice("entities", 1, 10).alias("entities"),
     )
-    return out.select("id", "type", "ts", "city", "text", *([detail.alias("detail")] if rich else [])).where("id <> ''")
+    return [detail.alias("detail")]
 
 
 def evidence_blocks(ranked: DataFrame, texts: DataFrame, most: int, length: int | None = None) -> DataFrame:

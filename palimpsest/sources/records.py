@@ -195,6 +195,9 @@ def video_metadata(probe: Column) -> Column:
     )
 
 
+EXIF = T.StructType([T.StructField("timestamp", T.StringType()), T.StructField("device", T.StringType()), T.StructField("lat", T.DoubleType()), T.StructField("lon", T.DoubleType())])
+
+
 def _exif(content: bytes) -> dict:
     """Timestamp, model and place of a JPEG's EXIF block, by the tags of the TIFF format."""
     import struct
@@ -238,7 +241,7 @@ def _exif(content: bytes) -> dict:
     return {"timestamp": inner.get(0x9003) or first.get(0x0132), "device": first.get(0x0110), "lat": degrees(2, 1), "lon": degrees(4, 3)}
 
 
-@F.pandas_udf("timestamp string, device string, lat double, lon double")
+@F.pandas_udf(EXIF)
 def image_metadata(content: pd.Series) -> pd.DataFrame:
     """EXIF of image files. Binary structures are beyond column functions."""
     return pd.DataFrame([_exif(c or b"") for c in content], columns=["timestamp", "device", "lat", "lon"])
