@@ -121,7 +121,7 @@ def is_abstention(c: Column | str) -> Column:
 def split_list(c: Column | str) -> Column:
     """The normalised items of a written list."""
     parts = F.split(blank(c), r"(?i)\s*(?:,|;|\band\b|/)\s*")
-    return F.transform(F.filter(F.transform(parts, F.trim), lambda x: x != ""), normalize_text)
+    return F.transform(F.filter(F.transform(parts, lambda x: F.trim(x)), lambda x: x != ""), normalize_text)
 
 
 def number_words(c: Column | str) -> Column:
@@ -193,7 +193,7 @@ def trimmed(c: Column | str, most: int) -> Column:
 
 def clean_city(c: Column | str) -> Column:
     """`City, Country` from a city field that may hold several lines."""
-    lines = F.filter(F.transform(F.split(F.trim(blank(c)), "\n"), F.trim), lambda x: x != "")
+    lines = F.filter(F.transform(F.split(F.trim(blank(c)), "\n"), lambda x: F.trim(x)), lambda x: x != "")
 
     def after(mark: str) -> Column:
         return F.try_element_at(F.transform(F.filter(lines, lambda x: F.lower(x).startswith(mark)), lambda x: F.trim(F.regexp_replace(x, "^[^:]*:", ""))), F.lit(-1))
@@ -205,7 +205,7 @@ def clean_city(c: Column | str) -> Column:
 
 def parse_tags(c: Column | str) -> Column:
     """Lower-case tags of more than one character, each once."""
-    parts = F.transform(F.split(F.lower(blank(c)), ","), F.trim)
+    parts = F.transform(F.split(F.lower(blank(c)), ","), lambda x: F.trim(x))
     return F.array_distinct(F.filter(parts, lambda t: F.length(t) > 1))
 
 
@@ -262,5 +262,5 @@ def html_title(html: Column | str) -> Column:
 def attachment_names(c: Column | str) -> Column:
     """File names of attachment lines, longer than three characters, each once."""
     found = F.regexp_extract_all(blank(c), F.lit(r"(?im)^\s*attachments?:\s*(.+)$"), F.lit(1))
-    names = F.flatten(F.transform(found, lambda x: F.transform(F.split(x, "[,;]"), F.trim)))
+    names = F.flatten(F.transform(found, lambda x: F.transform(F.split(x, "[,;]"), lambda x: F.trim(x))))
     return F.array_distinct(F.filter(names, lambda x: F.length(x) > 3))

@@ -244,7 +244,8 @@ def _exif(content: bytes) -> dict:
 @F.pandas_udf(EXIF)
 def image_metadata(content: pd.Series) -> pd.DataFrame:
     """EXIF of image files. Binary structures are beyond column functions."""
-    return pd.DataFrame([_exif(c or b"") for c in content], columns=["timestamp", "device", "lat", "lon"])
+    out = pd.DataFrame([_exif(c or b"") for c in content], columns=["timestamp", "device", "lat", "lon"])
+    return out.astype({"timestamp": object, "device": object, "lat": float, "lon": float})
 
 
 def media_rows(spark: SparkSession, path: str) -> DataFrame:

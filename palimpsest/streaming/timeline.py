@@ -51,6 +51,8 @@ def open_events(stream: DataFrame, gap_days: int = 2, late: str = "1 day") -> Da
             state.remove()
         else:
             now = list(state.get) if state.exists else None
+            if now is not None:
+                now[:2] = map(pd.Timestamp, now[:2])
             rows = pd.concat(list(parts)).sort_values("ts")
             for ts, city in zip(rows["ts"], rows["event_type"], strict=True):
                 if now is not None and (ts.normalize() - now[1].normalize()).days <= gap_days and city == now[2]:
