@@ -84,7 +84,9 @@ def exact_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     named = identities(docs, scratch, text_col=text_col, block=block)
     rows = docs.select(F.col(id_col).alias("id"), F.unhex(F.sha2(fold_ascii(F.col(text_col)), 256)).alias("sha"))
     rows = scratch.write(rows, "rows").join(named, "sha").select("id", "sha", "level", "name")
+    rows = scratch.write(rows, "named")
     size = rows.groupBy("level", "name").agg(F.max("id").alias("keep_id"), F.count("*").alias("group_size"))
+    size = scratch.write(size, "sizes")  # a plain table, so that Spark can split a large group in the join
     out = rows.join(size, ["level", "name"])
     return out.select("id", "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
 
