@@ -179,7 +179,8 @@ def lines_to_drop(docs: DataFrame, scratch: Scratch, *, min_length: int = MIN_LE
     suspects = scratch.write(docs.select("id", "text").mapInArrow(_suspects(shared, shards, min_length), schema), "suspects")
     holders = suspects.groupBy("key", "id").agg(F.lit(1).alias("one"))
     often = holders.groupBy("key").agg(F.count("*").alias("n"), F.max("id").alias("keeper")).where(F.col("n") >= min_docs)
-    drop = suspects.join(often.select("key", "keeper"), "key").where(~F.col("id").eqNullSafe(F.col("keeper")))
+    often = scratch.write(often.select("key", "keeper"), "often")  # a plain table, so that Spark can split a frequent line in the join
+    drop = suspects.join(often, "key").where(~F.col("id").eqNullSafe(F.col("keeper")))
     return drop.groupBy("id").agg(F.collect_set("key").alias("keys"))  # no more than the document's own lines
 
 
