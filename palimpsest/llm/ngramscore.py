@@ -98,33 +98,29 @@ def _grams(hashes: np.ndarray, seq: np.ndarray, sizes: np.ndarray) -> tuple[np.n
     return one, two, first
 
 
-def _blocks(buckets: int, block_words: int):
-    """Rows (block, bucket, data, counts, ids): the packs of a block, and under bucket -1 its word sequence."""
+def _distinct(row: dict, buckets: int) -> tuple[np.ndarray, ...]:
+    """The n-grams of a block in the order of bucket and hash, their counts and buckets, and its positions' n-grams."""
+    one, two, first = _grams(_unpack(row["hashes"], "<u8"), _unpack(row["seq"], "<i4"), np.array(row["sizes"], np.int64))
+    grams, counts = np.unique(np.concatenate((one, two[~first])), return_counts=True)
+    bucket = (grams % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    return grams[order], counts[order], bucket[order], one, two, first
 
-    def rows_of(block: Block, number: int) -> pa.RecordBatch:
+
+def _sequences(block_words: int):
+    """(block, ids, sizes, seq, hashes): the documents of a block, their numbers of words, and all words in turn."""
+
+    def row_of(block: Block, number: int) -> pa.RecordBatch:
         hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, block.number), np.uint64, len(block.number))
         seq = np.concatenate(block.parts) if block.parts else np.zeros(0, np.int32)
-        sizes = np.array(block.sizes, np.int64)
-        one, two, first = _grams(hashes, seq, sizes)
-        grams, counts = np.unique(np.concatenate((one, two[~first])), return_counts=True)
-        bucket = (grams % np.uint64(buckets)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        ids, starts = np.unique(bucket[order], return_index=True)
-        out = [(-1, _pack(seq), zstandard.compress(hashes.tobytes(), 1), list(zip(block.ids, block.sizes, strict=True)))]
-        for b, lo, hi in zip(ids.tolist(), starts.tolist(), [*starts[1:].tolist(), len(order)], strict=True):
-            mine = order[lo:hi]
-            out.append((b, _pack(_deltas(grams[mine])), _pack(counts[mine].astype("<u4")), None))
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array([number] * len(out), pa.int64()),
-                pa.array([x[0] for x in out], pa.int64()),
-                pa.array([x[1] for x in out], pa.binary()),
-                pa.array([x[2] for x in out], pa.binary()),
-                pa.array([None if x[3] is None else [i for i, _ in x[3]] for x in out], pa.list_(pa.int64())),
-                pa.array([None if x[3] is None else [n for _, n in x[3]] for x in out], pa.list_(pa.int64())),
-            ],
-            ["block", "bucket", "data", "counts", "ids", "sizes"],
-        )
+        arrays = [
+            pa.array([number], pa.int64()),
+            pa.array([block.ids], pa.list_(pa.int64())),
+            pa.array([block.sizes], pa.list_(pa.int64())),
+            pa.array([_pack(seq)], pa.binary()),
+            pa.array([_pack(hashes)], pa.binary()),
+        ]
+        return pa.RecordBatch.from_arrays(arrays, ["block", "ids", "sizes", "seq", "hashes"])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -135,16 +131,36 @@ def _blocks(buckets: int, block_words: int):
                 data = text.as_buffer()
                 block.add(id_, b"" if data is None else data.to_pybytes())
                 if block.words >= block_words or len(block.ids) >= block_words:
-                    yield rows_of(block, number)
+                    yield row_of(block, number)
                     number, block = number + 1, Block()
         if block.ids:
-            yield rows_of(block, number)
+            yield row_of(block, number)
+
+    return scan
+
+
+def _packs(buckets: int):
+    """(block, bucket, data, counts): the n-grams of a block by bucket."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in (batch.slice(k, 1).to_pylist()[0] for k in range(batch.num_rows)):
+                grams, counts, bucket, *_ = _distinct(row, buckets)
+                ids, starts = np.unique(bucket, return_index=True)
+                spans = list(zip(starts.tolist(), [*starts[1:].tolist(), len(grams)], strict=True)) if len(ids) else []
+                arrays = [
+                    pa.array([row["block"]] * len(ids), pa.int64()),
+                    pa.array(ids, pa.int64()),
+                    pa.array([_pack(_deltas(grams[lo:hi])) for lo, hi in spans], pa.binary()),
+                    pa.array([_pack(counts[lo:hi].astype("<u4")) for lo, hi in spans], pa.binary()),
+                ]
+                yield pa.RecordBatch.from_arrays(arrays, ["block", "bucket", "data", "counts"])
 
     return scan
 
 
 def _totals(bucket):
-    """Adds up the packs of a bucket and gives each its totals: (block, bucket, data, totals)."""
+    """Adds up the packs of a bucket and gives each its totals, in its own order: (block, bucket, totals)."""
     parts = [(b.as_py(), d.as_py(), c.as_py()) for b, d, c in zip(bucket.column("block"), bucket.column("data"), bucket.column("counts"), strict=True)]
     grams = [_undeltas(_unpack(d, np.uint8)) for _, d, _ in parts]
     counts = [_unpack(c, "<u4").astype(np.int64) for _, _, c in parts]
@@ -153,7 +169,7 @@ def _totals(bucket):
     np.add.at(total, place, np.concatenate(counts))
     ends = np.cumsum([0, *map(len, grams)])
     packed = [_pack(total[place[a:b]].astype("<i8").view(np.uint8).reshape(-1, 8).T) for a, b in zip(ends[:-1], ends[1:], strict=True)]
-    return pa.table({"block": pa.array([p[0] for p in parts], pa.int64()), "data": pa.array([p[1] for p in parts], pa.binary()), "totals": pa.array(packed, pa.binary())})
+    return pa.table({"block": pa.array([p[0] for p in parts], pa.int64()), "bucket": bucket.column("bucket"), "totals": pa.array(packed, pa.binary())})
 
 
 def _own_counts(doc: np.ndarray, place: np.ndarray) -> np.ndarray:
@@ -162,30 +178,26 @@ def _own_counts(doc: np.ndarray, place: np.ndarray) -> np.ndarray:
     return count[inverse]
 
 
-def _score(words: int, alpha: float):
+def _score(words: int, buckets: int, alpha: float):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(batch.num_rows):
-                row = {n: batch.column(j)[k] for j, n in enumerate(batch.schema.names)}
-                ids, sizes = row["ids"].values, np.array(row["sizes"].as_py(), np.int64)
-                packs = row["packs"].as_py() or []
-                grams = [_undeltas(_unpack(p["data"], np.uint8)) for p in packs]
+            for row in (batch.slice(k, 1).to_pylist()[0] for k in range(batch.num_rows)):
+                ids, sizes = pa.array(row["ids"], pa.int64()), np.array(row["sizes"], np.int64)
+                grams, _, _, one, two, first = _distinct(row, buckets)
+                packs = sorted(row["packs"] or [], key=lambda p: p["bucket"])
                 totals = [np.ascontiguousarray(_unpack(p["totals"], np.uint8).reshape(8, -1).T).reshape(-1).view("<i8") for p in packs]
-                grams = np.concatenate(grams) if grams else np.zeros(0, np.uint64)
                 totals = np.concatenate(totals) if totals else np.zeros(0, np.int64)
                 order = np.argsort(grams)
                 grams, totals = grams[order], totals[order]
-                seq = _unpack(row["data"].as_py(), "<i4")
-                one, two, first = _grams(_unpack(row["counts"].as_py(), "<u8"), seq, sizes)
                 doc = np.repeat(np.arange(len(sizes)), sizes)
                 at1 = np.searchsorted(grams, one)
                 c1 = totals[at1] - _own_counts(doc, at1)
-                c2 = np.zeros(len(seq), np.int64)
+                c2 = np.zeros(len(one), np.int64)
                 rest = np.flatnonzero(~first)
                 at2 = np.searchsorted(grams, two[rest])
                 c2[rest] = totals[at2] - _own_counts(doc[rest], at2)
                 n = np.maximum(words - sizes, 1)[doc]
-                before = np.ones(len(seq), np.int64)
+                before = np.ones(len(one), np.int64)
                 before[1:] = c1[:-1]
                 seen = c2 > 0
                 weight = np.where(first, 1.0, alpha)
@@ -208,15 +220,15 @@ def backoff_scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     scratch = Scratch(spark, "ngrams")
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    schema = "block long, bucket long, data binary, counts binary, ids array<long>, sizes array<long>"
-    packs = scratch.write(rows.mapInArrow(_blocks(buckets, block_words), schema), "packs", compression="none")
-    here = packs.where("bucket < 0")
-    words = here.agg(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, n: a + n))).first()[0] or 0
-    found = packs.where("bucket >= 0").select("block", "bucket", "data", "counts").groupBy("bucket").applyInArrow(_totals, "block long, data binary, totals binary")
-    found = found.groupBy("block").agg(F.collect_list(F.struct("data", "totals")).alias("packs"))  # one block's own n-grams
-    both = here.join(found, "block", "left").select("ids", "sizes", "data", "counts", "packs")
+    blocks = rows.mapInArrow(_sequences(block_words), "block long, ids array<long>, sizes array<long>, seq binary, hashes binary")
+    blocks = scratch.write(blocks, "sequences", compression="none")
+    words = blocks.agg(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, n: a + n))).first()[0] or 0
+    packs = blocks.select("block", "sizes", "seq", "hashes").mapInArrow(_packs(buckets), "block long, bucket long, data binary, counts binary")
+    found = packs.groupBy("bucket").applyInArrow(_totals, "block long, bucket long, totals binary")
+    found = found.groupBy("block").agg(F.collect_list(F.struct("bucket", "totals")).alias("packs"))  # one block's own n-grams
+    both = blocks.join(found, "block", "left")
     out = T.StructType([T.StructField("id", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("n_backoff", T.LongType()), T.StructField("log_score", T.DoubleType()), T.StructField("mean_score", T.DoubleType())])
-    return both.mapInArrow(_score(words, alpha), out)
+    return both.mapInArrow(_score(words, buckets, alpha), out)
 
 
 def op2_lm_score(spark, sf_dir: str) -> DataFrame:
