@@ -49,13 +49,15 @@ def remove(spark: SparkSession, path: str) -> None:
 class Scratch:
     """Written tables of one operator call. They outlive lost executors, unlike cached blocks.
 
-    A table is dropped once a later one replaces it; what the returned DataFrame still reads stays.
+    A table is dropped once a later one replaces it; what the returned DataFrame still reads stays until the
+    application ends.
     """
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         self.root = f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
         self.made = 0
+        atexit.register(_remove_quietly, spark, self.root)
 
     def path(self, name: str) -> str:
         self.made += 1
@@ -73,6 +75,14 @@ class Scratch:
             remove(self.spark, path)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that the table does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def fold_ascii(text: Column) -> Column:
     """Lower-cases A-Z and nothing else; null counts as empty."""
     text = F.coalesce(text, F.lit(""))

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, table
+from .common import Scratch, fresh, table
 
 WIDTH = 10
 SHARD_WORDS = 1 << 20
@@ -364,8 +364,9 @@ def find_matches(
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The rows of `docs` in which no benchmark window occurs, with the columns of `docs`."""
-    found = find_matches(docs, benchmark, keep_text=True, out="_found", **options)
-    return found.where(F.size("_found.items") == 0).select(*[F.col(f"`{c}`") for c in docs.columns])
+    out = fresh(docs, "_found")
+    found = find_matches(docs, benchmark, keep_text=True, out=out, **options)
+    return found.where(F.size(f"{out}.items") == 0).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op1_decontamination(spark, sf_dir: str) -> DataFrame:

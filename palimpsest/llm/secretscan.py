@@ -27,7 +27,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, table
+from .common import Scratch, fresh, table
 
 LEAST = 16
 LABELLED_ROWS = 20_000
@@ -159,9 +159,10 @@ def scan_secrets(docs: DataFrame, *, findings: DataFrame | None = None, id_col:
 
 def redact(docs: DataFrame, found: DataFrame, *, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text", mark: str = "[secret]") -> DataFrame:
     """`docs` with each secret of `found` replaced by `mark`; documents without one are as they were."""
-    secrets = found.where(F.col("probability") >= threshold).groupBy(F.col("id").alias("_id")).agg(F.sort_array(F.collect_set("value"), asc=False).alias("_values"))
-    rows = docs.join(secrets, F.col(id_col).eqNullSafe(F.col("_id")), "left")
-    clean = F.aggregate(F.coalesce("_values", F.array().cast("array<string>")), F.col(f"`{text_col}`"), lambda t, v: F.replace(t, v, F.lit(mark)))
+    key, values = fresh(docs, "_id"), fresh(docs, "_values")
+    secrets = found.where(F.col("probability") >= threshold).groupBy(F.col("id").alias(key)).agg(F.sort_array(F.collect_set("value"), asc=False).alias(values))
+    rows = docs.join(secrets, F.col(id_col).eqNullSafe(F.col(key)), "left")
+    clean = F.aggregate(F.coalesce(values, F.array().cast("array<string>")), F.col(f"`{text_col}`"), lambda t, v: F.replace(t, v, F.lit(mark)))
     return rows.select(*[clean.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])
 
 

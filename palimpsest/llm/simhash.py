@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, connected_components, table
+from .common import Scratch, connected_components, fresh, table
 
 SHINGLE = 3
 DISTANCE = 2
@@ -161,7 +161,8 @@ def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFr
     """One row of each group stays: that with the smallest id, of repeated rows with that id one."""
     found = near_duplicates(docs, id_col=id_col, **options)
     keep = found.where(F.col("id").eqNullSafe(F.col("component_id"))).select("id", "component_id").distinct()
-    kept = docs.join(keep.select(F.col("id").alias("_keep")), F.col(id_col).eqNullSafe(F.col("_keep")), "left_semi")
+    name = fresh(docs, "_keep")
+    kept = docs.join(keep.select(F.col("id").alias(name)), F.col(id_col).eqNullSafe(F.col(name)), "left_semi")
     return kept.dropDuplicates([id_col])
 
 

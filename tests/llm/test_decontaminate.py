@@ -82,3 +82,9 @@ def test_query_on_the_table(spark, sf):
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
     want = d.brute_force(docs, items)
     assert {r.doc_id: (r.n_words, r.n_hit, r.items_sha256, r.contaminated) for r in rows} == {i: (w[0], w[1], w[3], w[1] > 0) for i, w in want.items()}
+
+
+def test_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "a b", "x")], "doc_id long, text string, _found string")
+    out = d.decontaminate(docs, spark.createDataFrame([(1, "c")], "item_id long, text string"))
+    assert [tuple(r) for r in out.collect()] == [(1, "a b", "x")]
