@@ -26,6 +26,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -35,7 +36,7 @@ from .common import batches_of, table
 LENGTH = 400
 UNKNOWN = "und"
 #: Characters of a batch that are counted together.
-BATCH_CHARS = 1 << 20
+BATCH_CHARS = 1 << 19
 BATCH_ROWS = 4096
 #: Bits of a letter's code within a batch. Letters past the last code, in the order of code points, share it.
 BITS = 16
@@ -150,7 +151,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for o, g, c in zip(got.owner.tolist(), got.names(got.gram), got.count.tolist(), strict=True):
                 key = (known[o], g)
                 total[key] = total.get(key, 0) + c
-        if len(total) > 500_000:
+        if len(total) > 200_000:
             yield flush()
     if total:
         yield flush()
@@ -218,11 +219,22 @@ def _added(parts: list[Counted], n: int) -> Counted:
     return out
 
 
-def _predict(shared, length: int, column: str, keep: list[str]):
+def _portions(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
+    """The batch, whose first column is a struct with the text, in portions of bounded size."""
+    sizes = np.asarray(pc.fill_null(pc.binary_length(pc.struct_field(batch.column(0), column)), 0), np.int64)
+    ends = np.concatenate(([0], np.cumsum(sizes)))
+    at = 0
+    while at < batch.num_rows:
+        to = max(at + 1, min(at + BATCH_ROWS, int(np.searchsorted(ends, ends[at] + 4 * BATCH_CHARS, "right")) - 1))
+        yield batch.slice(at, to - at)
+        at = to
+
+
+def _predict(shared, length: int, column: str):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         profiles = Profiles(shared.value, length)
-        for batch in batches_of(batches, BATCH_ROWS, 4 * BATCH_CHARS, column):
-            texts = batch.column(batch.schema.get_field_index(column)).to_pylist()
+        for batch in (part for whole in batches for part in _portions(whole, column)):
+            texts = pc.struct_field(batch.column(0), column).to_pylist()
             langs, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
             split: dict[int, list[Counted]] = {}
             for part, who in _pieces(texts):
@@ -238,7 +250,7 @@ def _predict(shared, length: int, column: str, keep: list[str]):
                     langs[who[k]], scores[who[k]] = lang, score
             for n, parts in split.items():
                 (langs[n],), (scores[n],) = profiles.nearest(_added(parts, 0), 1)
-            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in keep), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*keep, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["row", "lang_pred", "score"])
 
     return scan
 
@@ -250,9 +262,9 @@ def identify(docs: DataFrame, profiles: DataFrame, *, text_col: str = "text", le
     """
     rows = [(r["lang"], r["rank"], r["gram"]) for r in profiles.select("lang", "rank", "gram").collect()]
     shared = docs.sparkSession.sparkContext.broadcast(rows)
-    packed = docs.select(F.col(f"`{text_col}`").alias("text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     schema = T.StructType([packed.schema["row"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return packed.mapInArrow(_predict(shared, length, "text", ["row"]), schema)
+    return packed.mapInArrow(_predict(shared, length, text_col), schema)
 
 
 def held_out(id_col: str = "doc_id"):
