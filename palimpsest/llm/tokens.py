@@ -7,7 +7,7 @@ document ids; `part` is its place in the order and `local_start` counts ids with
 of a document needs one sum for each file only.
 
 The tokenizer drops white space and no token crosses it, so a text is cut at ASCII white space and each
-distinct piece is encoded once a task; pieces are remembered up to `REMEMBERED`.
+distinct piece is encoded once; the first `REMEMBERED` of a Python worker are kept, further ones are encoded again.
 
 Defined results
     null text       is encoded as the empty text: the end id alone
@@ -21,9 +21,11 @@ Defined results
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from functools import cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +36,9 @@ from pyspark.sql import types as T
 from .common import Scratch, batches_of, table
 
 END_ID = 2
-REMEMBERED = 1 << 20
+REMEMBERED = 900_000
+#: A piece that ends in punctuation after an ASCII letter or digit, or a letter from U+00C0 to U+00FF.
+PUNCTUATED = re.compile(rb"(.*(?:[A-Za-z0-9]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]))([.,;:!?]+)", re.DOTALL)
 LONG_PIECE = 64
 ROW_GROUP_BYTES = 32 << 20
 PAGE_BYTES = 64 << 10
@@ -56,34 +60,95 @@ def _tokenizer(path: str):
 
 
 class Encoder:
-    """Encodes texts to the bytes of little-endian unsigned 32-bit ids."""
+    """Encodes texts to the bytes of little-endian unsigned 32-bit ids.
+
+    Pieces between ASCII white space are remembered from task to task. New ones are encoded many at a time,
+    parted by a special token, which no other piece holds. A tokenizer to which white space matters, or one
+    without such a token, gets whole texts.
+    """
 
     def __init__(self, path: str):
         self.tokenizer = _tokenizer(path)
         self.known: dict[bytes, bytes] = {}
+        specials = self.tokenizer.get_added_tokens_decoder().items()
+        plain = [(i, t.content) for i, t in specials if t.special and not (t.normalized or t.lstrip or t.rstrip or t.single_word)]
+        self.special = sorted(t.content.encode() for _, t in specials)
+        self.mark = plain[0] if plain else None
+        probe = "One two,  three\t\n'four"
+        self.in_pieces = bool(plain) and self._ids([probe])[0] == b"".join(self._ids(probe.split()))
+        same = "Word, It's; naïf? 12: K9!", "word , it's ; naïf ? 12 : k9 !"
+        self.folds = self.in_pieces and len(set(self._ids(list(same)))) == 1
+
+    def _ids(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _pieces(self, pieces: list[bytes]) -> list[bytes]:
+        number, mark = self.mark
+        got = self.tokenizer.encode_batch_fast([mark.join(p.decode() for p in pieces)], add_special_tokens=False)[0]
+        ids = np.array(got.ids, "<u4")
+        cuts, data = (np.flatnonzero(ids == number) * 4).tolist(), ids.tobytes()
+        return [data[a:b] for a, b in zip([0, *(c + 4 for c in cuts)], [*cuts, len(data)], strict=True)]
+
+    def _parts(self, piece: bytes) -> tuple[bytes, ...]:
+        """Simpler pieces whose ids in turn are those of the piece.
+
+        Punctuation after a letter at the end of a piece is a token run of its own, and ASCII letters are
+        lower-cased by the tokenizer anyway; but a special token in upper case would become one, and an I with
+        a dot above is lower-cased to two characters.
+        """
+        if not self.folds or b"<|" in piece or b"\xcc\x87" in piece:
+            return (piece,)
+        piece = piece.lower()
+        found = PUNCTUATED.fullmatch(piece)
+        return found.groups() if found else (piece,)
 
     def encode(self, texts: list[bytes], end: bytes) -> list[bytes]:
-        split = [t.split() for t in texts]
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
+        if not self.in_pieces:
+            return [x + end for x in self._ids([t.decode() for t in texts])]
         known = self.known
-        new = list({w for words in split for w in words if w not in known})
-        once: dict[bytes, bytes] = {}
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            for word, got in zip(part, self.tokenizer.encode_batch([w.decode() for w in part], add_special_tokens=False), strict=True):
-                (known if len(word) <= LONG_PIECE else once)[word] = np.array(got.ids, "<u4").tobytes()
-        if once:
-            return [b"".join([known[w] if w in known else once[w] for w in words]) + end for words in split]
-        get = known.__getitem__
-        return [b"".join(map(get, words)) + end for words in split]
+        split = [t.split() for t in texts]
+        ids = [list(map(known.get, words)) for words in split]
+        holes = [(k, list(_places_of_none(got))) for k, got in enumerate(ids) if None in got]
+        new = {split[k][at] for k, places in holes for at in places}
+        if new:
+            parts = {w: self._parts(w) for w in new}
+            plain = {p for ps in parts.values() for p in ps if p not in known}
+            odd = [p for p in plain if any(s in p for s in self.special)]
+            plain = list(plain.difference(odd))
+            found = dict(zip(odd, self._ids([p.decode() for p in odd]), strict=True))
+            for at in range(0, len(plain), 1024):
+                part = plain[at : at + 1024]
+                found.update(zip(part, self._pieces(part), strict=True))
+            whole = {w: b"".join([found[p] if p in found else known[p] for p in ps]) for w, ps in parts.items()}
+            for k, places in holes:
+                words, got = split[k], ids[k]
+                for at in places:
+                    got[at] = whole[words[at]]
+            for more in (found, whole):  # simple pieces first
+                room = REMEMBERED - len(known)
+                if room > 0:
+                    known.update(x for x in islice(more.items(), room) if len(x[0]) <= LONG_PIECE)
+        return [b"".join(got) + end for got in ids]
+
+
+def _places_of_none(got: list) -> Iterator[int]:
+    at = -1
+    for _ in range(got.count(None)):
+        at = got.index(None, at + 1)
+        yield at
+
+
+@cache
+def _encoder(path: str) -> Encoder:
+    """One encoder for all tasks of a Python worker."""
+    return Encoder(path)
 
 
 def _encode(path: str, end_id: int, keep: list[str]):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder, end, start = Encoder(path), np.array([end_id], "<u4").tobytes(), 0
+        encoder, end, start = _encoder(path), np.array([end_id], "<u4").tobytes(), 0
         part = TaskContext.get().partitionId()
         for batch in batches_of(batches, 4096, BATCH_BYTES, "text"):
             texts = [b"" if (b := x.as_buffer()) is None else b.to_pybytes() for x in batch.column(batch.schema.get_field_index("text"))]
