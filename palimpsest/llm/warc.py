@@ -22,6 +22,7 @@ Defined results
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 from collections.abc import Iterator
 
@@ -105,10 +106,13 @@ def record_text(date: str = DATE) -> Column:
     return F.concat(head, block)
 
 
-def write_archives(pages: DataFrame, path: str, *, file_records: int = FILE_RECORDS, date: str = DATE, **options) -> None:
-    """Writes the deduplicated archives of `pages` under `path`, at most `file_records` records in each."""
+def write_archives(pages: DataFrame, path: str, *, file_records: int = FILE_RECORDS, date: str = DATE, compression: str = "gzip", **options) -> None:
+    """Writes the deduplicated archives of `pages` under `path`, at most `file_records` records in each.
+
+    Each file is compressed as a whole, or with compression "none" not at all.
+    """
     records = resolved(pages, **options).select(record_text(date).alias("value"))
-    records.write.options(lineSep=CRLF + CRLF, maxRecordsPerFile=file_records).text(path)
+    records.write.options(lineSep=CRLF + CRLF, maxRecordsPerFile=file_records, compression=compression).text(path)
 
 
 def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -137,7 +141,8 @@ def _records(with_payload: bool):
         for batch in batches:
             for content in batch.column(0):
                 out: list[tuple] = []
-                for head, block in parse(content.as_py()):
+                data = content.as_py()
+                for head, block in parse(gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data):
                     digest = head["warc-payload-digest"].removeprefix("sha1:")
                     payload = None
                     if head["warc-type"] == "response":

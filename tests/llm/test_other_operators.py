@@ -173,7 +173,7 @@ def test_archives_of_odd_rows(spark, tmp_path):
     rows = [(1, "u\r\n1", "a\r\n\r\nWARC/1.1\r\nx", 0), (2, None, None, 0), (3, "v", "", 0), (None, "w", "q", 0), (4, "w", "q", 0), (4, "w", "q", 0), (9, "é", "é" * 3000, 1)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, digest int")
     path = str(tmp_path / "w")
-    warc.write_archives(pages, path, file_records=2)
+    warc.write_archives(pages, path, file_records=2, compression="none")
     got = warc.revisits_resolved(warc.read_records(spark, path, with_payload=True)).collect()
     assert sorted((r.page or "", r.record_type, r.refers_to or "", r.payload_bytes) for r in got) == sorted(
         [("1", "response", "", 16), ("2", "revisit", "3", 0), ("3", "response", "", 0), ("", "revisit", "4", 1), ("4", "response", "", 1), ("4", "response", "", 1), ("9", "response", "", 6000)]
