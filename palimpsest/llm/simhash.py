@@ -135,6 +135,20 @@ def fingerprint_links(values: DataFrame, scratch: Scratch, *, parts: int = PARTS
     return pairs.unionByName(stars).distinct()
 
 
+def _grouped(docs: DataFrame, *, id_col: str, text_col: str, width: int, parts: int, crowd: int) -> DataFrame:
+    """(id, text_hash, fp, component, component_id) for each row; `component` names its group also where ids are null."""
+    scratch = Scratch(docs.sparkSession, "simhash")
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
+    rows = scratch.write(with_fingerprint(rows, width=width, out="fp"), "fingerprints")
+    values = rows.groupBy("fp").agg(F.min("id").alias("low"))
+    links = fingerprint_links(values.select("fp"), scratch, parts=parts, crowd=crowd)
+    groups = scratch.write(connected_components(links, scratch), "components")
+    named = values.join(groups, F.col("fp") == F.col("node"), "left").select("fp", "low", F.coalesce("component", "fp").alias("component"))
+    named = scratch.write(named, "named")
+    lows = named.groupBy("component").agg(F.min("low").alias("component_id"))
+    return rows.join(named.join(lows, "component").select("fp", "component", "component_id"), "fp").select("id", "text_hash", "fp", "component", "component_id")
+
+
 def near_duplicates(
     docs: DataFrame,
     *,
@@ -145,25 +159,31 @@ def near_duplicates(
     crowd: int = CROWD,
 ) -> DataFrame:
     """(id, fp, component_id) for each row: its fingerprint and the smallest id that links can reach."""
-    scratch = Scratch(docs.sparkSession, "simhash")
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    rows = scratch.write(with_fingerprint(rows, width=width, out="fp"), "fingerprints")
-    values = rows.groupBy("fp").agg(F.min("id").alias("low"))
-    links = fingerprint_links(values.select("fp"), scratch, parts=parts, crowd=crowd)
-    groups = scratch.write(connected_components(links, scratch), "components")
-    named = values.join(groups, F.col("fp") == F.col("node"), "left").select("fp", "low", F.coalesce("component", "fp").alias("component"))
-    named = scratch.write(named, "named")
-    lows = named.groupBy("component").agg(F.min("low").alias("component_id"))
-    return rows.join(named.join(lows, "component").select("fp", "component_id"), "fp").select("id", "fp", "component_id")
+    return _grouped(docs, id_col=id_col, text_col=text_col, width=width, parts=parts, crowd=crowd).select("id", "fp", "component_id")
 
 
-def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
-    """One row of each group stays: that with the smallest id, of repeated rows with that id one."""
-    found = near_duplicates(docs, id_col=id_col, **options)
-    keep = found.where(F.col("id").eqNullSafe(F.col("component_id"))).select("id", "component_id").distinct()
-    name = fresh(docs, "_keep")
-    kept = docs.join(keep.select(F.col("id").alias(name)), F.col(id_col).eqNullSafe(F.col(name)), "left_semi")
-    return kept.dropDuplicates([id_col])
+def one_of_each(docs: DataFrame, grouped: DataFrame, *, id_col: str, text_col: str) -> DataFrame:
+    """One row of `docs` for each component of `grouped` (id, text_hash, component): the smallest id, then text hash."""
+    first = F.struct(F.col("id").isNull(), "id", "text_hash")
+    keep = grouped.groupBy("component").agg(F.min(first).alias("first"))
+    id_, hash_, group = fresh(docs, "_id"), fresh(docs, "_text_hash"), fresh(docs, "_component")
+    keep = keep.select(F.col("first.id").alias(id_), F.col("first.text_hash").alias(hash_), F.col("component").alias(group))
+    same = F.col(id_col).eqNullSafe(F.col(id_)) & (F.xxhash64(text_col) == F.col(hash_))
+    return docs.join(keep, same).dropDuplicates([group]).select(*[docs[c] for c in docs.columns])
+
+
+def deduplicate(
+    docs: DataFrame,
+    *,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    width: int = SHINGLE,
+    parts: int = PARTS,
+    crowd: int = CROWD,
+) -> DataFrame:
+    """One row of each group stays: that with the smallest id, of rows with that id the one with the smallest text hash."""
+    grouped = _grouped(docs, id_col=id_col, text_col=text_col, width=width, parts=parts, crowd=crowd)
+    return one_of_each(docs, grouped, id_col=id_col, text_col=text_col)
 
 
 def op7_simhash(spark, sf_dir: str) -> DataFrame:

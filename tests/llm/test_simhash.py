@@ -79,5 +79,11 @@ def test_one_of_each_group_stays(spark):
     assert sorted(r.doc_id for r in kept.collect()) == [1, 9] and kept.columns == ["doc_id", "text", "lang"]
 
 
+def test_groups_without_an_id_and_groups_that_share_one_stay_apart(spark):
+    rows = [(None, "one two three four five", "a"), (None, "quite other words in this one", "b"), (None, "one two three four five", "c"), (7, "red green blue and white", "d"), (7, "some more words of another text", "e"), (None, "red green blue and white", "f")]
+    kept = d.deduplicate(spark.createDataFrame(rows, "doc_id long, text string, _id string")).collect()
+    assert sorted(((r.doc_id or 0, r.text) for r in kept)) == sorted({(0, rows[0][1]), (0, rows[1][1]), (7, rows[3][1]), (7, rows[4][1])})
+
+
 def test_empty_table(spark):
     assert d.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
