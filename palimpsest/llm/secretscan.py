@@ -4,7 +4,9 @@ A candidate is a run of at least `LEAST` letters, digits and the signs + / _ - w
 features are its length and make-up, how likely its character pairs are in the words of the corpus, how much
 of it dictionary words cover, the path of its document and the words around it. The dictionary and the
 character pairs are counted over all texts. The forest learns from labelled findings: at most
-`LABELLED_ROWS` of them, chosen by a hash, which is the one bounded sample here.
+`LABELLED_ROWS` of them, chosen by a hash, which is the one bounded sample here. Copies of a value with one
+label are one finding. Where a class is cut, the others keep their rows as far as equal shares go, and rows
+weigh as many findings as they stand for.
 
 Labelled findings are a table of the caller's, or those that `rule_labels` can tell: well-known key formats
 and assigned values are secrets, runs of digits and of one repeated sign, UUIDs and example values are not.
@@ -129,13 +131,20 @@ def rule_labels(featured: DataFrame) -> DataFrame:
 
 def scored(featured: DataFrame, scratch: Scratch, *, labelled_rows: int = LABELLED_ROWS, trees: int = TREES, depth: int = DEPTH) -> DataFrame:
     """`featured` (with `label`) with `probability`. Every labelled value is one finding to learn from."""
-    known = featured.where("label is not null").select("value", "label", *FEATURES)
-    known = known.orderBy(F.xxhash64("value"), "value", *FEATURES).limit(labelled_rows)
-    known = scratch.write(known.coalesce(1), "labelled")
-    if known.select("label").distinct().count() < 2:
+    known = featured.where("label is not null").groupBy("value", "label").agg(F.min(F.struct(*FEATURES)).alias("f")).select("value", "label", "f.*")
+    known = scratch.write(known, "findings")
+    counts = sorted((r["count"], r["label"]) for r in known.groupBy("label").count().collect())
+    if len(counts) < 2:
         return featured.withColumn("probability", F.coalesce("label", F.lit(0.0)))
+    sample, room = None, labelled_rows
+    for k, (count, label) in enumerate(counts):
+        taken = min(count, max(1, room // (len(counts) - k)))
+        room -= taken
+        part = known.where(F.col("label") == label).orderBy(F.xxhash64("value"), "value").limit(taken).withColumn("weight", F.lit(count / taken))
+        sample = part if sample is None else sample.unionByName(part)
+    sample = scratch.write(sample.coalesce(1), "labelled")
     gather = VectorAssembler(inputCols=FEATURES, outputCol="features")
-    forest = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=SEED, labelCol="label").fit(gather.transform(known))
+    forest = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=SEED, labelCol="label", weightCol="weight").fit(gather.transform(sample))
     out = forest.transform(gather.transform(featured))
     return out.withColumn("p", vector_to_array("probability")[1]).drop("probability", "features", "rawPrediction", "prediction").withColumnRenamed("p", "probability")
 

@@ -234,3 +234,14 @@ def test_labelled_findings_of_the_caller(spark):
     found = secretscan.scan_secrets(spark.createDataFrame(docs, "doc_id long, text string, source string"), findings=spark.createDataFrame(labels, "value string, label double"))
     unseen = [r for r in found.collect() if r.label is None]
     assert unseen and sum((r.probability >= 0.5) == bool(r.id % 2) for r in unseen) >= 0.9 * len(unseen)
+
+
+def test_copies_of_a_value_leave_room_for_other_findings(spark):
+    rng = random.Random(6)
+    values = [("".join(rng.choice("0123456789abcdef") for _ in range(24)) if i % 2 else "build" + "".join(rng.choice("0123456789") for _ in range(14)), float(i % 2)) for i in range(120)]
+    labels = spark.createDataFrame(values[:100], "value string, label double")
+    copied = labels.selectExpr("value", "xxhash64(value) AS h").orderBy("h").first().value
+    docs = [(i, f"word {v} word", "s") for i, (v, _) in enumerate([*values, *[(copied, None)] * 60])]
+    found = secretscan.scan_secrets(spark.createDataFrame(docs, "doc_id long, text string, source string"), findings=labels, labelled_rows=40)
+    unseen = [r for r in found.collect() if r.label is None]
+    assert len(unseen) == 20 and sum((r.probability >= 0.5) == bool(r.id % 2) for r in unseen) >= 18
