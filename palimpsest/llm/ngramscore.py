@@ -9,7 +9,8 @@ scores are summed. A frequent n-gram is one entry of each block's pack, so no bu
     S(w | v) = c(v w) / c(v)          if c(v w) > 0
              = alpha c(w) / N         else, if c(w) > 0
              = alpha^2 / N            else
-The first word has no context: c(w) / N, or alpha / N. Counts c and the number of words N leave out what the
+The first word has no context: c(w) / N, or alpha / N. With a higher `order` S(w | u v) is c(u v w) / c(u v) if
+that count is there, else alpha S(w | v), and so on; a word near the start has the context there is. Counts c and the number of words N leave out what the
 document itself adds, so a document is judged by the others alone. N is at least 1.
 
 Defined results
@@ -37,6 +38,7 @@ from .common import Scratch, table
 from .decontaminate import word_pieces
 
 ALPHA = 0.4
+ORDER = 2
 BLOCK_WORDS = 1 << 20
 #: Odd constants that mix two hashes into one.
 _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -87,24 +89,24 @@ class Block:
         self.words += size
 
 
-def _grams(hashes: np.ndarray, seq: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Word hashes and pair hashes of a sequence, and which positions start a document (no pair ends there)."""
-    one = hashes[seq]
-    first = np.zeros(len(seq), bool)
-    starts = (np.cumsum(sizes) - sizes)[sizes > 0]
-    first[starts] = True
-    two = np.zeros(len(seq), np.uint64)
-    two[1:] = _pair(one[:-1], one[1:])
-    return one, two, first
+def _grams(hashes: np.ndarray, seq: np.ndarray, sizes: np.ndarray, order: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """Hashes of the n-grams of 1 to `order` words that end at each position, and the position's place in its document."""
+    place = np.arange(len(seq)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    found = [hashes[seq]]
+    for _ in range(1, order):
+        longer = np.zeros(len(seq), np.uint64)
+        longer[1:] = _pair(found[-1][:-1], found[0][1:])
+        found.append(longer)
+    return found, place
 
 
-def _distinct(row: dict, buckets: int) -> tuple[np.ndarray, ...]:
-    """The n-grams of a block in the order of bucket and hash, their counts and buckets, and its positions' n-grams."""
-    one, two, first = _grams(_unpack(row["hashes"], "<u8"), _unpack(row["seq"], "<i4"), np.array(row["sizes"], np.int64))
-    grams, counts = np.unique(np.concatenate((one, two[~first])), return_counts=True)
+def _distinct(row: dict, buckets: int, order: int) -> tuple:
+    """The n-grams of a block in the order of bucket and hash, their counts and buckets, and its positions' n-grams and places."""
+    levels, place = _grams(_unpack(row["hashes"], "<u8"), _unpack(row["seq"], "<i4"), np.array(row["sizes"], np.int64), order)
+    grams, counts = np.unique(np.concatenate([g[place >= k] for k, g in enumerate(levels)]), return_counts=True)
     bucket = (grams % np.uint64(buckets)).astype(np.int64)
-    order = np.argsort(bucket, kind="stable")
-    return grams[order], counts[order], bucket[order], one, two, first
+    by = np.argsort(bucket, kind="stable")
+    return grams[by], counts[by], bucket[by], levels, place
 
 
 def _sequences(block_words: int):
@@ -139,13 +141,13 @@ def _sequences(block_words: int):
     return scan
 
 
-def _packs(buckets: int):
+def _packs(buckets: int, order: int):
     """(block, bucket, data, counts): the n-grams of a block by bucket."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in (batch.slice(k, 1).to_pylist()[0] for k in range(batch.num_rows)):
-                grams, counts, bucket, *_ = _distinct(row, buckets)
+                grams, counts, bucket, *_ = _distinct(row, buckets, order)
                 ids, starts = np.unique(bucket, return_index=True)
                 spans = list(zip(starts.tolist(), [*starts[1:].tolist(), len(grams)], strict=True)) if len(ids) else []
                 arrays = [
@@ -178,30 +180,32 @@ def _own_counts(doc: np.ndarray, place: np.ndarray) -> np.ndarray:
     return count[inverse]
 
 
-def _score(words: int, buckets: int, alpha: float):
+def _score(words: int, buckets: int, alpha: float, order: int):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in (batch.slice(k, 1).to_pylist()[0] for k in range(batch.num_rows)):
                 ids, sizes = pa.array(row["ids"], pa.int64()), np.array(row["sizes"], np.int64)
-                grams, _, _, one, two, first = _distinct(row, buckets)
+                grams, _, _, levels, place = _distinct(row, buckets, order)
                 packs = sorted(row["packs"] or [], key=lambda p: p["bucket"])
                 totals = [np.ascontiguousarray(_unpack(p["totals"], np.uint8).reshape(8, -1).T).reshape(-1).view("<i8") for p in packs]
                 totals = np.concatenate(totals) if totals else np.zeros(0, np.int64)
-                order = np.argsort(grams)
-                grams, totals = grams[order], totals[order]
+                by = np.argsort(grams)
+                grams, totals = grams[by], totals[by]
                 doc = np.repeat(np.arange(len(sizes)), sizes)
-                at1 = np.searchsorted(grams, one)
-                c1 = totals[at1] - _own_counts(doc, at1)
-                c2 = np.zeros(len(one), np.int64)
-                rest = np.flatnonzero(~first)
-                at2 = np.searchsorted(grams, two[rest])
-                c2[rest] = totals[at2] - _own_counts(doc[rest], at2)
                 n = np.maximum(words - sizes, 1)[doc]
-                before = np.ones(len(one), np.int64)
-                before[1:] = c1[:-1]
-                seen = c2 > 0
-                weight = np.where(first, 1.0, alpha)
-                s = np.where(seen, c2 / np.maximum(before, 1), weight * np.where(c1 > 0, c1 / n, alpha / n))
+                context = np.minimum(place, order - 1)
+                before, seen = None, np.zeros(len(place), bool)
+                for k, level in enumerate(levels):
+                    count, rest = np.zeros(len(place), np.int64), np.flatnonzero(place >= k)
+                    at = np.searchsorted(grams, level[rest])
+                    count[rest] = totals[at] - _own_counts(doc[rest], at)
+                    seen = count > 0
+                    if k == 0:
+                        s = np.power(alpha, context) * np.where(seen, count / n, alpha / n)
+                    else:
+                        s = np.where(seen, np.power(alpha, np.maximum(context - k, 0)) * (count / np.maximum(before, 1)), s)
+                    before = np.ones(len(place), np.int64)
+                    before[1:] = count[:-1]
                 ends, logs = np.cumsum(sizes), np.log(s)
                 score = [float(logs[a:b].sum()) for a, b in zip((ends - sizes).tolist(), ends.tolist(), strict=True)]
                 back = [int((~seen[a:b]).sum()) for a, b in zip((ends - sizes).tolist(), ends.tolist(), strict=True)]
@@ -214,8 +218,8 @@ def _score(words: int, buckets: int, alpha: float):
     return scan
 
 
-def backoff_scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", alpha: float = ALPHA, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """(id, n_words, n_backoff, log_score, mean_score) for each row; n_backoff words have no count with their context."""
+def backoff_scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", alpha: float = ALPHA, order: int = ORDER, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """(id, n_words, n_backoff, log_score, mean_score) for each row; n_backoff words have no count with `order` - 1 words before."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "ngrams")
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -223,12 +227,12 @@ def backoff_scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     blocks = rows.mapInArrow(_sequences(block_words), "block long, ids array<long>, sizes array<long>, seq binary, hashes binary")
     blocks = scratch.write(blocks, "sequences", compression="none")
     words = blocks.agg(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, n: a + n))).first()[0] or 0
-    packs = blocks.select("block", "sizes", "seq", "hashes").mapInArrow(_packs(buckets), "block long, bucket long, data binary, counts binary")
+    packs = blocks.select("block", "sizes", "seq", "hashes").mapInArrow(_packs(buckets, order), "block long, bucket long, data binary, counts binary")
     found = packs.groupBy("bucket").applyInArrow(_totals, "block long, bucket long, totals binary")
     found = found.groupBy("block").agg(F.collect_list(F.struct("bucket", "totals")).alias("packs"))  # one block's own n-grams
     both = blocks.join(found, "block", "left")
     out = T.StructType([T.StructField("id", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("n_backoff", T.LongType()), T.StructField("log_score", T.DoubleType()), T.StructField("mean_score", T.DoubleType())])
-    return both.mapInArrow(_score(words, buckets, alpha), out)
+    return both.mapInArrow(_score(words, buckets, alpha, order), out)
 
 
 def op2_lm_score(spark, sf_dir: str) -> DataFrame:

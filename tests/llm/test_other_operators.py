@@ -204,6 +204,29 @@ def test_scores_match_sql(spark):
     assert ngramscore.backoff_scores(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
+def test_scores_of_any_order(spark, order):
+    import math
+
+    rng = random.Random(8)
+    docs = [[rng.choice("abcd") for _ in range(rng.randrange(12))] for _ in range(30)]
+    spans = [Counter(tuple(d[i : i + k]) for k in range(1, order + 1) for i in range(len(d) - k + 1)) for d in docs]
+    total = sum(spans, Counter())
+    want = {}
+    for i, d in enumerate(docs):
+        c, n = (lambda g, own=spans[i]: total[g] - own[g]), max(1, sum(map(len, docs)) - len(d))
+
+        def s(context, w):
+            if not context:
+                return (c((w,)) or 0.4) / n
+            return c((*context, w)) / c(context) if c((*context, w)) else 0.4 * s(context[1:], w)
+
+        want[i] = (sum(math.log(s(tuple(d[max(0, k - order + 1) : k]), w)) for k, w in enumerate(d)), sum(k < order - 1 or not c(tuple(d[k - order + 1 : k + 1])) for k in range(len(d))))
+    rows = ngramscore.backoff_scores(spark.createDataFrame([(i, " ".join(d)) for i, d in enumerate(docs)], "doc_id long, text string"), order=order, block_words=40).collect()
+    assert {r.id: r.n_backoff for r in rows} == {i: b for i, (_, b) in want.items()}
+    assert all(r.log_score == pytest.approx(want[r.id][0]) for r in rows)
+
+
 # -- secrets -----------------------------------------------------------------
 
 
