@@ -6,8 +6,9 @@ delta-encoded integers, row groups and pages of bounded size with page indexes.
 document ids; `part` is its place in the order and `local_start` counts ids within it, so the global start
 of a document needs one sum for each file only.
 
-The tokenizer drops white space and no token crosses it, so a text is cut at ASCII white space and each
-distinct piece is encoded once; the first `REMEMBERED` of a Python worker are kept, further ones are encoded again.
+Where the tokenizer's own definition says that white space is dropped and no token crosses it, a text is cut at
+ASCII white space and each distinct piece of a batch is encoded once. A Python worker remembers the ids of words
+it saw of late, in at most `REMEMBERED` bytes; others are encoded again.
 
 Defined results
     null text       is encoded as the empty text: the end id alone
@@ -20,15 +21,16 @@ Defined results
 
 from __future__ import annotations
 
+import json
 import os
-import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import cache
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -36,10 +38,10 @@ from pyspark.sql import types as T
 from .common import Scratch, batches_of, table
 
 END_ID = 2
-REMEMBERED = 900_000
-#: A piece that ends in punctuation after an ASCII letter or digit, or a letter from U+00C0 to U+00FF.
-PUNCTUATED = re.compile(rb"(.*(?:[A-Za-z0-9]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]))([.,;:!?]+)", re.DOTALL)
-LONG_PIECE = 64
+#: Bytes of words that a Python worker remembers, what an entry takes at most, and the longest word that is kept.
+REMEMBERED = 64 << 20
+ENTRY_BYTES = 256
+LONG_WORD = 24
 ROW_GROUP_BYTES = 32 << 20
 PAGE_BYTES = 64 << 10
 BATCH_BYTES = 4 << 20
@@ -59,83 +61,137 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+#: How a tokenizer must be defined for the fast path, and the letters from U+00C0 to U+00FF, which are
+#: their own canonical form and have one lower-case letter each.
+NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+PRE_TOKENIZERS = [
+    {"type": "Split", "pattern": {"Regex": WORD_PATTERN}, "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+]
+LETTERS = "\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
+_PLAIN = f"^[!-~{LETTERS}]+$"
+_WORDS = "(" + WORD_PATTERN.replace("\\s\\p{L}\\p{N}", f"a-z{LETTERS}0-9").replace("\\p{L}", f"a-z{LETTERS}").replace("\\p{N}", "0-9") + ")"
+
+
+def _byte_signs() -> dict[int, str]:
+    """The sign by which a byte-level model writes each byte: itself if it can be seen, else one from U+0100 on."""
+    seen = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in seen]
+    return {b: chr(b) for b in seen} | {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
+class Recent:
+    """A dictionary that holds about `limit` bytes: of two halves the older one goes when the newer one is full."""
+
+    def __init__(self, limit: int):
+        self.half, self.new, self.old = limit // 2, {}, {}
+
+    def find(self, keys: list[str]) -> list[bytes | None]:
+        out = list(map(self.new.get, keys))
+        if self.old:
+            back = {}
+            for k in [k for k, found in enumerate(out) if found is None]:
+                if (found := self.old.get(keys[k])) is not None:
+                    out[k] = back[keys[k]] = found
+            self.keep(back)
+        return out
+
+    def keep(self, found: dict[str, bytes]) -> None:
+        """Takes in what is new, as far as it is short and there is room; the rest is a loss of time only."""
+        items = [x for x in found.items() if len(x[0]) <= LONG_WORD]
+        room = max(1, self.half // ENTRY_BYTES)
+        for at in range(0, len(items), room):
+            part = items[at : at + room]
+            if len(self.new) + len(part) > room:
+                self.old, self.new = self.new, {}
+            self.new.update(part)
+
+
 class Encoder:
-    """Encodes texts to the bytes of little-endian unsigned 32-bit ids.
+    """Encodes texts to unsigned 32-bit ids.
 
-    Pieces between ASCII white space are remembered from task to task. New ones are encoded many at a time,
-    parted by a special token, which no other piece holds. A tokenizer to which white space matters, or one
-    without such a token, gets whole texts.
+    Where the tokenizer's definition says that white space is dropped and no token crosses it, the texts of a
+    batch are cut at ASCII white space and each distinct piece is encoded once for the batch. Pieces of ASCII and
+    Latin-1 letters are cut into words here, and the library's model gets each word that is not remembered;
+    other pieces go through the whole tokenizer. Any other tokenizer gets whole texts.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remembered: int = REMEMBERED):
         self.tokenizer = _tokenizer(path)
-        self.known: dict[bytes, bytes] = {}
-        specials = self.tokenizer.get_added_tokens_decoder().items()
-        plain = [(i, t.content) for i, t in specials if t.special and not (t.normalized or t.lstrip or t.rstrip or t.single_word)]
-        self.special = sorted(t.content.encode() for _, t in specials)
-        self.mark = plain[0] if plain else None
-        probe = "One two,  three\t\n'four"
-        self.in_pieces = bool(plain) and self._ids([probe])[0] == b"".join(self._ids(probe.split()))
-        same = "Word, It's; naïf? 12: K9!", "word , it's ; naïf ? 12 : k9 !"
-        self.folds = self.in_pieces and len(set(self._ids(list(same)))) == 1
+        self.known = Recent(remembered)
+        made = json.loads(self.tokenizer.to_str())
+        added = made["added_tokens"]
+        self.special = sorted(t["content"] for t in added)
+        parts = lambda key, inner: (made[key] or {}).get(inner)
+        apart = all(t["special"] and not (t["normalized"] or t["lstrip"] or t["rstrip"] or t["single_word"] or t["content"].split() != [t["content"]]) for t in added)
+        self.in_pieces = (
+            apart and parts("normalizer", "normalizers") == NORMALIZERS and parts("pre_tokenizer", "pretokenizers") == PRE_TOKENIZERS
+            and made["model"]["type"] == "BPE" and not made["model"]["dropout"] and made["post_processor"] is None and made["truncation"] is None
+        )
+        self.signs = _byte_signs()
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _pieces(self, pieces: list[bytes]) -> list[bytes]:
-        number, mark = self.mark
-        got = self.tokenizer.encode_batch_fast([mark.join(p.decode() for p in pieces)], add_special_tokens=False)[0]
-        ids = np.array(got.ids, "<u4")
-        cuts, data = (np.flatnonzero(ids == number) * 4).tolist(), ids.tobytes()
-        return [data[a:b] for a, b in zip([0, *(c + 4 for c in cuts)], [*cuts, len(data)], strict=True)]
-
-    def _parts(self, piece: bytes) -> tuple[bytes, ...]:
-        """Simpler pieces whose ids in turn are those of the piece.
-
-        Punctuation after a letter at the end of a piece is a token run of its own, and ASCII letters are
-        lower-cased by the tokenizer anyway; but a special token in upper case would become one, and an I with
-        a dot above is lower-cased to two characters.
-        """
-        if not self.folds or b"<|" in piece or b"\xcc\x87" in piece:
-            return (piece,)
-        piece = piece.lower()
-        found = PUNCTUATED.fullmatch(piece)
-        return found.groups() if found else (piece,)
-
-    def encode(self, texts: list[bytes], end: bytes) -> list[bytes]:
+    def _words(self, words: list[str]) -> list[bytes]:
+        """The ids of words that the model gets as they are."""
+        tokenize, signs = self.tokenizer.model.tokenize, self.signs
+        out = self.known.find(words)
+        new = {}
+        for k in [k for k, found in enumerate(out) if found is None]:
+            word = words[k]
+            tokens = tokenize(word if word.isascii() else "".join(map(signs.__getitem__, word.encode())))
+            out[k] = new[word] = array("I", [t.id for t in tokens]).tobytes()
+        self.known.keep(new)
+        return out
+
+    def _odd(self, pieces: list[str]) -> list[bytes]:
+        names = [f" {p}" for p in pieces]  # no word begins with a space
+        out = self.known.find(names)
+        new = [k for k, found in enumerate(out) if found is None]
+        for k, found in zip(new, self._ids([pieces[k] for k in new]), strict=True):
+            out[k] = found
+        self.known.keep({names[k]: out[k] for k in new})
+        return out
+
+    def _pieces(self, pieces: pa.StringArray) -> pa.ListArray:
+        """The ids of each piece: those of its words in a row, or the tokenizer's answer to one with other signs."""
+        plain = pc.match_substring_regex(pieces, _PLAIN)
+        for special in self.special:
+            plain = pc.and_(plain, pc.invert(pc.match_substring(pieces, special)))
+        cut = pc.ascii_split_whitespace(pc.ascii_rtrim(pc.replace_substring_regex(pc.utf8_lower(pieces.filter(plain)), _WORDS, r"\1 "), " "))
+        words = cut.flatten().dictionary_encode()
+        ids, starts = _strung(_lists(self._words(words.dictionary.to_pylist())), words.indices, np.asarray(cut.offsets))
+        if (odd := pc.invert(plain)).true_count:
+            other = _lists(self._odd(pieces.filter(odd).to_pylist()))
+            both = pa.concat_arrays([pa.ListArray.from_arrays(starts, ids), other])
+            place = np.empty(len(pieces), np.int32)
+            place[np.flatnonzero(np.asarray(plain))] = np.arange(len(starts) - 1)
+            place[np.flatnonzero(np.asarray(odd))] = np.arange(len(starts) - 1, len(pieces))
+            return both.take(pa.array(place))
+        return pa.ListArray.from_arrays(starts, ids)
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids in turn, and the number of ids of each text."""
         if not self.in_pieces:
-            return [x + end for x in self._ids([t.decode() for t in texts])]
-        known = self.known
-        split = [t.split() for t in texts]
-        ids = [list(map(known.get, words)) for words in split]
-        holes = [(k, list(_places_of_none(got))) for k, got in enumerate(ids) if None in got]
-        new = {split[k][at] for k, places in holes for at in places}
-        if new:
-            parts = {w: self._parts(w) for w in new}
-            plain = {p for ps in parts.values() for p in ps if p not in known}
-            odd = [p for p in plain if any(s in p for s in self.special)]
-            plain = list(plain.difference(odd))
-            found = dict(zip(odd, self._ids([p.decode() for p in odd]), strict=True))
-            for at in range(0, len(plain), 1024):
-                part = plain[at : at + 1024]
-                found.update(zip(part, self._pieces(part), strict=True))
-            whole = {w: b"".join([found[p] if p in found else known[p] for p in ps]) for w, ps in parts.items()}
-            for k, places in holes:
-                words, got = split[k], ids[k]
-                for at in places:
-                    got[at] = whole[words[at]]
-            for more in (found, whole):  # simple pieces first
-                room = REMEMBERED - len(known)
-                if room > 0:
-                    known.update(x for x in islice(more.items(), room) if len(x[0]) <= LONG_PIECE)
-        return [b"".join(got) + end for got in ids]
-
-
-def _places_of_none(got: list) -> Iterator[int]:
-    at = -1
-    for _ in range(got.count(None)):
-        at = got.index(None, at + 1)
-        yield at
+            found = _lists(self._ids(["" if t is None else t for t in texts.to_pylist()]))
+            return np.asarray(found.values), np.diff(np.asarray(found.offsets, np.int64))
+        cut = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        pieces = cut.flatten().dictionary_encode()
+        ids, starts = _strung(self._pieces(pieces.dictionary), pieces.indices, np.asarray(cut.offsets) - cut.offsets[0].as_py())
+        return np.asarray(ids), np.diff(np.asarray(starts, np.int64))
+
+
+def _lists(ids: list[bytes]) -> pa.ListArray:
+    size = np.fromiter(map(len, ids), np.int64, len(ids)) >> 2
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(size))).astype(np.int32)), pa.array(np.frombuffer(b"".join(ids), "<u4")))
+
+
+def _strung(lists: pa.ListArray, chosen: pa.Array, ends: np.ndarray) -> tuple[pa.Array, pa.Array]:
+    """The chosen lists in a row, and where each run of them, which `ends` part, starts and the last one ends."""
+    row = lists.take(chosen)
+    return row.flatten(), pa.array(np.asarray(row.offsets)[ends])
 
 
 @cache
@@ -148,18 +204,18 @@ def _encode(path: str, end_id: int, keep: list[str]):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder, end, start = _encoder(path), np.array([end_id], "<u4").tobytes(), 0
+        encoder, start = _encoder(path), 0
         part = TaskContext.get().partitionId()
         for batch in batches_of(batches, 4096, BATCH_BYTES, "text"):
-            texts = [b"" if (b := x.as_buffer()) is None else b.to_pybytes() for x in batch.column(batch.schema.get_field_index("text"))]
-            ids = encoder.encode(texts, end)
-            sizes = np.fromiter(map(len, ids), np.int64, len(ids)) >> 2
-            ends = np.cumsum(sizes)
-            flat = np.frombuffer(b"".join(ids), "<u4").astype(np.int32)
+            ids, sizes = encoder.encode(batch.column(batch.schema.get_field_index("text")))
+            at = np.cumsum(sizes)
+            flat = np.insert(ids.view(np.int32), at, np.int32(end_id))
+            sizes = sizes + 1
+            ends = at + np.arange(1, len(at) + 1)
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)).astype(np.int32)), pa.array(flat))
             rest = [batch.column(batch.schema.get_field_index(c)) for c in keep]
             yield pa.RecordBatch.from_arrays(
-                [*rest, pa.array(np.full(len(ids), part, np.int32)), pa.array(start + ends - sizes), pa.array(sizes), lists], [*keep, "part", "local_start", "n_tokens", "ids"]
+                [*rest, pa.array(np.full(len(sizes), part, np.int32)), pa.array(start + ends - sizes), pa.array(sizes), lists], [*keep, "part", "local_start", "n_tokens", "ids"]
             )
             start += int(ends[-1])
 
