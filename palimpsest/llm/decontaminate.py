@@ -1,39 +1,49 @@
 """Benchmark decontamination with training suffix arrays.
 
-Each task turns its share of the training documents into shards of word codes, sorts the suffixes of
-every shard (a suffix array) and binary-searches every suffix of every benchmark item in it. That gives,
-for each benchmark suffix, the range of training suffixes that share its first k words, for growing k:
-the windows that occur, where they occur, and the longest verbatim match.
+Each task turns its share of the training documents into shards of word codes and sorts the suffixes of every
+shard (a suffix array), ranked together with the suffixes of the benchmark. Every benchmark suffix is then
+binary-searched in it: where it would stand, how far it agrees with its neighbours there (its longest verbatim
+match), and the range of training suffixes that begin with its window. Ranks come from doubling the number of
+words that they tell apart, so equal words in long rows cost no more than others, and any two suffixes are
+compared in a logarithmic number of steps.
 
 Defined results
     words       maximal runs of [0-9a-z] or of characters from U+0080 on, after lower-casing A-Z
     window      `width` consecutive words of an item; an item of fewer, but not none, is one window
+    longest     the longest run of words that the document and an item share, from one word on; of equally long
+                ones that with the smallest place in the document, and there the last benchmark suffix before
+                it in the order of suffixes, else the first after it
     null text   no words; such a document is kept, such an item has no window
     repeats     repeated document rows are judged one by one; repeated item ids count once for a document
     null item   an item without id takes part under the id ""
     empty       no benchmark or no documents: nothing is contaminated, or no rows
     long texts  are read in pieces of at most `shard_words` words that overlap by the longest item
-    benchmark   is sent to the tasks in blocks of at most `block_bytes` of text; further blocks are further
-                passes over a written table, so memory is bounded for a benchmark of any size
+    benchmark   is sent to the tasks in blocks of about `block_bytes` of text, whose suffixes a task has in memory
+                one block at a time, and at most `pass_blocks` of them; what is left takes further passes over the
+                documents, which are then written once, with a key
+    columns     all others are kept, whatever their names
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import islice, repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, fresh, table
+from .common import Scratch, batches_of, fresh, table
 
 WIDTH = 10
 SHARD_WORDS = 1 << 20
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 4 << 20
+PASS_BLOCKS = 16
+#: Bytes of documents that wait for their shards together.
+HELD_BYTES = 8 << 20
 PIECE = 1 << 20
 
 #: Bytes of words stand for themselves, upper-case letters for lower-case ones; all else is a space.
@@ -62,7 +72,7 @@ def word_pieces(data: bytes, piece: int = PIECE) -> Iterator[list[bytes]]:
 
 
 class Suffixes:
-    """The suffixes of a block of benchmark items, as word codes from 1; code 0 is any other word."""
+    """The suffixes of a block of benchmark items, as word codes from 1; code 0 is any other word and ends an item."""
 
     def __init__(self, items: list[tuple[str, list[bytes]]], width: int):
         self.width = width
@@ -72,62 +82,79 @@ class Suffixes:
         order = {i: k for k, i in enumerate(self.items)}
         codes, item, pos, left = [], [], [], []
         for i, words in items:
-            codes += [self.code[w] for w in words]
-            item += [order[i]] * len(words)
-            pos += range(len(words))
-            left += range(len(words), 0, -1)
-        self.codes = np.array(codes + [0], np.int32)
+            codes += [self.code[w] for w in words] + [0]
+            item += [order[i]] * (len(words) + 1)
+            pos += range(len(words) + 1)
+            left += range(len(words), -1, -1)
+        self.codes = np.array(codes, np.int32)
         self.item = np.array(item, np.int32)
         self.pos = np.array(pos, np.int32)
-        self.left = np.array(left, np.int32)  # words to the end of the item
-        size = self.left + self.pos
+        left = np.array(left, np.int32)
+        size = left + self.pos
         #: Length of the window that starts at each suffix; 0 where none does.
-        self.window = np.where(size >= width, np.where(self.left >= width, width, 0), np.where(self.pos == 0, size, 0)).astype(np.int32)
-        self.longest = int(self.left.max()) if len(self.left) else 0
+        self.window = np.where(size >= width, np.where(left >= width, width, 0), np.where(self.pos == 0, size, 0)).astype(np.int32)
+        self.longest = int(left.max()) if len(left) else 0
         self.bits = max(1, int(len(self.code)).bit_length())
 
 
-def suffix_array(codes: np.ndarray, depth: int, bits: int) -> np.ndarray:
-    """Positions with a code, ordered by their next `depth` codes (a code of 0 ends a suffix).
+class Ranked:
+    """Suffixes of `codes` (which ends in a 0) in order, as far as `depth` words; a code of 0 ends a suffix.
 
-    `codes` must end in at least 63 // bits zeros. Several codes make one integer key; only suffixes whose
-    keys are equal and free of zeros are sorted on by their next key.
+    Level j has, for each place, the rank of its next lengths[j] codes. Places that no other ties with keep their rank.
     """
-    step = 63 // bits
-    n = len(codes)
-    key = codes.astype(np.int64)
-    for j in range(1, step):
-        key <<= bits
-        key[: n - j] |= codes[j:]
-    order = np.flatnonzero(codes)
-    order = order[np.argsort(key[order], kind="stable")]
-    full = codes != 0
-    for j in range(1, step):
-        full[: n - j] &= codes[j:] != 0
-        full[n - j :] = False
-    at = np.arange(len(order))  # places in the array that are still tied
-    group = None
-    done = step
-    while done < depth and len(at):
-        where = order[at] + (done - step)
-        k = key[where]
-        same = k[1:] == k[:-1]
-        if group is not None:
-            same &= group[1:] == group[:-1]
-        same &= at[1:] == at[:-1] + 1
-        tied = np.zeros(len(at), bool)
-        tied[1:] |= same
-        tied[:-1] |= same
-        tied &= full[where]
-        number = np.cumsum(np.concatenate(([True], ~same)))
-        at, group = at[tied], number[tied]
-        if not len(at):
-            break
-        k = key[np.minimum(order[at] + done, n - 1)]
-        new = np.lexsort((k, group))
-        order[at] = order[at][new]
-        done += step
-    return order
+
+    def __init__(self, codes: np.ndarray, depth: int, bits: int):
+        n = len(codes)
+        step = min(8, 63 // bits, n)
+        self.codes = codes
+        zeros = np.flatnonzero(codes == 0)
+        self.left = np.repeat(zeros, np.diff(np.concatenate(([-1], zeros)))) - np.arange(n)  # words to the end
+        key = codes.astype(np.int64)
+        for j in range(1, step):
+            key <<= bits
+            key[: n - j] |= codes[j:]
+        if step > 1:  # codes after an end do not count
+            short = np.minimum(self.left, step)
+            key = (key >> ((step - short) * bits)) << ((step - short) * bits)
+        order = np.flatnonzero(codes)
+        order = order[np.argsort(key[order], kind="stable")]
+        key = key[order]
+        first = np.concatenate(([True], key[1:] != key[:-1])) if len(order) else np.zeros(0, bool)
+        rank = np.full(n, -1, np.int32)
+        rank[order] = np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))
+        self.lengths, self.levels = [step], [rank]
+        alone = first & np.concatenate((first[1:], [True])) if len(order) else first
+        at = np.flatnonzero(~alone & (self.left[order] >= step))  # places in the order that are tied and go on; ties end together
+        while len(at) and self.lengths[-1] < depth:
+            long, rank = self.lengths[-1], self.levels[-1]
+            where = order[at]
+            group, then = rank[where], rank[where + long]
+            by = np.lexsort((then, group))
+            where, group, then = where[by], group[by], then[by]
+            new = np.concatenate(([True], group[1:] != group[:-1]))
+            cut = new | np.concatenate(([True], then[1:] != then[:-1]))
+            start = np.maximum.accumulate(np.where(new, np.arange(len(at)), 0))
+            inner = np.maximum.accumulate(np.where(cut, np.arange(len(at)), 0))
+            place = group + (np.arange(len(at)) - start)
+            order[place] = where
+            rank = rank.copy()
+            rank[where] = group + (inner - start)
+            self.lengths.append(2 * long)
+            self.levels.append(rank)
+            alone = cut & np.concatenate((cut[1:], [True]))
+            at = np.sort(place[~alone & (self.left[where] >= 2 * long)])
+        self.order = order
+
+    def common(self, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+        """How many words the suffixes at p and q share, up to the depth at least."""
+        size = np.zeros(len(p), np.int64)
+        for length, rank in zip(reversed(self.lengths), reversed(self.levels), strict=True):
+            a = p + size
+            size += length * ((rank[a] == rank[q + size]) & (self.left[a] >= length))
+        for _ in range(self.lengths[0] - 1):
+            own = self.codes[p + size]
+            size += (own == self.codes[q + size]) & (own != 0)
+        return size
 
 
 def ranges(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -137,36 +164,13 @@ def ranges(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.arange(len(which)) - np.repeat(np.cumsum(size) - size, size) + lo[which], which
 
 
-def search(codes: np.ndarray, order: np.ndarray, tests: Suffixes) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """Binary search of all test suffixes at once: (k, suffixes, lo, hi) for each depth k that some still match."""
-    n, top = len(order), len(codes) - 1
-    live = np.arange(len(tests.item))
-    first = codes[order]
-    lo, hi = np.searchsorted(first, tests.codes[live], "left"), np.searchsorted(first, tests.codes[live], "right")
-    k = 1
-    while True:
-        keep = lo < hi
-        live, lo, hi = live[keep], lo[keep], hi[keep]
-        if not len(live):
-            return
-        yield k, live, lo, hi
-        keep = tests.left[live] > k
-        live, lo, hi = live[keep], lo[keep], hi[keep]
-        if not len(live):
-            return
-        want = tests.codes[live + k]
-        bounds = []
-        for right in (False, True):
-            a, b = lo.copy(), hi.copy()
-            while (open_ := a < b).any():
-                mid = (a + b) >> 1
-                seen = codes[np.minimum(order[np.minimum(mid, n - 1)] + k, top)]
-                up = (seen <= want if right else seen < want) & open_
-                a = np.where(up, mid + 1, a)
-                b = np.where(open_ & ~up, mid, b)
-            bounds.append(a)
-        lo, hi = bounds
-        k += 1
+def _beside(marked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each place the last marked one before it and the first after it, or -1."""
+    n = len(marked)
+    at = np.arange(n)
+    before = np.maximum.accumulate(np.where(marked, at, -1))
+    after = np.minimum.accumulate(np.where(marked, at, n)[::-1])[::-1]
+    return before, np.where(after == n, -1, after)
 
 
 class Shard:
@@ -174,58 +178,102 @@ class Shard:
 
     def __init__(self, tests: Suffixes, shard_words: int):
         self.tests, self.limit = tests, shard_words
-        self.pad = np.zeros(max(1, 63 // tests.bits), np.int32)
         self.clear()
 
     def clear(self):
         self.parts, self.owner, self.offset, self.words = [], [], [], 0
 
     def add(self, doc, codes: np.ndarray, offset: int):
-        self.parts += [codes, self.pad]  # zeros part the documents
+        self.parts += [codes, np.zeros(1, np.int32)]  # a zero parts the documents
         self.owner.append((doc, len(codes)))
         self.offset.append(offset)
-        self.words += len(codes) + len(self.pad)
+        self.words += len(codes) + 1
 
     def flush(self) -> None:
-        if not self.parts or not self.tests.longest:
-            self.clear()
-            return
-        tests, codes = self.tests, np.concatenate(self.parts)
-        sizes = np.array([n for _, n in self.owner]) + len(self.pad)
+        if self.parts and self.tests.longest:
+            self._search()
+        self.clear()
+
+    def _search(self) -> None:
+        tests, base = self.tests, self.words
+        ranked = Ranked(np.concatenate([*self.parts, tests.codes]), tests.longest, tests.bits)
+        sizes = np.array([n for _, n in self.owner]) + 1
         starts = np.cumsum(sizes) - sizes
-        order = suffix_array(codes, tests.longest, tests.bits)
-        edge = np.zeros(len(codes) + 1, np.int64)
-        best: dict[int, tuple] = {}
-        for k, live, lo, hi in search(codes, order, tests):
-            window = tests.window[live]
-            if (now := window == k).any():
-                place, which = ranges(lo[now], hi[now])
-                at = order[place]
-                np.add.at(edge, at, 1)
-                np.add.at(edge, at + k, -1)
-                seg = np.searchsorted(starts, at, "right") - 1
-                found = np.unique(np.stack([seg, tests.item[live[now]][which]]), axis=1)
-                for s, i in found.T.tolist():
-                    self.owner[s][0]["items"].add(tests.items[i])
-            full = (window > 0) & (window <= k)
-            if full.any():
-                place, which = ranges(lo[full], hi[full])
-                at = order[place]
-                seg = np.searchsorted(starts, at, "right") - 1
-                some, one = np.unique(seg, return_index=True)
-                for s, j in zip(some.tolist(), one.tolist(), strict=True):
-                    best[s] = (k, int(live[full][which[j]]), int(at[j] - starts[s]))
-        for s, (k, suffix, at) in best.items():
-            doc = self.owner[s][0]
-            if k > doc["longest"][0]:
-                doc["longest"] = (k, tests.items[tests.item[suffix]], int(tests.pos[suffix]), at + self.offset[s])
-        hit = np.cumsum(edge)[:-1] > 0
+        order = ranked.order
+        is_test = order >= base
+        train = order[~is_test]
+        if not len(train):
+            return
+        self._longest(ranked, order, is_test, starts)
+        live, least = self._found_windows(ranked, order, is_test)
+        if not len(live):
+            return
+        # One suffix stands for all with the same window.
+        by = np.lexsort((live, least))
+        live, least = live[by], least[by]
+        new = np.concatenate(([True], (least[1:] != least[:-1]) | (ranked.common(order[live[1:]], order[live[:-1]]) < least[1:])))
+        group = np.cumsum(new) - 1
+        where, width = order[live[new]], least[new].astype(np.int64)
+        middle = np.cumsum(~is_test)[live[new]]  # the training suffixes before it
+        lo, hi = np.zeros_like(middle), middle.copy()
+        while (open_ := lo < hi).any():
+            mid = (lo + hi) >> 1
+            same = ranked.common(train[mid], where) >= width
+            hi, lo = np.where(open_ & same, mid, hi), np.where(open_ & ~same, mid + 1, lo)
+        first, lo, hi = lo, middle.copy(), np.full_like(middle, len(train))
+        while (open_ := lo < hi).any():
+            mid = np.minimum((lo + hi) >> 1, len(train) - 1)
+            same = ranked.common(train[mid], where) >= width
+            lo, hi = np.where(open_ & same, mid + 1, lo), np.where(open_ & ~same, mid, hi)
+        place, which = ranges(first, lo)
+        at = train[place]
+        sets: dict[tuple, int] = {}
+        item = tests.item[order[live] - base]
+        pairs = np.unique(np.stack([group, item]), axis=1)
+        cuts = np.flatnonzero(np.diff(pairs[0])) + 1
+        of_group = np.array([sets.setdefault(tuple(x.tolist()), len(sets)) for x in np.split(pairs[1], cuts)])
+        names = [{tests.items[i] for i in x} for x in sets]
+        seg = np.searchsorted(starts, at, "right") - 1
+        for s, k in np.unique(np.stack([seg, of_group[which]]), axis=1).T.tolist():
+            self.owner[s][0]["items"] |= names[k]
+        edge = np.bincount(at, minlength=base + 1) - np.bincount(at + width[which], minlength=base + 1)
+        hit = np.cumsum(edge) > 0
         turn = np.flatnonzero(np.diff(np.concatenate(([False], hit, [False])).astype(np.int8)))
         seg = np.searchsorted(starts, turn[::2], "right") - 1
         for s, a, b in zip(seg.tolist(), turn[::2].tolist(), turn[1::2].tolist(), strict=True):
-            base = self.offset[s] - int(starts[s])
-            self.owner[s][0]["spans"].append((a + base, b + base))
-        self.clear()
+            move = self.offset[s] - int(starts[s])
+            self.owner[s][0]["spans"].append((a + move, b + move))
+
+    def _longest(self, ranked: Ranked, order: np.ndarray, is_test: np.ndarray, starts: np.ndarray) -> None:
+        """The longest match of each document: that of a training suffix with a benchmark suffix beside it."""
+        mine = np.flatnonzero(~is_test)
+        size, test = np.zeros(self.words, np.int64), np.zeros(self.words, np.int64)
+        for beside in _beside(is_test):
+            near = beside[mine]
+            p, q = order[mine[near >= 0]], order[near[near >= 0]]
+            found = ranked.common(p, q)
+            better = found > size[p]
+            size[p[better]], test[p[better]] = found[better], q[better] - self.words
+        for s, k in enumerate(np.maximum.reduceat(size, starts).tolist()):
+            doc = self.owner[s][0]
+            if k and k >= doc["longest"][0]:
+                at = int(starts[s] + np.argmax(size[starts[s] : starts[s] + self.owner[s][1]]))
+                place = at - int(starts[s]) + self.offset[s]
+                if k > doc["longest"][0] or place < doc["longest"][3]:
+                    item, pos = int(self.tests.item[test[at]]), int(self.tests.pos[test[at]])
+                    doc["longest"] = (k, self.tests.items[item], pos, place)
+
+    def _found_windows(self, ranked: Ranked, order: np.ndarray, is_test: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The places in the order of benchmark suffixes whose window occurs, and its length."""
+        mine = np.flatnonzero(is_test)
+        window = self.tests.window[order[mine] - self.words]
+        mine, window = mine[window > 0], window[window > 0]
+        found = np.zeros(len(mine), bool)
+        for beside in _beside(~is_test):
+            near = beside[mine]
+            there = np.flatnonzero(near >= 0)
+            found[there] |= ranked.common(order[mine[there]], order[near[there]]) >= window[there]
+        return mine[found], window[found]
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -262,56 +310,68 @@ _ARROW = pa.struct(
 )
 
 
-def _scan(block, width: int, shard_words: int, column: str, before: str | None, out: str, keep_text: bool):
-    """The function of one pass: adds column `out` with what this block of items finds to each row."""
+class _Row:
+    """A batch whose documents wait for their shard, with what each has found so far."""
+
+    def __init__(self, batch: pa.RecordBatch):
+        self.batch = batch
+        self.found = [{"words": 0, "spans": [], "items": set(), "longest": (0, None, None, None)} for _ in range(batch.num_rows)]
+
+
+def _scan(blocks: list, width: int, shard_words: int, column: str, out: str, keep_text: bool):
+    """The function of one pass: adds column `out` with what these blocks of items find to each row."""
+
+    def segments(data: bytes, code: dict, overlap: int) -> Iterator[tuple[int, np.ndarray, int]]:
+        """(offset, codes, words so far) of segments of at most shard_words codes, which overlap."""
+        held, at, total = np.zeros(0, np.int32), 0, 0
+        for words in word_pieces(data):
+            got = np.fromiter(map(code.get, words, repeat(0)), np.int32, len(words))
+            total += len(words)
+            held = np.concatenate((held, got)) if len(held) else got
+            while len(held) > shard_words + overlap:
+                yield at, held[: shard_words + overlap], total
+                held, at = held[shard_words:], at + shard_words
+        yield at, held, total
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tests = Suffixes([(i, words_of(t)) for i, t in block.value], width)
-        code, overlap = tests.code, max(0, tests.longest - 1)
-        shard = Shard(tests, shard_words)
-
-        def codes_in(data: bytes) -> Iterator[tuple[int, np.ndarray, int]]:
-            """(offset, codes, words so far) of segments of at most shard_words codes, which overlap."""
-            held, at, total = np.zeros(0, np.int32), 0, 0
-            for words in word_pieces(data):
-                got = np.fromiter(map(code.get, words, repeat(0)), np.int32, len(words))
-                total += len(words)
-                held = np.concatenate((held, got)) if len(held) else got
-                while len(held) > shard_words + overlap:
-                    yield at, held[: shard_words + overlap], total
-                    held, at = held[shard_words:], at + shard_words
-            yield at, held, total
-
-        for batch in batches:
-            found = []
-            for text in batch.column(batch.schema.get_field_index(column)):
-                doc = {"words": 0, "spans": [], "items": set(), "longest": (0, None, None, None)}
-                found.append(doc)
-                data = text.as_buffer()
-                if data is None or not data.size:
-                    continue
-                for offset, codes, total in codes_in(data.to_pybytes()):
-                    doc["words"] = total
-                    if len(codes):
-                        shard.add(doc, codes, offset)
-                    if shard.words >= shard_words:
-                        shard.flush()
-            shard.flush()  # no document waits for the next batch
-            old = batch.column(batch.schema.get_field_index(before)).to_pylist() if before else [None] * len(found)
-            rows = []
-            for doc, was in zip(found, old, strict=True):
-                spans, items, longest = merged(doc["spans"]), doc["items"], doc["longest"]
-                if was:
-                    spans = merged(spans + [(s["start"], s["end"]) for s in was["spans"]])
-                    items = items | set(was["items"])
-                    if was["longest_words"] > longest[0]:
-                        longest = (was["longest_words"], was["longest_item"], was["longest_item_pos"], was["longest_doc_pos"])
-                rows.append(
-                    {"n_words": doc["words"], "spans": [{"start": a, "end": b} for a, b in spans], "items": sorted(items), "longest_words": longest[0], "longest_item": longest[1], "longest_item_pos": longest[2], "longest_doc_pos": longest[3]}
-                )
-            columns = {n: c for n, c in zip(batch.schema.names, batch.columns, strict=True) if n != before and (keep_text or n != column)}
-            columns[out] = pa.array(rows, _ARROW)
-            yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+        own = Suffixes([(i, words_of(t)) for i, t in blocks[0].value], width) if len(blocks) == 1 else None
+
+        def searched(held: list[_Row]) -> Iterator[pa.RecordBatch]:
+            for block in blocks:
+                tests = own or Suffixes([(i, words_of(t)) for i, t in block.value], width)
+                shard, overlap = Shard(tests, shard_words), max(0, tests.longest - 1)
+                for row in held:
+                    for doc, text in zip(row.found, row.batch.column(row.batch.schema.get_field_index(column)), strict=True):
+                        data = text.as_buffer()
+                        if data is None or not data.size:
+                            continue
+                        for offset, codes, total in segments(data.to_pybytes(), tests.code, overlap):
+                            doc["words"] = total
+                            if len(codes):
+                                shard.add(doc, codes, offset)
+                            if shard.words >= shard_words:
+                                shard.flush()
+                shard.flush()
+            for row in held:
+                rows = []
+                for doc in row.found:
+                    size, item, pos, place = doc["longest"]
+                    rows.append(
+                        {"n_words": doc["words"], "spans": [{"start": a, "end": b} for a, b in merged(doc["spans"])], "items": sorted(doc["items"]), "longest_words": size, "longest_item": item, "longest_item_pos": pos, "longest_doc_pos": place}
+                    )
+                columns = {n: c for n, c in zip(row.batch.schema.names, row.batch.columns, strict=True) if keep_text or n != column}
+                columns[out] = pa.array(rows, _ARROW)
+                yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+
+        held, size = [], 0
+        for batch in batches_of(batches, 1 << 14, HELD_BYTES, column):
+            held.append(_Row(batch))
+            size += batch.nbytes
+            if size >= HELD_BYTES:
+                yield from searched(held)
+                held, size = [], 0
+        if held:
+            yield from searched(held)
 
     return scan
 
@@ -330,6 +390,25 @@ def _blocks(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int)
         yield rows
 
 
+def _added(found: list[Column]) -> Column:
+    """What several passes found of a row, as one struct."""
+    longest = F.sort_array(F.array(*[F.struct(-f["longest_words"], f["longest_doc_pos"], F.lit(k).alias("k"), f.alias("f")) for k, f in enumerate(found)]))[0]["f"]
+    spans = F.sort_array(F.flatten(F.array(*[f["spans"] for f in found])))
+    kind = "array<struct<start:bigint,end:bigint>>"
+
+    def put(done: Column, span: Column) -> Column:
+        last = F.element_at(done, -1)
+        longer = F.struct(last["start"].alias("start"), F.greatest(last["end"], span["end"]).alias("end"))
+        return F.when((F.size(done) > 0) & (span["start"] <= F.try_element_at(done, F.lit(-1))["end"]), F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(longer))).otherwise(F.concat(done, F.array(span)))
+
+    return F.struct(
+        found[0]["n_words"].alias("n_words"),
+        F.aggregate(spans, F.array().cast(kind), put).alias("spans"),
+        F.array_sort(F.array_distinct(F.flatten(F.array(*[f["items"] for f in found])))).alias("items"),
+        *[longest[c].alias(c) for c in ("longest_words", "longest_item", "longest_item_pos", "longest_doc_pos")],
+    )
+
+
 def find_matches(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -340,6 +419,7 @@ def find_matches(
     width: int = WIDTH,
     shard_words: int = SHARD_WORDS,
     block_bytes: int = BLOCK_BYTES,
+    pass_blocks: int = PASS_BLOCKS,
     keep_text: bool = False,
     out: str = "found",
 ) -> DataFrame:
@@ -348,18 +428,33 @@ def find_matches(
     The text itself goes unless keep_text. See the module's docstring for the defined results.
     """
     spark = docs.sparkSession
-    scratch = Scratch(spark, "matches")
-    blocks = list(map(spark.sparkContext.broadcast, _blocks(benchmark, item_col, item_text_col, block_bytes))) or [spark.sparkContext.broadcast([])]
-    now, before = docs, None
-    for k, block in enumerate(blocks):
-        last = k == len(blocks) - 1
-        name = out if last else f"{out}_{k}"
-        keep = keep_text or not last
-        fields = [f for f in now.schema.fields if f.name != before and (keep or f.name != text_col)]
-        now = now.mapInArrow(_scan(block, width, shard_words, text_col, before, name, keep), T.StructType([*fields, T.StructField(name, _FOUND)]))
-        if not last:
-            now, before = scratch.write(now, "pass"), name
-    return now
+    broadcast = spark.sparkContext.broadcast
+
+    def scanned(rows: DataFrame, blocks: list, name: str, keep: bool) -> DataFrame:
+        fields = [f for f in rows.schema.fields if keep or f.name != text_col]
+        return rows.mapInArrow(_scan(blocks, width, shard_words, text_col, name, keep), T.StructType([*fields, T.StructField(name, _FOUND)]))
+
+    parts = iter(_blocks(benchmark, item_col, item_text_col, block_bytes))
+    now = list(islice(parts, pass_blocks)) or [[]]
+    more = next(parts, None)
+    if more is None:
+        return scanned(docs, list(map(broadcast, now)), out, keep_text)
+    scratch, key = Scratch(spark, "matches"), fresh(docs, "_key")
+    rows = scratch.write(docs.withColumn(key, F.monotonically_increasing_id()), "documents")
+    done = []
+    while now:
+        sent = list(map(broadcast, now))
+        done.append(scratch.write(scanned(rows.select(key, text_col), sent, f"f{len(done)}", False), "pass"))
+        for x in sent:
+            x.destroy()
+        now = [more, *islice(parts, pass_blocks - 1)] if more is not None else []
+        more = next(parts, None) if more is not None else None
+    found = done[0]
+    for x in done[1:]:
+        found = found.join(x, key)
+    found = found.select(key, _added([F.col(f"f{k}") for k in range(len(done))]).alias(out))
+    keep = [c for c in docs.columns if keep_text or c != text_col]
+    return rows.join(found, key).select(*[F.col(f"`{c}`") for c in keep], out)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:

@@ -29,7 +29,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, connected_components, fresh, table
+from .common import Scratch, connected_components, table
+from .nearjaccard import deduplicate_similar, one_of_each
 
 SHINGLE = 3
 DISTANCE = 2
@@ -162,28 +163,26 @@ def near_duplicates(
     return _grouped(docs, id_col=id_col, text_col=text_col, width=width, parts=parts, crowd=crowd).select("id", "fp", "component_id")
 
 
-def one_of_each(docs: DataFrame, grouped: DataFrame, *, id_col: str, text_col: str) -> DataFrame:
-    """One row of `docs` for each component of `grouped` (id, text_hash, component): the smallest id, then text hash."""
-    first = F.struct(F.col("id").isNull(), "id", "text_hash")
-    keep = grouped.groupBy("component").agg(F.min(first).alias("first"))
-    id_, hash_, group = fresh(docs, "_id"), fresh(docs, "_text_hash"), fresh(docs, "_component")
-    keep = keep.select(F.col("first.id").alias(id_), F.col("first.text_hash").alias(hash_), F.col("component").alias(group))
-    same = F.col(id_col).eqNullSafe(F.col(id_)) & (F.xxhash64(text_col) == F.col(hash_))
-    return docs.join(keep, same).dropDuplicates([group]).select(*[docs[c] for c in docs.columns])
-
-
 def deduplicate(
     docs: DataFrame,
     *,
     id_col: str = "doc_id",
     text_col: str = "text",
     width: int = SHINGLE,
+    similarity: float | None = None,
     parts: int = PARTS,
     crowd: int = CROWD,
 ) -> DataFrame:
-    """One row of each group stays: that with the smallest id, of rows with that id the one with the smallest text hash."""
+    """One row of each group stays: that with the smallest id, of rows with that id the one with the smallest text hash.
+
+    Groups are those of the 64-bit fingerprints, or with `similarity` those of whole shingle sets (`nearjaccard`): at a
+    similarity of 0.8 fingerprints differ in about 10 of 64 bits, in which no part of useful width stays equal.
+    """
+    if similarity is not None:
+        return deduplicate_similar(docs, id_col=id_col, text_col=text_col, width=width, similarity=similarity)
+    scratch = Scratch(docs.sparkSession, "simhash-keep")
     grouped = _grouped(docs, id_col=id_col, text_col=text_col, width=width, parts=parts, crowd=crowd)
-    return one_of_each(docs, grouped, id_col=id_col, text_col=text_col)
+    return one_of_each(docs, grouped.select("id", "text_hash", "component"), scratch, id_col=id_col, text_col=text_col)
 
 
 def op7_simhash(spark, sf_dir: str) -> DataFrame:

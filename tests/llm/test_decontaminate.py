@@ -1,5 +1,7 @@
 import random
+import time
 
+import numpy as np
 import pytest
 
 from palimpsest.llm import decontaminate as d
@@ -50,8 +52,13 @@ def test_blocks_of_the_benchmark_give_the_same(spark):
     docs = spark.createDataFrame([(i, words(rng, 8, 300) + " " + items[i % 12][1] + " " + items[(i * 5) % 12][1], "") for i in range(20)], SCHEMA)
     bench = spark.createDataFrame(items, "item_id long, text string")
     one = {(r.doc_id, str(r.f.spans), str(r.f["items"])) for r in d.find_matches(docs, bench, out="f").collect()}
-    many = {(r.doc_id, str(r.f.spans), str(r.f["items"])) for r in d.find_matches(docs, bench, block_bytes=100, out="f").collect()}
-    assert one == many
+    longest = {r.doc_id: (r.f.longest_words, r.f.longest_doc_pos) for r in d.find_matches(docs, bench, out="f").collect()}
+    for passes in (100, 3, 1):
+        rows = d.find_matches(docs, bench, block_bytes=100, pass_blocks=passes, keep_text=True, out="f")
+        assert rows.columns == [*docs.columns, "f"]
+        rows = rows.collect()
+        assert {(r.doc_id, str(r.f.spans), str(r.f["items"])) for r in rows} == one
+        assert {r.doc_id: (r.f.longest_words, r.f.longest_doc_pos) for r in rows} == longest
 
 
 def test_word_pieces_are_the_words():
@@ -88,3 +95,46 @@ def test_clashing_columns(spark):
     docs = spark.createDataFrame([(1, "a b", "x")], "doc_id long, text string, _found string")
     out = d.decontaminate(docs, spark.createDataFrame([(1, "c")], "item_id long, text string"))
     assert [tuple(r) for r in out.collect()] == [(1, "a b", "x")]
+
+
+def longest_by_hand(text, items):
+    w, best = d.words_of(text), (0, None)
+    for _, t in items:
+        other = d.words_of(t)
+        for a in range(len(w)):
+            for b in range(len(other)):
+                k = 0
+                while a + k < len(w) and b + k < len(other) and w[a + k] == other[b + k]:
+                    k += 1
+                if k > best[0] or k == best[0] and k and a < best[1]:
+                    best = (k, a)
+    return best
+
+
+@pytest.mark.parametrize("vocabulary", [1, 2, 3, 9, 200])
+def test_shards_equal_brute_force(vocabulary):
+    rng = random.Random(vocabulary)
+    for _ in range(30):
+        items = [(str(i), words(rng, rng.choice((1, 2, 4, 9, 10, 11, 30, 60)), vocabulary)) for i in range(rng.randrange(1, 5))]
+        tests = d.Suffixes([(i, d.words_of(t)) for i, t in items], 10)
+        shard, docs = d.Shard(tests, 1 << 20), []
+        for k in range(4):
+            text = words(rng, rng.randrange(1, 50), vocabulary) + " x " + rng.choice(items)[1]
+            docs.append((text, {"words": 0, "spans": [], "items": set(), "longest": (0, None, None, None)}))
+            w = d.words_of(text)
+            shard.add(docs[-1][1], np.array([tests.code.get(x, 0) for x in w], np.int32), 0)
+        shard.flush()
+        want = d.brute_force([(k, t) for k, (t, _) in enumerate(docs)], items)
+        for k, (text, doc) in enumerate(docs):
+            assert (sum(b - a for a, b in d.merged(doc["spans"])), sorted(doc["items"])) == want[k][1:3]
+            assert (doc["longest"][0], doc["longest"][3]) == longest_by_hand(text, items)
+
+
+def test_one_word_many_times():
+    n = 20_000
+    tests = d.Suffixes([("a", [b"ha"] * n), ("b", [b"ha"] * n), ("c", [b"ha"] * 3)], 10)
+    shard, doc = d.Shard(tests, 1 << 20), {"words": 0, "spans": [], "items": set(), "longest": (0, None, None, None)}
+    shard.add(doc, np.ones(n, np.int32), 0)
+    began = time.process_time()
+    shard.flush()
+    assert time.process_time() - began < 10 and doc["spans"] == [(0, n)] and doc["items"] == {"a", "b", "c"} and doc["longest"][0] == n

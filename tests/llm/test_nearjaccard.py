@@ -1,27 +1,53 @@
 import random
 
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
 from palimpsest.llm import nearjaccard as d
+from palimpsest.llm import simhash
 
 
-@pytest.mark.parametrize("crowd", [1, 24])
-def test_all_pairs_so_alike_are_found(spark, crowd):
-    rng = random.Random(2)
+def random_texts(rng):
     rows = []
+    common = [" ".join(f"c{rng.randrange(50)}" for _ in range(30)) for _ in range(3)]
     for _ in range(12):
         words = [f"w{rng.randrange(400)}" for _ in range(rng.randrange(3, 150))]
         for _ in range(rng.randrange(1, 7)):
-            rows.append((len(rows), " ".join(words)))
+            rows.append((len(rows), " ".join([*words, rng.choice(common)] if rng.random() < 0.5 else words)))
             words = list(words)
             for _ in range(rng.randrange(1, 4)):
                 words[rng.randrange(len(words))] = "edited"
-    rows += [(900, None), (901, " \n"), (902, "Two  words"), (903, "two words")]
-    kept = d.deduplicate_similar(spark.createDataFrame(rows, "doc_id long, text string"), crowd=crowd)
+    return rows + [(900, None), (901, " \n"), (902, "Two  words"), (903, "two words"), (904, ""), (905, "two\twordS ")]
+
+
+@pytest.mark.parametrize("stars,portion", [(0, 1 << 21), (1, 50), (6, 400)])
+def test_all_pairs_so_alike_are_found(spark, monkeypatch, stars, portion):
+    monkeypatch.setattr(d, "STARS", stars)
+    monkeypatch.setattr(d, "PORTION", portion)
+    monkeypatch.setattr(d, "FEW", 0.0)
+    rows = random_texts(random.Random(2))
+    kept = d.deduplicate_similar(spark.createDataFrame(rows, "doc_id long, text string"))
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(d.brute_force(rows).values()))
 
 
+def test_long_texts_are_cut(monkeypatch):
+    text = " ".join(f"w{k % 37}" for k in range(500)) + "  end "
+    whole = d.shingle_sets(pa.array([text, None, "a b"]))
+    parts = d.shingle_sets(pa.array([text, None, "a b"]), long=40)
+    assert [x.tolist() for x in whole] == [x.tolist() for x in parts] and len(whole[0]) > 30
+
+
+def test_odd_rows_of_the_deduplication(spark):
+    rows = [(None, "first text here", "a"), (None, "second text there", "b"), (7, "one", "c"), (7, "two", "c"), (7, "two", "c"), (8, "two", "d"), (None, "two", "e")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, node string")
+    for options in ({}, {"similarity": 0.8, "width": 5}):
+        kept = simhash.deduplicate(docs, **options)
+        assert kept.columns == docs.columns
+        assert sorted(((r.doc_id or 0), r.text) for r in kept.collect()) == [(0, "first text here"), (0, "second text there"), (7, "one"), (7, "two")]
+        assert simhash.deduplicate(docs.limit(0), **options).count() == 0
+
+
 def test_edited_copies_do_not_pass_the_pipeline(spark, sf):
     words = [f"word{k}" for k in range(120)]
     rows = [(1, " ".join(words)), (2, " ".join([*words[:60], "edited", *words[61:]])), (3, " ".join(words[:60])), (None, "a text without an id"), (None, "and quite another one")]

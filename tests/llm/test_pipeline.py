@@ -1,5 +1,5 @@
 import corpus_pipeline
-from palimpsest.llm import decontaminate, language, mixing, simhash
+from palimpsest.llm import decontaminate, language, mixing, nearjaccard
 from tests.llm.test_other_operators import expected_tokens
 
 
@@ -16,8 +16,8 @@ def test_stages_do_what_their_operators_say(spark, sf):
         if name == "language_id":
             assert {r.doc_id for r in rows} == {i for i, t in kept.items() if t and any(c.isalpha() for c in t)}
         elif name == "near_duplicates":
-            want = simhash.brute_force([(r.doc_id, r.text) for r in before.collect()])
-            assert sorted(r.doc_id for r in rows) == sorted({c for _, c in want.values()})
+            want = nearjaccard.brute_force([(r.doc_id, r.text) for r in before.collect()])
+            assert sorted(r.doc_id for r in rows) == sorted(set(want.values()))
         elif name == "decontamination":
             want = decontaminate.brute_force([(r.doc_id, r.text) for r in before.collect()], bench)
             assert {r.doc_id for r in rows} == {i for i, w in want.items() if not w[1]}
