@@ -1,5 +1,8 @@
+import time
+
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from palimpsest.llm import exactdedup, linededup
 
@@ -28,12 +31,31 @@ def test_exact_groups(spark, block):
 
 def test_exact_hot_blocks(spark, monkeypatch):
     monkeypatch.setattr(exactdedup, "BUCKET_ROWS", 2)
-    monkeypatch.setattr(exactdedup, "HOT_SHARE", 10)
+    monkeypatch.setattr(exactdedup, "HOT_ROWS", 5)
     rows = [(i, "hot text" if i % 3 else f"cold {i // 6}") for i in range(60)]
     got = exactdedup.exact_groups(spark.createDataFrame(rows, "doc_id long, text string"), block=5)
     assert rows_of(got, "id", "keep_id", "group_size", "kept", "text_sha256") == oracle(exactdedup.OP8_SQL, rows)
 
 
+@pytest.mark.parametrize("hot", [5, 1000])
+def test_names_do_not_rest_on_hashes(spark, monkeypatch, hot):
+    monkeypatch.setattr(exactdedup, "_hashed", lambda *keys: F.lit(3).cast("long"))
+    monkeypatch.setattr(exactdedup, "HOT_ROWS", hot)
+    rows = [(i, "hot text" if i % 3 else f"cold {i // 6} and longer" * (1 + i // 6)) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = {i: t for i, t in rows}
+    for block in (5, 4096):
+        found = exactdedup.identities(docs, exactdedup.Scratch(spark, "test"), block=block).collect()
+        assert len(found) == 40 and all((a.level, a.name) == (b.level, b.name) if want[a.id] == want[b.id] else (a.level, a.name) != (b.level, b.name) for a in found for b in found)
+
+
+def test_a_very_long_text(spark):
+    long = spark.range(3).selectExpr("id AS doc_id", "concat(repeat('ab\nÉx', 1000000), CASE WHEN id < 2 THEN 'Z' ELSE 'y' END) AS text", "1 AS block", "2 AS name")
+    began = time.time()
+    got = rows_of(exactdedup.exact_groups(long), "id", "keep_id", "group_size", "kept")
+    assert got == [(0, 1, 2, False), (1, 1, 2, True), (2, 2, 1, True)] and time.time() - began < 60
+
+
 def test_exact_repeats_nulls_and_empty(spark):
     rows = [(1, "a"), (1, "a"), (None, "a"), (2, "b"), (2, "c"), (None, None)]
     got = rows_of(exactdedup.exact_groups(spark.createDataFrame(rows, "doc_id long, text string")), "id", "keep_id", "group_size", "kept")
