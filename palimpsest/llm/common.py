@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -12,6 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: The upper-case ASCII letters and their lower-case forms.
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -23,9 +25,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder of the cluster (spark.checkpoint.dir); a temporary one only where that is unset."""
+    """The shared folder of the cluster (spark.checkpoint.dir); a temporary one only where that is unset and Spark runs in one process."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.conf.get("spark.master", "")
+        if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+            raise RuntimeError(f"spark.checkpoint.dir must name a folder that all executors share; it is unset and the master is {master!r}")
         root = "file://" + tempfile.mkdtemp(prefix="palimpsest-")
         spark.conf.set("spark.checkpoint.dir", root)
         atexit.register(_remove_quietly, spark, root)
@@ -83,6 +88,18 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def row_hash(df: DataFrame) -> Column:
+    """A hash of all columns; maps, which have no order, are hashed by their sorted entries, other types that hold one as JSON."""
+
+    def hashable(f) -> Column:
+        c = F.col(f"`{f.name}`")
+        if isinstance(f.dataType, T.MapType):
+            return F.to_json(F.array_sort(F.transform(F.map_entries(c), lambda e: F.to_json(F.struct(e["key"].alias("k"), e["value"].alias("v"))))))
+        return F.to_json(F.struct(c)) if "map<" in f.dataType.simpleString() or "variant" in f.dataType.simpleString() else c
+
+    return F.xxhash64(*[hashable(f) for f in df.schema.fields]) if df.columns else F.lit(0).cast("long")
+
+
 def fold_ascii(text: Column) -> Column:
     """Lower-cases A-Z and nothing else; null counts as empty."""
     text = F.coalesce(text, F.lit(""))

@@ -35,6 +35,8 @@ from .common import batches_of, table
 
 LENGTH = 400
 UNKNOWN = "und"
+#: A score below this is no language. Texts of a learned language reach 0.4 and more, those that share few n-grams stay below 0.1.
+MIN_SCORE = 0.2
 #: Characters of a batch that are counted together.
 BATCH_CHARS = 1 << 19
 BATCH_ROWS = 4096
@@ -272,8 +274,8 @@ def held_out(id_col: str = "doc_id"):
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))) % 3 == 1
 
 
-def keep_identified(docs: DataFrame, profiles: DataFrame, *, text_col: str = "text", min_score: float = 0.0, length: int = LENGTH) -> DataFrame:
-    """The rows of `docs` with a language, at `min_score` or more."""
+def keep_identified(docs: DataFrame, profiles: DataFrame, *, text_col: str = "text", min_score: float = MIN_SCORE, length: int = LENGTH) -> DataFrame:
+    """The rows of `docs` with a language, at `min_score` or more: a text far from every profile goes."""
     found = identify(docs, profiles, text_col=text_col, length=length)
     return found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= min_score)).select("row.*")
 

@@ -20,7 +20,9 @@ Defined results
     repeated rows  each row is a document of its own
     no words       if all sizes of a source are 0, its target is 0 and no copy is taken
     empty table    no rows
-    extra columns  are kept by `mix`, whatever their names
+    long texts     are counted by one pass of a pattern; a document is taken or left as a whole
+    ties           documents of one source and size meet in the order of their ids, then of their number
+    extra columns  are kept by `mix`, whatever their names and types
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, table
+from .common import Scratch, row_hash, table
 
 WEIGHTS = (5, 2, 1)
 TOTAL = 1.5
@@ -171,8 +173,8 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
     nth = F.row_number().over(Window.partitionBy("id", "source", "size").orderBy("copies")).alias("_nth")
     found = found.select("id", "source", "size", "copies", nth).alias("m")
     keys = [F.col(id_col).cast("long").alias("_id"), F.col(source_col).alias("_source"), word_count(F.col(text_col)).alias("_size")]
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), *keys)
-    rows = rows.withColumn("_nth", F.row_number().over(Window.partitionBy("_id", "_source", "_size").orderBy(F.xxhash64("_row")))).alias("d")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), *keys, row_hash(docs).alias("_hash"))
+    rows = rows.withColumn("_nth", F.row_number().over(Window.partitionBy("_id", "_source", "_size").orderBy("_hash"))).alias("d")
     same = F.col("d._id").eqNullSafe(F.col("m.id")) & F.col("d._source").eqNullSafe(F.col("m.source")) & (F.col("d._size") == F.col("m.size")) & (F.col("d._nth") == F.col("m._nth"))
     rows = rows.join(found, same).where("copies > 0").select("d._row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("_copy"))
     return rows.select("_row.*")

@@ -43,6 +43,8 @@ def test_language_of_odd_rows(spark, monkeypatch):
     assert sorted(out) == [(1, "en"), (1, "en"), (2, "und"), (3, "und"), (4, "und"), (5, "de"), (6, "und")]
     kept = language.keep_identified(docs, profiles)
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [1, 1, 5]
+    far = spark.createDataFrame([(1, "the cat and the dog", ""), (2, "кошка и собака", ""), (3, "zzz qqq xxx vvv zqxv", "")], "doc_id long, text string, score string")
+    assert [r.doc_id for r in language.keep_identified(far, profiles).collect()] == [1]
     none = language.learn_profiles(train.limit(0))
     assert {r.lang_pred for r in language.identify(docs, none).collect()} == {"und"}
     assert language.identify(docs.limit(0), profiles).count() == 0
@@ -57,6 +59,29 @@ def test_long_texts_are_added_up(monkeypatch):
     assert len(parts) > 3 and dict(zip(added.names(added.gram), added.count.tolist())) == dict(zip(whole.names(whole.gram), whole.count.tolist()))
 
 
+def predicted_by_hand(text, profiles):
+    """The out-of-place distance, one n-gram at a time."""
+    own = language.brute_force_profile([text or ""])
+    if not own:
+        return "und", 0.0
+    length = language.LENGTH
+    away = {lang: sum(abs(ranks[g] - k) if g in ranks else length for k, g in enumerate(own)) for lang, ranks in profiles.items()}
+    best = min(sorted(away), key=away.get)
+    return best, 1 - away[best] / (len(own) * length)
+
+
+def test_predictions_equal_brute_force(spark, sf):
+    docs = {r.doc_id: r for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    texts = defaultdict(list)
+    for i, r in docs.items():
+        if zlib.crc32(str(i).encode()) % 3 != 1 and r.lang is not None:
+            texts[r.lang].append(r.text)
+    profiles = {lang: {g: k for k, g in enumerate(language.brute_force_profile(t))} for lang, t in texts.items()}
+    for r in language.op3_language_id(spark, sf).collect():
+        lang, score = predicted_by_hand(docs[r.doc_id].text, profiles)
+        assert r.lang_pred == lang and r.score == pytest.approx(score)
+
+
 # -- mixing ------------------------------------------------------------------
 
 
@@ -103,6 +128,33 @@ def test_mix_of_odd_rows(spark):
     out = mixing.mix(docs)
     assert out.columns == docs.columns and max(Counter(map(tuple, out.collect())).values(), default=0) <= 4
     assert mixing.mix(docs.limit(0)).count() == 0
+    odd = spark.createDataFrame([(1, "a b", "s", {"k": 1}, 1, "p"), (1, "a b", "s", {"k": 2}, 2, "q"), (2, "c " * 100_000, "s", None, None, None)], "doc_id long, text string, source string, m map<string,int>, id int, _size string")
+    got = mixing.mix(odd)
+    assert got.columns == odd.columns and {r._size for r in got.collect()} <= {"p", "q", None}
+
+
+def test_mixture_equals_brute_force(spark):
+    rng = random.Random(4)
+    docs = [(i, " ".join("w" * rng.randrange(1, 60)), rng.choice(["a", "b", "c", None])) for i in range(400)]
+    total, order = sum(len(t.split()) for _, t, _ in docs), ["a", "b", "c", None]
+    size = {s: sum(len(t.split()) for _, t, x in docs if x == s) for s in order}
+    weight, target, open_ = dict(zip(order, (5, 2, 1, 5))), {}, list(order)
+    while True:  # shares by weight, again and again, until none is above twice its size
+        left = 1.5 * total - sum(target.values())
+        over = [s for s in open_ if left * weight[s] / sum(weight[x] for x in open_) > 2 * size[s]]
+        if not over:
+            break
+        target |= {s: 2.0 * size[s] for s in over}
+        open_ = [s for s in open_ if s not in over]
+    target |= {s: left * weight[s] / sum(weight[x] for x in open_) for s in open_}
+    rows = mixing.mixture(spark.createDataFrame(docs, "doc_id long, text string, source string")).collect()
+    assert sorted((r.id, r["size"]) for r in rows) == [(i, len(t.split())) for i, t, _ in docs]
+    for s in order:
+        part = [r for r in rows if r.source == s]
+        assert {(r.source_size, round(r.target, 6)) for r in part} == {(size[s], round(target[s], 6))}
+        rate = target[s] / size[s]
+        assert all(r.copies in (int(rate + 1e-9), int(rate + 1e-9) + 1) and r.copies <= 2 for r in part)
+        assert abs(sum(r.copies * r["size"] for r in part) - target[s]) <= max(r["size"] for r in part)
 
 
 # -- tokens ------------------------------------------------------------------
