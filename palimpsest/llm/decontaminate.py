@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, batches_of, fresh, table
+from .common import Scratch, batches_of, bounded_batches, fresh, table
 
 WIDTH = 10
 SHARD_WORDS = 1 << 20
@@ -428,6 +428,7 @@ def find_matches(
     The text itself goes unless keep_text. See the module's docstring for the defined results.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     broadcast = spark.sparkContext.broadcast
 
     def scanned(rows: DataFrame, blocks: list, name: str, keep: bool) -> DataFrame:

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import batches_of, table
+from .common import batches_of, bounded_batches, table
 
 LENGTH = 400
 UNKNOWN = "und"
@@ -161,6 +161,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def learn_profiles(docs: DataFrame, *, length: int = LENGTH) -> DataFrame:
     """(lang, rank, gram) from (text, lang): the `length` most frequent n-grams of each language."""
+    bounded_batches(docs.sparkSession)
     rows = docs.where("text is not null and lang is not null").select("text", "lang")
     sums = rows.mapInArrow(_counts, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     order = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), F.length("gram"), "gram"))
