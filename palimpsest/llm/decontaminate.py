@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, batches_of, bounded_batches, fresh, table
+from .common import Scratch, batches_of, bounded_batches, fresh, table, trimmed
 
 WIDTH = 10
 SHARD_WORDS = 1 << 20
@@ -433,7 +433,7 @@ def find_matches(
 
     def scanned(rows: DataFrame, blocks: list, name: str, keep: bool) -> DataFrame:
         fields = [f for f in rows.schema.fields if keep or f.name != text_col]
-        return rows.mapInArrow(_scan(blocks, width, shard_words, text_col, name, keep), T.StructType([*fields, T.StructField(name, _FOUND)]))
+        return rows.mapInArrow(trimmed(_scan(blocks, width, shard_words, text_col, name, keep)), T.StructType([*fields, T.StructField(name, _FOUND)]))
 
     parts = iter(_blocks(benchmark, item_col, item_text_col, block_bytes))
     now = list(islice(parts, pass_blocks)) or [[]]

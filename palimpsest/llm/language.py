@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import batches_of, bounded_batches, table
+from .common import batches_of, bounded_batches, table, trimmed
 
 LENGTH = 400
 UNKNOWN = "und"
@@ -163,7 +163,7 @@ def learn_profiles(docs: DataFrame, *, length: int = LENGTH) -> DataFrame:
     """(lang, rank, gram) from (text, lang): the `length` most frequent n-grams of each language."""
     bounded_batches(docs.sparkSession)
     rows = docs.where("text is not null and lang is not null").select("text", "lang")
-    sums = rows.mapInArrow(_counts, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    sums = rows.mapInArrow(trimmed(_counts), "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     order = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), F.length("gram"), "gram"))
     return sums.withColumn("rank", order - 1).where(F.col("rank") < length).select("lang", "rank", "gram")
 
@@ -267,7 +267,7 @@ def identify(docs: DataFrame, profiles: DataFrame, *, text_col: str = "text", le
     shared = docs.sparkSession.sparkContext.broadcast(rows)
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     schema = T.StructType([packed.schema["row"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return packed.mapInArrow(_predict(shared, length, text_col), schema)
+    return packed.mapInArrow(trimmed(_predict(shared, length, text_col)), schema)
 
 
 def held_out(id_col: str = "doc_id"):

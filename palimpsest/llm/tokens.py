@@ -35,11 +35,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, batches_of, table
+from .common import Scratch, batches_of, table, trimmed
 
 END_ID = 2
 #: Bytes of words that a Python worker remembers, what an entry takes at most, and the longest word that is kept.
-REMEMBERED = 64 << 20
+REMEMBERED = 32 << 20
 ENTRY_BYTES = 256
 LONG_WORD = 24
 ROW_GROUP_BYTES = 32 << 20
@@ -241,7 +241,7 @@ def write_tokens(
     rows = rows.repartitionByRange("doc_id", tie).sortWithinPartitions("doc_id", tie)
     keep = [c for c in rows.columns if c != "text"]
     added = [T.StructField("part", T.IntegerType()), T.StructField("local_start", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType()))]
-    coded = rows.mapInArrow(_encode(tokenizer or default_tokenizer(), end_id, keep), T.StructType([rows.schema[c] for c in keep] + added))
+    coded = rows.mapInArrow(trimmed(_encode(tokenizer or default_tokenizer(), end_id, keep)), T.StructType([rows.schema[c] for c in keep] + added))
     coded.write.options(
         **{"compression": "zstd", "parquet.block.size": row_group_bytes, "parquet.page.size": page_bytes, "parquet.enable.dictionary": "true", "parquet.writer.version": "PARQUET_2_0"}
     ).parquet(path)
