@@ -42,7 +42,12 @@ def squeeze(c: Column | str) -> Column:
 
 def tokens(c: Column | str) -> Column:
     """Lower-case runs of ASCII letters and digits."""
-    return F.regexp_extract_all(F.lower(blank(c)), F.lit("[a-z0-9]+"), F.lit(0))
+    return F.array_remove(F.split(F.lower(blank(c)), "[^a-z0-9]+"), "")
+
+
+def token_count(c: Column | str) -> Column:
+    """The number of `tokens`, without making them."""
+    return F.regexp_count(F.lower(blank(c)), F.lit("[a-z0-9]+"))
 
 
 def whitespace_tokens(c: Column | str) -> Column:

@@ -22,16 +22,22 @@ DIGITS = 6
 VECTOR_BLOCK = 4096
 
 
-def postings(items: DataFrame, item: str = "item_id", text: str = "text") -> DataFrame:
-    """(item_id, term, tf, length): an inverted index by row."""
+def postings(items: DataFrame, item: str = "item_id", text: str = "text", only: DataFrame | None = None) -> DataFrame:
+    """(item_id, term, tf, length): an inverted index by row, of the terms of `only` (term) if that is given.
+
+    Other terms go before anything is shuffled. Rows are dealt out by item, so what is summed up for each item
+    afterwards needs no further shuffle.
+    """
     terms = items.select(F.col(item).alias("item_id"), tx.tokens(F.col(text)).alias("ts"))
     rows = terms.select("item_id", F.size("ts").alias("length"), F.explode("ts").alias("term"))
+    if only is not None:
+        rows = rows.join(only, "term", "left_semi").repartition("item_id")
     return rows.groupBy("item_id", "length", "term").agg(F.count("*").alias("tf"))
 
 
 def corpus_size(items: DataFrame, text: str = "text") -> DataFrame:
     """One row: the number of items and their mean length."""
-    return items.agg(F.count("*").alias("n"), F.avg(F.size(tx.tokens(F.col(text)))).alias("mean_length"))
+    return items.agg(F.count("*").alias("n"), F.avg(tx.token_count(F.col(text))).alias("mean_length"))
 
 
 def question_terms(questions: DataFrame, q: str = "q", text: str = "question") -> DataFrame:
@@ -51,19 +57,19 @@ def bm25(items: DataFrame, questions: DataFrame, variant: str = "plus1", item: s
     Only the postings of question terms are joined; statistics are those of the items given, so filter first
     for statistics of a subset.
     """
-    index = postings(items, item, text)
     asked = question_terms(questions)
     size = corpus_size(items, text)
+    index = postings(items, item, text, asked.select("term").distinct())
     df = index.groupBy("term").agg(F.count("*").alias("df"))
     if variant == "okapi":
         raw = F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
-        terms = df.crossJoin(F.broadcast(size)).withColumn("raw", raw)  # one row of corpus statistics
-        mean = terms.agg(F.avg("raw").alias("mean_idf"))
-        terms = terms.join(asked.select("term").distinct(), "term", "left_semi").crossJoin(F.broadcast(mean))
+        every = postings(items, item, text).groupBy("term").agg(F.count("*").alias("df"))  # the mean is over all terms
+        mean = every.crossJoin(F.broadcast(size)).agg(F.avg(raw).alias("mean_idf"))
+        terms = df.crossJoin(F.broadcast(size)).withColumn("raw", raw).crossJoin(F.broadcast(mean))  # one row of statistics each
         terms = terms.withColumn("idf", F.when(F.col("raw") < 0, EPSILON * F.col("mean_idf")).otherwise(F.col("raw")))
         weight = F.col("idf") * F.col("qtf")
     else:
-        terms = df.join(asked.select("term").distinct(), "term", "left_semi").crossJoin(F.broadcast(size))
+        terms = df.crossJoin(F.broadcast(size))
         terms = terms.withColumn("idf", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
         weight = F.col("idf")
     asked = asked.join(terms.select("term", "idf", "mean_length"), "term")
