@@ -245,6 +245,50 @@ def test_archives_of_odd_rows(spark, tmp_path):
     assert warc.read_records(spark, empty).count() == 0
 
 
+def test_records_are_gzip_members(spark, tmp_path):
+    pages = spark.createDataFrame([(k, f"u{k}", f"page {k % 3}") for k in range(20)], "page_id long, url string, html string")
+    path = tmp_path / "w"
+    warc.write_archives(pages.coalesce(1), str(path))
+    (file,) = path.glob("*/part-*")
+    data, found = file.read_bytes(), []
+    while data:  # each member can be read alone, from its first byte
+        member = zlib.decompressobj(31)
+        record = member.decompress(data)
+        assert member.eof
+        data = member.unused_data
+        if record:
+            ((head, _),) = warc.parse([record])
+            found.append(head["warc-record-id"])
+    assert sorted(found) == sorted(f"<urn:page:{k}>" for k in range(20))
+    assert [h["warc-record-id"] for h, _ in warc.parse(warc.unpacked(file.read_bytes()))] == found
+    with pytest.raises(ValueError):
+        list(warc.parse(warc.unpacked(file.read_bytes()[:-30])))
+
+
+@pytest.mark.parametrize("compression", ["gzip", "none"])
+def test_binary_and_large_payloads(spark, tmp_path, compression):
+    rng = random.Random(5)
+    sizes = [0, 1, 10, 900, 1000, 1001, 7000, 9000, 70_000, 3_000_000]
+    rows = [(f"id {k} > é" if k else "none", "u", rng.randbytes(n), "x") for k, n in enumerate(sizes)] + [("z", "u", b"\xff\xfe\r\n\r\n", "x"), (None, None, b"\xff\xfe\r\n\r\n", "x")]
+    pages = spark.createDataFrame(rows, "page_id string, url string, html binary, payload string").repartition(3)
+    path = tmp_path / "w"
+    warc.write_archives(pages, str(path), file_records=64, file_bytes=64_000, compression=compression)
+    got = warc.read_records(spark, str(path), with_payload=True).collect()
+    assert {r.page: bytes(r.payload) for r in got if r.record_type == "response"} == {i: bytes(p) for i, _, p, _ in rows if i is not None}
+    assert [(r.page, r.refers_to) for r in got if r.record_type == "revisit"] == [(None, "z")]
+    files = [f.read_bytes() for f in path.glob("*/part-*")]
+    for data in files:
+        blocks = [len(b) for _, b in warc.parse(warc.unpacked(data))]
+        assert len(blocks) == 1 or sum(blocks) <= 64_000 + 200 * len(blocks)
+
+
+def test_revisits_by_shuffle_are_the_same(spark, sf):
+    pages = spark.read.parquet(f"{sf}/pages.parquet")
+    sent, shuffled = (warc.resolved(pages, sent_bytes=n) for n in (1 << 20, 0))
+    columns = ["id", "digest", "bytes", "refers_to", "refers_url"]
+    assert sorted(map(tuple, sent.select(columns).collect())) == sorted(map(tuple, shuffled.select(columns).collect()))
+
+
 # -- n-gram scores -----------------------------------------------------------
 
 TEXTS = [(1, "a b c a b"), (2, "A b d"), (3, None), (4, ""), (5, "a b c a b"), (6, "z"), (5, "é é é")]
