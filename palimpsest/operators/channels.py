@@ -20,18 +20,31 @@ EPSILON = 0.25
 DIGITS = 6
 #: Question vectors that are sent to the tasks at once.
 VECTOR_BLOCK = 4096
+#: Items of fewer bytes are dealt out before they are read word by word: few tasks would read such small files.
+SPREAD_BYTES = 1 << 30
+#: Question terms that are sent to the tasks at most, about 64 bytes each; beyond that Spark chooses the join.
+SENT_TERMS = 1 << 20
 
 
-def postings(items: DataFrame, item: str = "item_id", text: str = "text", only: DataFrame | None = None) -> DataFrame:
+def dealt(items: DataFrame, item: str = "item_id", text: str = "text") -> tuple[DataFrame, bool]:
+    """(item_id, text), and whether they are dealt out by item: where Catalyst estimates them at less than SPREAD_BYTES."""
+    rows = items.select(F.col(item).alias("item_id"), F.col(text).alias("text"))
+    small = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < SPREAD_BYTES
+    return rows.repartition("item_id") if small else rows, small
+
+
+def postings(items: DataFrame, item: str = "item_id", text: str = "text", only: DataFrame | None = None, placed: bool = False) -> DataFrame:
     """(item_id, term, tf, length): an inverted index by row, of the terms of `only` (term) if that is given.
 
-    Other terms go before anything is shuffled. Rows are dealt out by item, so what is summed up for each item
-    afterwards needs no further shuffle.
+    Other terms go before anything is shuffled. Rows are dealt out by item, if they are not `placed` so, and what is
+    summed up for each item afterwards needs no further shuffle.
     """
     terms = items.select(F.col(item).alias("item_id"), tx.tokens(F.col(text)).alias("ts"))
-    rows = terms.select("item_id", F.size("ts").alias("length"), F.explode("ts").alias("term"))
+    # an outer explode, for which Spark does not make the tokens once more to see whether there are any
+    rows = terms.select("item_id", F.size("ts").alias("length"), F.explode_outer("ts").alias("term")).where("term is not null")
     if only is not None:
-        rows = rows.join(only, "term", "left_semi").repartition("item_id")
+        rows = rows.join(only, "term", "left_semi")
+        rows = rows if placed else rows.repartition("item_id")
     return rows.groupBy("item_id", "length", "term").agg(F.count("*").alias("tf"))
 
 
@@ -58,12 +71,14 @@ def bm25(items: DataFrame, questions: DataFrame, variant: str = "plus1", item: s
     for statistics of a subset.
     """
     asked = question_terms(questions)
-    size = corpus_size(items, text)
-    index = postings(items, item, text, asked.select("term").distinct())
+    sent = F.broadcast if asked.limit(SENT_TERMS + 1).count() <= SENT_TERMS else lambda rows: rows
+    items, placed = dealt(items, item, text)
+    size = corpus_size(items)
+    index = postings(items, only=sent(asked.select("term").distinct()), placed=placed)
     df = index.groupBy("term").agg(F.count("*").alias("df"))
     if variant == "okapi":
         raw = F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
-        every = postings(items, item, text).groupBy("term").agg(F.count("*").alias("df"))  # the mean is over all terms
+        every = postings(items).groupBy("term").agg(F.count("*").alias("df"))  # the mean is over all terms
         mean = every.crossJoin(F.broadcast(size)).agg(F.avg(raw).alias("mean_idf"))
         terms = df.crossJoin(F.broadcast(size)).withColumn("raw", raw).crossJoin(F.broadcast(mean))  # one row of statistics each
         terms = terms.withColumn("idf", F.when(F.col("raw") < 0, EPSILON * F.col("mean_idf")).otherwise(F.col("raw")))
@@ -73,7 +88,7 @@ def bm25(items: DataFrame, questions: DataFrame, variant: str = "plus1", item: s
         terms = terms.withColumn("idf", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
         weight = F.col("idf")
     asked = asked.join(terms.select("term", "idf", "mean_length"), "term")
-    hits = index.join(asked, "term")
+    hits = index.join(sent(asked), "term")
     part = weight * _saturated(F.col("tf"), F.col("length"), F.col("mean_length"))
     return hits.groupBy("q", "item_id").agg(F.round(F.sum(part), DIGITS).alias("score"))
 
