@@ -23,7 +23,7 @@ Defined results
 
 from __future__ import annotations
 
-from pyspark.ml.classification import RandomForestClassifier
+from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
@@ -144,7 +144,9 @@ def scored(featured: DataFrame, scratch: Scratch, *, labelled_rows: int = LABELL
         sample = part if sample is None else sample.unionByName(part)
     sample = scratch.write(sample.coalesce(1), "labelled")
     gather = VectorAssembler(inputCols=FEATURES, outputCol="features")
-    forest = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=SEED, labelCol="label", weightCol="weight").fit(gather.transform(sample))
+    path = scratch.path("forest")
+    RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=SEED, labelCol="label", weightCol="weight").fit(gather.transform(sample)).save(path)
+    forest = RandomForestClassificationModel.load(path)  # a model as fitted would take its training summary, and with that the session, to the tasks
     out = forest.transform(gather.transform(featured))
     return out.withColumn("p", vector_to_array("probability")[1]).drop("probability", "features", "rawPrediction", "prediction").withColumnRenamed("p", "probability")
 

@@ -37,7 +37,7 @@ from collections.abc import Iterable, Iterator
 from urllib.parse import unquote_plus
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -68,37 +68,34 @@ def base32(hexed: Column) -> Column:
     return F.concat(*letters)
 
 
-def _rows(pages: DataFrame, id_col: str, payload_col: str, url_col: str) -> DataFrame:
+def _payload(pages: DataFrame, payload_col: str) -> Column:
     payload = F.col(payload_col) if pages.schema[payload_col].dataType == T.BinaryType() else F.col(payload_col).cast("string").cast("binary")
-    payload = F.coalesce(payload, F.lit(b""))
-    rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload"))
+    return F.coalesce(payload, F.lit(b""))
+
+
+def _rows(pages: DataFrame, id_col: str, payload_col: str, url_col: str) -> DataFrame:
+    rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), _payload(pages, payload_col).alias("payload"))
     return rows.select("*", F.sha1("payload").alias("sha1"), F.octet_length("payload").cast("long").alias("bytes"), F.xxhash64("payload").alias("hash"))
 
 
-def _resolved(pages: DataFrame, *, id_col: str = "page_id", payload_col: str = "html", url_col: str = "url", min_bytes: int = MIN_BYTES, sent_bytes: int = SENT_BYTES) -> tuple[DataFrame, int]:
-    """`resolved`, and the bytes of the largest payload."""
-    key, seen = ["sha1", "bytes", "hash"], Observation()
+def resolved(pages: DataFrame, *, id_col: str = "page_id", payload_col: str = "html", url_col: str = "url", min_bytes: int = MIN_BYTES, sent_bytes: int = SENT_BYTES) -> DataFrame:
+    """(id, url, payload, digest, bytes, refers_to, refers_url): refers_to is null for responses.
+
+    Only headers are aggregated, and partially in each task first. What joins the records is a written table
+    of digests that come up again: sent to the tasks if it is small, else joined by digest, where Spark splits
+    a payload that is very frequent.
+    """
+    key = ["sha1", "bytes", "hash"]
     rows = _rows(pages, id_col, payload_col, url_col)
-    heads = rows.observe(seen, F.max("bytes").alias("largest")).where(F.col("bytes") >= min_bytes).select("id", "url", *key)
+    heads = rows.where(F.col("bytes") >= min_bytes).select("id", "url", *key)
     heads = heads.groupBy(*key).agg(F.count("*").alias("n"), F.max(F.struct("id", "url")).alias("first"))
     again = Scratch(pages.sparkSession, "revisits").write(heads.where("n > 1").drop("n"), "again")
     size = again.agg(F.sum(F.lit(128) + F.coalesce(F.octet_length("first.url"), F.lit(0)) + F.coalesce(F.octet_length(F.col("first.id").cast("string")), F.lit(0)))).first()[0]
     rows = rows.join(F.broadcast(again) if (size or 0) <= sent_bytes else again, key, "left")
     revisit = F.col("first").isNotNull() & ~F.col("id").eqNullSafe(F.col("first.id"))
-    found = rows.select(
+    return rows.select(
         "id", "url", "payload", base32(F.col("sha1")).alias("digest"), "bytes", F.when(revisit, F.col("first.id")).alias("refers_to"), F.when(revisit, F.col("first.url")).alias("refers_url")
     )
-    return found, seen.get.get("largest") or 0
-
-
-def resolved(pages: DataFrame, **options) -> DataFrame:
-    """(id, url, payload, digest, bytes, refers_to, refers_url): refers_to is null for responses.
-
-    Only headers are aggregated, and partially in each task first. What joins the records is a written table
-    of digests that come up again: sent to the tasks if it is small, else joined by digest, where Spark splits
-    a payload that is very frequent.
-    """
-    return _resolved(pages, **options)[0]
 
 
 def _record_uri(id_: Column) -> Column:
@@ -153,7 +150,8 @@ def write_archives(pages: DataFrame, path: str, *, file_records: int = FILE_RECO
 
     Each record is a gzip member; with compression "none" records are plain.
     """
-    records, largest = _resolved(pages, **options)
+    records = resolved(pages, **options)
+    largest = pages.agg(F.max(F.octet_length(_payload(pages, options.get("payload_col", "html"))))).first()[0] or 0
     bytes_ = F.when(F.col("refers_to").isNull(), F.col("bytes")).otherwise(F.lit(0))
     least, count = -1, file_records
     while least < largest:

@@ -369,3 +369,18 @@ def test_copies_of_a_value_leave_room_for_other_findings(spark):
     found = secretscan.scan_secrets(spark.createDataFrame(docs, "doc_id long, text string, source string"), findings=labels, labelled_rows=40)
     unseen = [r for r in found.collect() if r.label is None]
     assert len(unseen) == 20 and sum((r.probability >= 0.5) == bool(r.id % 2) for r in unseen) >= 18
+
+
+def test_secrets_after_a_query_that_is_observed(spark):
+    from pyspark.sql import Observation
+    from pyspark.sql import functions as F
+
+    from palimpsest.llm.registry import QUERIES
+
+    sf = "/root/testdata/sf0.01"  # sf0.001 has one class of labels, and so no forest
+    before = sorted(map(tuple, QUERIES["op9_secret_scan"](spark, sf).collect()))
+    QUERIES["op6_warc"](spark, sf).count()
+    seen = Observation()
+    spark.range(10).observe(seen, F.count("*").alias("n")).collect()
+    assert seen.get["n"] == 10
+    assert sorted(map(tuple, QUERIES["op9_secret_scan"](spark, sf).collect())) == before
