@@ -1,12 +1,13 @@
 """Phrases whose words go together more often than by chance, mined for each language.
 
-All 1- to max_n-grams of the pieces between punctuation are exploded into rows and counted by a hash
-aggregation, which Spark does partially in each task first. Phrases of two or more words that come up at least
-`least` times are candidates. Each way to cut one in two is a row; it is joined with the counts of its first and
-its last part and scored in Decimal, and the lowest score counts. A candidate that a longer one explains is
-anti-joined away: it is enough to look one word further, since of the candidates that hold it and are frequent
-enough each has one of the next length inside that holds it too and is at least as frequent. Ranks are windows over
-each language, whose rows are first cut down to `top` in `SALTS` parts, so that no task sorts a whole language.
+All 1- to max_n-grams of the pieces between punctuation become rows, those of a block of about a million words
+with their number in the block, and are counted by a hash aggregation, which Spark does partially in each task
+first. Phrases of two or more words that come up at least `least` times are candidates. Each way to cut one in two
+is a row; it is joined with the counts of its first and its last part and scored in Decimal, and the lowest score
+counts. A candidate that a longer one explains is anti-joined away: it is enough to look one word further, since of
+the candidates that hold it and are frequent enough each has one of the next length inside that holds it too and is
+at least as frequent. Ranks are windows over each language, whose rows are first cut down to `top` in `SALTS`
+parts, so that no task sorts a whole language.
 
 A gram travels as one string, its words, a tab and its language: words hold no tabs. Only words and grams that come
 up `least` times are written, for a part of a frequent gram is as frequent as it or more.
@@ -17,7 +18,7 @@ Defined results
     empty pieces    have no words
     ties            of cuts go to the smallest first part; of ranks to the more frequent phrase, then in byte order
     repeated rows   each row's words count
-    long texts      the words of a piece are exploded `CHUNK` at a time, so that no array holds all grams of a text
+    long texts      are split whole, and their words counted a block at a time
     empty table     no rows
     extra columns   are not read
     counts          of 10^16 or more don't fit the Decimal products and are an error, not a wrong score
@@ -25,41 +26,82 @@ Defined results
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, fold_ascii, table
+from .common import Scratch, batches_of, table, trimmed
 
 MAX_N = 3
 LEAST = 10
 #: Per cent of a phrase's occurrences that a longer candidate must have to stand for it.
 INSIDE = 50
 TOP = 2000
-CHUNK = 512
 SALTS = 64
-#: What parts pieces and words, the name of no language, and the score of words that only come together.
-BREAKS = r"[.,;:!?\n-\r]"
-BLANKS = r"[ \t]+"
+#: Bytes of text that are split at once, and words whose grams are counted at once.
+BATCH_BYTES = 8 << 20
+BLOCK = 1 << 20
+#: What parts pieces, the name of no language, and the score of words that only come together.
+BREAKS = r"[.,;:!?\n-\r]+"
 UNKNOWN = "und"
 SCALE = 1_000_000
 
 
+def _split(text: pa.Array) -> tuple[np.ndarray, pa.StringArray, np.ndarray, np.ndarray]:
+    """The words of all texts as codes, the words' names, where pieces end, and the text of each word.
+
+    Signs that part pieces become words of their own: a dot, which no word holds. Only spaces and tabs are left to split at.
+    """
+    parted = pc.replace_substring_regex(pc.binary_join_element_wise(pc.ascii_lower(pc.fill_null(text, "")), ".", ""), BREAKS, " . ")
+    lists = pc.ascii_split_whitespace(parted)
+    words = lists.flatten().dictionary_encode()
+    codes = np.asarray(words.indices, np.int64)
+    ends = np.asarray(pc.is_in(words.dictionary, pa.array([".", ""])))[codes]
+    return codes, words.dictionary, ends, np.repeat(np.arange(len(lists)), np.diff(np.asarray(lists.offsets)))
+
+
+def _numbered(keys: np.ndarray) -> tuple[np.ndarray, int]:
+    found = pa.array(keys).dictionary_encode()
+    return np.asarray(found.indices, np.int64), len(found.dictionary)
+
+
+def _gram_rows(max_n: int):
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches_of(batches, 1 << 16, BATCH_BYTES, "text"):
+            codes, names, ends, owner = _split(batch.column(1))
+            langs = batch.column(0).dictionary_encode()
+            lang = np.asarray(langs.indices, np.int64)[owner]
+            for first in range(0, len(codes), BLOCK):
+                at = first + np.flatnonzero(~ends[first : first + BLOCK])
+                key = lang[at]
+                for n in range(1, max_n + 1):
+                    if n > 1:  # every text ends with a dot, so a word's next one is of the same text
+                        keep = ~ends[at + n - 1]
+                        at, key = at[keep], key[keep]
+                    key, size = _numbered(key * len(names) + codes[at + n - 1])
+                    one = np.empty(size, np.int64)  # where each distinct gram occurs
+                    one[key] = at
+                    words = [names.take(pa.array(codes[one + k])) for k in range(n)]
+                    gram = pc.binary_join_element_wise(pc.binary_join_element_wise(*words, " "), langs.dictionary.take(pa.array(lang[one])), "\t")
+                    yield pa.RecordBatch.from_arrays([gram, pa.array(np.bincount(key, minlength=size))], ["gram", "f"])
+
+    return scan
+
+
 def grams(docs: DataFrame, max_n: int = MAX_N, *, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """(gram): each 1- to max_n-gram of the texts as often as it occurs, with a tab and its language after it."""
+    """(gram, f): the 1- to max_n-grams of the texts, each with a tab and its language after it, once for each block that has it."""
     lang = F.coalesce(F.col(f"`{lang_col}`").cast("string"), F.lit(UNKNOWN))
-    pieces = docs.select(lang.alias("lang"), F.explode(F.split(fold_ascii(F.col(f"`{text_col}`").cast("string")), BREAKS)).alias("piece"))
-    words = pieces.select("lang", F.array_remove(F.split("piece", BLANKS), "").alias("words")).where(F.size("words") > 0)
-    starts = F.sequence(F.lit(0), F.size("words") - 1, F.lit(CHUNK))
-    rows = words.select("lang", "words", F.explode(starts).alias("start")).select("lang", F.slice("words", F.col("start") + 1, F.lit(CHUNK + max_n - 1)).alias("g1"))
-    for n in range(2, max_n + 1):  # null where the piece has no further word
-        rows = rows.withColumn(f"g{n}", F.zip_with(f"g{n - 1}", F.slice("g1", n, CHUNK + max_n), lambda a, b: F.concat(a, F.lit(" "), b)))
-    every = F.concat(*[F.slice(f"g{n}", 1, CHUNK) for n in range(1, max_n + 1)])
-    return rows.select("lang", F.explode(every).alias("gram")).where("gram is not null").select(F.concat("gram", F.lit("\t"), "lang").alias("gram"))
+    rows = docs.select(lang.alias("lang"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    return rows.mapInArrow(trimmed(_gram_rows(max_n)), "gram string, f long")
 
 
 def phrase_counts(docs: DataFrame, max_n: int = MAX_N, least: int = LEAST, **columns) -> DataFrame:
     """(lang, phrase, length, f): how often each word occurs, and each longer gram that occurs at least `least` times."""
-    counts = grams(docs, max_n, **columns).groupBy("gram").agg(F.count("*").alias("f"))
+    counts = grams(docs, max_n, **columns).groupBy("gram").agg(F.sum("f").alias("f"))
     at = F.position(F.lit("\t"), F.col("gram"))
     phrase = F.substring("gram", F.lit(1), at - 1)
     counts = counts.select(F.substring("gram", at + 1, F.length("gram")).alias("lang"), phrase.alias("phrase"), (F.regexp_count(phrase, F.lit(" ")) + 1).alias("length"), "f")

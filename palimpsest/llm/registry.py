@@ -1,7 +1,8 @@
-"""The ten corpus queries and their SQL."""
+"""The corpus queries and their SQL."""
 
 from __future__ import annotations
 
+from .collocations import OP13_SQL, op13_collocations
 from .decontaminate import op1_decontamination
 from .exactdedup import OP8_SQL, op8_exact_dedup
 from .language import op3_language_id
@@ -10,6 +11,7 @@ from .mixing import op4_mixing
 from .ngramscore import OP2_SQL, op2_lm_score
 from .secretscan import op9_secret_scan
 from .simhash import op7_simhash
+from .tokencount import op11_token_count
 from .tokens import op5_token_output
 from .warc import OP6_SQL, op6_warc
 
@@ -24,6 +26,8 @@ QUERIES = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_secret_scan": op9_secret_scan,
     "op10_line_dedup": op10_line_dedup,
+    "op11_token_count": op11_token_count,
+    "op13_collocations": op13_collocations,
 }
 
 ORACLE_SQL = {
@@ -31,4 +35,5 @@ ORACLE_SQL = {
     "op6_warc": OP6_SQL,
     "op8_exact_dedup": OP8_SQL,
     "op10_line_dedup": OP10_SQL,
+    "op13_collocations": OP13_SQL,
 }
