@@ -13,6 +13,7 @@ from .secretscan import op9_secret_scan
 from .simhash import op7_simhash
 from .tokencount import op11_token_count
 from .tokens import op5_token_output
+from .vectorcodes import OP12_SQL, op12_vector_codes
 from .warc import OP6_SQL, op6_warc
 
 QUERIES = {
@@ -27,6 +28,7 @@ QUERIES = {
     "op9_secret_scan": op9_secret_scan,
     "op10_line_dedup": op10_line_dedup,
     "op11_token_count": op11_token_count,
+    "op12_vector_codes": op12_vector_codes,
     "op13_collocations": op13_collocations,
 }
 
@@ -35,5 +37,6 @@ ORACLE_SQL = {
     "op6_warc": OP6_SQL,
     "op8_exact_dedup": OP8_SQL,
     "op10_line_dedup": OP10_SQL,
+    "op12_vector_codes": OP12_SQL,
     "op13_collocations": OP13_SQL,
 }
