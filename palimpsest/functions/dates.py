@@ -93,6 +93,7 @@ def question_dates(q: Column | str) -> Column:
 
 # -- dates and times in answers --------------------------------------------
 
+#: The forms of dates and times in answers.
 ANSWER_ISO = r"\b(\d{4})[-/](\d{1,2})[-/](\d{1,2})\b"
 COMPACT = r"\b((?:19|20)\d{2})(0[1-9]|1[0-2])(0[1-9]|[12]\d|3[01])\b"
 TAIL = r"(?:,?\s*(\d{4}))?\b"

@@ -30,17 +30,19 @@ VAGUE_DATE = (
     r"\byesterday\b",
 )
 VISUAL = (
-    r"\bphoto(?:s|graph)?\b", r"\bimages?\b", r"\bpictures?\b", r"\bvideos?\b", r"\bsnapshots?\b", r"\bscreenshots?\b", r"\bselfies?\b", r"\bstickers?\b",
-    r"\bcollect(?:ing|ion)\b", r"\bfind\s+all\b", r"\b(?:sheep|cat|dog|flower|bird)\b", r"\b(?:bridge|tower|castle|museum)\b",
-    r"\b(?:sunset|sunrise|beach|mountain)\b", r"\b(?:food|dish|dessert|cake)\b", r"\b(?:landmark|monument|statue)\b", r"\blook(?:s|ed)?\s+like\b",
+    r"\bphoto(?:s|graph)?\b", r"\bimage(?:s)?\b", r"\bpicture(?:s)?\b", r"\bvideo(?:s)?\b", r"\bsnapshot(?:s)?\b", r"\bscreenshot(?:s)?\b",
+    r"\bselfie(?:s)?\b", r"\bsticker(?:s)?\b", r"\bcollect(?:ing|ion)\b", r"\bfind\s+all\b", r"\bsheep\b", r"\bcat\b", r"\bdog\b", r"\bflower\b",
+    r"\bbird\b", r"\bbridge\b", r"\btower\b", r"\bcastle\b", r"\bmuseum\b", r"\bsunset\b", r"\bsunrise\b", r"\bbeach\b", r"\bmountain\b", r"\bfood\b",
+    r"\bdish\b", r"\bdessert\b", r"\bcake\b", r"\blandmark\b", r"\bmonument\b", r"\bstatue\b", r"\blook(?:s|ed)?\s+like\b",
     r"\bwhat\s+(?:animal|building|object|place|scene)\b",
 )
 #: Capitalised words that name nothing.
 ENTITY_STOP = (
-    "What Where When How Which Who Why Do Did Does Can Could Would Should The That This There These Those Help Recall Find Tell Describe "
-    "Today Yesterday Tomorrow Jan Feb Mar Apr May Jun Jul Aug Sep Oct Nov Dec January February March April June July August September October "
-    "November December Monday Tuesday Wednesday Thursday Friday Saturday Sunday"
-).split()
+    "What", "Where", "When", "How", "Which", "Who", "Why", "Do", "Did", "Does", "Can", "Could", "Would", "Should", "The", "That", "This", "There",
+    "These", "Those", "Help", "Recall", "Find", "Tell", "Describe", "Today", "Yesterday", "Tomorrow", "Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul",
+    "Aug", "Sep", "Oct", "Nov", "Dec", "January", "February", "March", "April", "June", "July", "August", "September", "October", "November",
+    "December", "Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday",
+)
 ENTITY = r"\b[A-Z][a-z]{2,}(?:\s+[A-Z][a-z]{2,})*\b|\b[A-Z]{2,}\d*\b"
 NON_LATIN = r"[\x{4e00}-\x{9fff}\x{3040}-\x{30ff}\x{ac00}-\x{d7af}]"
 
@@ -74,7 +76,7 @@ def with_signals(questions: DataFrame, text: str = "question", gazetteer: Sequen
     df = with_constraints(questions, text, gazetteer)
     q = blank(F.col(text))
     count = lambda p: F.least(F.lit(1.0), F.regexp_count(q, F.lit(any_of(p))) * 0.4)
-    entities = F.filter(F.regexp_extract_all(q, F.lit(ENTITY), F.lit(0)), lambda e: ~e.isin(ENTITY_STOP))
+    entities = F.filter(F.regexp_extract_all(q, F.lit(ENTITY), F.lit(0)), lambda e: ~e.isin(*ENTITY_STOP))
     df = df.withColumns({"has_entity": F.size(entities) > 0, "non_latin": q.rlike(NON_LATIN), "vague_date": q.rlike(any_of(VAGUE_DATE)), "visual": is_visual(q)})
     named = F.col("has_entity") | F.col("non_latin")
     dated = F.col("start").isNotNull()

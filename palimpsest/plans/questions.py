@@ -70,7 +70,7 @@ def _sql_any(patterns) -> str:
 SIGNAL_CTE = (
     CONSTRAINT_CTE
     + rf""", e AS (
-    SELECT *, len(list_filter(regexp_extract_all(question, '{ask.ENTITY}'), lambda x: NOT list_contains({ask.ENTITY_STOP}, x))) > 0 AS has_entity,
+    SELECT *, len(list_filter(regexp_extract_all(question, '{ask.ENTITY}'), lambda x: NOT list_contains({list(ask.ENTITY_STOP)}, x))) > 0 AS has_entity,
         regexp_matches(question, '{_sql_any(ask.VAGUE_DATE)}') AS vague_date, regexp_matches(question, '{_sql_any(ask.VISUAL)}') AS visual,
         least(1.0::DOUBLE, 0.4e0 * len(regexp_extract_all(question, '{_sql_any(ask.KEYWORD)}'))) AS k0, round(least(1.0::DOUBLE, 0.4e0 * len(regexp_extract_all(question, '{_sql_any(ask.SEMANTIC)}'))), 6) AS sem,
         round(CASE WHEN "start" IS NULL THEN 0 WHEN regexp_matches(question, '{_sql_any(ask.FIRM_DATE)}') THEN 0.7e0 ELSE 0.5e0 END + CASE WHEN len(locs) > 0 THEN 0.3e0 ELSE 0 END, 6) AS meta,
