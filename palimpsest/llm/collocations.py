@@ -2,7 +2,8 @@
 
 All 1- to max_n-grams of the pieces between punctuation become rows, those of a block of about a million words
 with their number in the block, and are counted by a hash aggregation, which Spark does partially in each task
-first. Phrases of two or more words that come up at least `least` times are candidates. Each way to cut one in two
+first. Grams of three words or more are left out only where that is sure to change nothing: if a gram of one word less
+inside is too rare. Phrases of two or more words that come up at least `least` times are candidates. Each way to cut one in two
 is a row; it is joined with the counts of its first and its last part and scored in Decimal, and the lowest score
 counts. A candidate that a longer one explains is anti-joined away: it is enough to look one word further, since of
 the candidates that hold it and are frequent enough each has one of the next length inside that holds it too and is
@@ -42,6 +43,8 @@ LEAST = 10
 INSIDE = 50
 TOP = 2000
 SALTS = 64
+#: Bytes of frequent grams that are sent to the tasks at most.
+SENT_BYTES = 64 << 20
 #: Bytes of text that are split at once, and words whose grams are counted at once.
 BATCH_BYTES = 8 << 20
 BLOCK = 1 << 20
@@ -69,45 +72,76 @@ def _numbered(keys: np.ndarray) -> tuple[np.ndarray, int]:
     return np.asarray(found.indices, np.int64), len(found.dictionary)
 
 
-def _gram_rows(max_n: int):
+def _gram_rows(first_n: int, last_n: int, shared=None):
+    """Rows of the first_n- to last_n-grams. With `shared`, all frequent grams of one word less, only those between two of them."""
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches_of(batches, 1 << 16, BATCH_BYTES, "text"):
             codes, names, ends, owner = _split(batch.column(1))
             langs = batch.column(0).dictionary_encode()
             lang = np.asarray(langs.indices, np.int64)[owner]
+
+            def strings(at: np.ndarray, n: int) -> pa.StringArray:
+                words = [names.take(pa.array(codes[at + k])) for k in range(n)]
+                return pc.binary_join_element_wise(pc.binary_join_element_wise(*words, " "), langs.dictionary.take(pa.array(lang[at])), "\t")
+
             for first in range(0, len(codes), BLOCK):
-                at = first + np.flatnonzero(~ends[first : first + BLOCK])
+                at = first + np.flatnonzero(~ends[first : first + BLOCK + 1])
                 key = lang[at]
-                for n in range(1, max_n + 1):
+                for n in range(1, last_n + 1):
                     if n > 1:  # every text ends with a dot, so a word's next one is of the same text
                         keep = ~ends[at + n - 1]
+                        if n == first_n and shared is not None:
+                            good = np.zeros(BLOCK + 2, bool)  # whether a frequent gram of n - 1 words begins here
+                            good[at - first] = np.asarray(pc.is_in(strings(one, n - 1), shared.value))[key]
+                            keep &= good[at - first] & good[at - first + 1]
                         at, key = at[keep], key[keep]
+                    if n == first_n:
+                        key, at = key[at < first + BLOCK], at[at < first + BLOCK]
                     key, size = _numbered(key * len(names) + codes[at + n - 1])
                     one = np.empty(size, np.int64)  # where each distinct gram occurs
                     one[key] = at
-                    words = [names.take(pa.array(codes[one + k])) for k in range(n)]
-                    gram = pc.binary_join_element_wise(pc.binary_join_element_wise(*words, " "), langs.dictionary.take(pa.array(lang[one])), "\t")
-                    yield pa.RecordBatch.from_arrays([gram, pa.array(np.bincount(key, minlength=size))], ["gram", "f"])
+                    if n >= first_n:
+                        yield pa.RecordBatch.from_arrays([strings(one, n), pa.array(np.bincount(key, minlength=size))], ["gram", "f"])
 
     return scan
 
 
-def grams(docs: DataFrame, max_n: int = MAX_N, *, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """(gram, f): the 1- to max_n-grams of the texts, each with a tab and its language after it, once for each block that has it."""
+def grams(docs: DataFrame, first_n: int = 1, last_n: int = MAX_N, *, within: pa.Array | None = None, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """(gram, f): the first_n- to last_n-grams of the texts, each with a tab and its language after it, once for each block that has it.
+
+    `within` are grams of first_n - 1 words: only grams that begin and end with one of them are rows then.
+    """
     lang = F.coalesce(F.col(f"`{lang_col}`").cast("string"), F.lit(UNKNOWN))
     rows = docs.select(lang.alias("lang"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    return rows.mapInArrow(trimmed(_gram_rows(max_n)), "gram string, f long")
+    shared = None if within is None else docs.sparkSession.sparkContext.broadcast(within)
+    return rows.mapInArrow(trimmed(_gram_rows(first_n, last_n, shared)), "gram string, f long")
 
 
-def phrase_counts(docs: DataFrame, max_n: int = MAX_N, least: int = LEAST, **columns) -> DataFrame:
-    """(lang, phrase, length, f): how often each word occurs, and each longer gram that occurs at least `least` times."""
-    counts = grams(docs, max_n, **columns).groupBy("gram").agg(F.sum("f").alias("f"))
+def _counted(rows: DataFrame, least: int) -> DataFrame:
+    """(lang, phrase, length, f) of rows of `grams`: all words, and longer grams that occur at least `least` times."""
+    counts = rows.groupBy("gram").agg(F.sum("f").alias("f"))
     at = F.position(F.lit("\t"), F.col("gram"))
     phrase = F.substring("gram", F.lit(1), at - 1)
     counts = counts.select(F.substring("gram", at + 1, F.length("gram")).alias("lang"), phrase.alias("phrase"), (F.regexp_count(phrase, F.lit(" ")) + 1).alias("length"), "f")
     return counts.where((F.col("length") == 1) | (F.col("f") >= least))
 
 
+def phrase_counts(docs: DataFrame, scratch: Scratch, max_n: int = MAX_N, least: int = LEAST, sent_bytes: int = SENT_BYTES, **columns) -> DataFrame:
+    """(lang, phrase, length, f): how often each word occurs, and each longer gram that occurs at least `least` times.
+
+    Words and pairs are counted first. A longer gram can be frequent only if the grams of one word less at its begin and
+    its end are, so while all of these fit `sent_bytes` they are sent to the tasks, and only grams between two of them become rows.
+    """
+    out = scratch.write(_counted(grams(docs, 1, min(2, max_n), **columns), least), "counts")
+    for n in range(3, max_n + 1):
+        known = out.where((F.col("length") == n - 1) & (F.col("f") >= least)).select(F.concat("phrase", F.lit("\t"), "lang").alias("gram"))
+        size = known.agg(F.sum(F.octet_length("gram") + 8)).first()[0] or 0
+        within = known.toArrow().column(0).combine_chunks() if size <= sent_bytes else None
+        out = out.unionByName(scratch.write(_counted(grams(docs, n, n, within=within, **columns), least), f"counts-{n}"))
+    return out
+
+
 def _first(phrase: Column, k: Column) -> Column:
     return F.call_function("substring_index", phrase, F.lit(" "), k)
 
@@ -145,7 +179,7 @@ def ranked(found: DataFrame, top: int = TOP) -> DataFrame:
 def collocations(docs: DataFrame, *, max_n: int = MAX_N, least: int = LEAST, inside: int = INSIDE, top: int = TOP, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): the best phrases of each language, its number of words in n."""
     scratch = Scratch(docs.sparkSession, "phrases")
-    counts = scratch.write(phrase_counts(docs, max_n, least, text_col=text_col, lang_col=lang_col), "counts")
+    counts = phrase_counts(docs, scratch, max_n, least, text_col=text_col, lang_col=lang_col)
     words = counts.where("length = 1").groupBy("lang").agg(F.sum("f").alias("n"))
     best = ranked(unexplained(scratch.write(scored(counts, least), "scored"), inside), top)
     long = ["rank", "a", "l", "r", "n", "score"]
