@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import channels
+from ..retrieval.dense import VectorIndex
+from ..retrieval.fused import Dense, Lexical
+from ..retrieval.lexical import LexicalIndex
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -55,13 +58,49 @@ def n_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return items(spark, sf_dir).agg(F.count("*").alias("n"))
 
 
+#: The indexes of a session, by what they were built from.
+_built: dict[tuple, object] = {}
+
+
+def _kept(rows: DataFrame, kind: str, build: Callable[[], object]):
+    """The index of these files in this session; it is built where it is first asked for."""
+    key = (rows.sparkSession.sparkContext.applicationId, kind, *sorted(rows.inputFiles()))
+    if key not in _built:
+        _built[key] = build()
+    return _built[key]
+
+
+def lexical(spark: SparkSession, sf_dir: str) -> LexicalIndex:
+    rows = items(spark, sf_dir).select("item_id", "text")
+    return _kept(rows, "lexical", lambda: LexicalIndex.build(rows))
+
+
+def vector_index(spark: SparkSession, sf_dir: str) -> VectorIndex:
+    rows = item_vectors(spark, sf_dir)
+    return _kept(rows, "vectors", lambda: VectorIndex.build(rows))
+
+
+def both_channels(spark: SparkSession, sf_dir: str) -> dict[str, Lexical | Dense]:
+    return {"s": Lexical(lexical(spark, sf_dir)), "d": Dense(vector_index(spark, sf_dir))}
+
+
+def asked_both(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(q, question, vector)."""
+    return asked(spark, sf_dir).join(question_vectors(spark, sf_dir), "q", "left")
+
+
+def first_sparse(spark: SparkSession, sf_dir: str, k: int, variant: str = "plus1") -> DataFrame:
+    """(q, item_id, score, rank) of the k best by words."""
+    return lexical(spark, sf_dir).top(asked(spark, sf_dir), k, variant)
+
+
 def sparse(spark: SparkSession, sf_dir: str, variant: str = "plus1") -> DataFrame:
-    return channels.bm25(items(spark, sf_dir), asked(spark, sf_dir), variant)
+    """(q, item_id, score) of all items that have a word of the question."""
+    return lexical(spark, sf_dir).all_scores(asked(spark, sf_dir), variant)
 
 
 def nearest(spark: SparkSession, sf_dir: str, k: int = 50) -> DataFrame:
-    found = channels.dense(item_vectors(spark, sf_dir), question_vectors(spark, sf_dir), k)
-    return channels.ranked(found.where("score > 0"), k=k)
+    return vector_index(spark, sf_dir).top(question_vectors(spark, sf_dir), k)
 
 
 def contained(rows: DataFrame, questions: DataFrame) -> DataFrame:

@@ -9,12 +9,12 @@ from ..functions import text as tx
 from ..operators import analytics, channels, events, fusion, query as ask, render
 from . import base
 from .base import RANK, TOKENS, query, values
-from .retrieval import CHANNELS, W, _sparse, fused
+from .retrieval import CHANNELS, W, WHOLE, _sparse, fused
 from .timeline import DAYS, _items
 
 
 @query(
-    f"""WITH {CHANNELS}, f AS (
+    f"""WITH {WHOLE}, f AS (
     SELECT coalesce(s.q, d.q) AS q, coalesce(s.item_id, d.item_id) AS item_id, round({W['s']}::DOUBLE / (60 + coalesce(s.rank, n + 1)) + {W['d']}::DOUBLE / (60 + coalesce(d.rank, n + 1)), 8) AS score
     FROM s FULL JOIN d ON s.q = d.q AND s.item_id = d.item_id CROSS JOIN nn
 ), u AS (
@@ -25,7 +25,7 @@ def route_execute(spark, sf_dir):
     """Three strategies, dealt to questions by their number."""
     names = F.element_at(F.array(F.lit("BM25_ONLY"), F.lit("DENSE_ONLY"), F.lit("FULL_HYBRID")), (F.col("q") % 3 + 1).cast("int"))
     asked = base.asked(spark, sf_dir).withColumn("strategy", names)
-    return ask.execute_routes(asked, {"BM25_ONLY": base.sparse(spark, sf_dir), "DENSE_ONLY": base.nearest(spark, sf_dir), "FULL_HYBRID": fused(spark, sf_dir)})
+    return ask.execute_routes(asked, {"BM25_ONLY": _sparse(spark, sf_dir, 10), "DENSE_ONLY": base.nearest(spark, sf_dir, 10), "FULL_HYBRID": fused(spark, sf_dir)})
 
 
 @query(

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import vectors as vx
 from ..functions.text import tokens
 from ..operators import analytics, channels, evaluate, fusion
+from ..retrieval.fused import fused_top
 from . import base
 from .base import DENSE_SQL, RANK, TOKENS, bm25_sql, query, values
 
@@ -23,12 +24,12 @@ OKAPI = {"idf": "(CASE WHEN r < 0 THEN 0.25e0 * mean_r ELSE r END)", "weight": "
 
 @query(_top(bm25_sql(), "bm"))
 def bm25_topk(spark, sf_dir):
-    return channels.ranked(base.sparse(spark, sf_dir), k=TOP)
+    return base.first_sparse(spark, sf_dir, TOP)
 
 
 @query(_top(bm25_sql(**OKAPI), "bm"))
 def bm25_okapi_topk(spark, sf_dir):
-    return channels.ranked(base.sparse(spark, sf_dir, "okapi"), k=TOP)
+    return base.first_sparse(spark, sf_dir, TOP, "okapi")
 
 
 @query(_top(bm25_sql("WHERE lang = 'en'"), "bm"))
@@ -40,7 +41,7 @@ def bm25_filtered_topk(spark, sf_dir):
     f"WITH {bm25_sql()} SELECT q, item_id, score, rank FROM (SELECT *, {RANK} AS rank FROM bm) WHERE rank = 1 OR (score > 0 AND rank <= 5)"
 )
 def search_tool_hits(spark, sf_dir):
-    return channels.ranked(base.sparse(spark, sf_dir), k=5).where("rank = 1 or score > 0")
+    return base.first_sparse(spark, sf_dir, 5).where("rank = 1 or score > 0")
 
 
 @query(f"WITH {bm25_sql()} SELECT t AS term, df, round(ln(1 + (n - df + 0.5e0) / (df + 0.5e0)), 6) AS idf FROM raw")
@@ -149,12 +150,19 @@ d AS (SELECT q, item_id, score, rank FROM (SELECT *, {RANK} AS rank FROM dn WHER
 nn AS (SELECT count(*) AS n FROM documents)"""
 
 
+#: Whole rankings: all hits of both channels.
+WHOLE = f"""{bm25_sql()}, {DENSE_SQL},
+s AS (SELECT q, item_id, score, {RANK} AS rank FROM bm),
+d AS (SELECT q, item_id, score, {RANK} AS rank FROM dn WHERE score > 0),
+nn AS (SELECT count(*) AS n FROM documents)"""
+
+
 def _sparse(spark, sf_dir, k=100):
-    return channels.ranked(base.sparse(spark, sf_dir), k=k)
+    return base.first_sparse(spark, sf_dir, k)
 
 
 RRF_SQL = f"""
-WITH {CHANNELS},
+WITH {WHOLE},
 f AS (
     SELECT coalesce(s.q, d.q) AS q, coalesce(s.item_id, d.item_id) AS item_id,
         round({W['s']}::DOUBLE / (60 + coalesce(s.rank, n + 1)) + {W['d']}::DOUBLE / (60 + coalesce(d.rank, n + 1)), 8) AS score
@@ -163,18 +171,20 @@ f AS (
 """
 
 
-def fused(spark, sf_dir):
-    return fusion.rrf({"s": _sparse(spark, sf_dir), "d": base.nearest(spark, sf_dir)}, W, base.n_items(spark, sf_dir))
+def fused(spark, sf_dir, k=TOP, **options):
+    """The first k by fusion of whole rankings."""
+    n = base.lexical(spark, sf_dir).n
+    return fused_top(base.both_channels(spark, sf_dir), base.asked_both(spark, sf_dir), k, {"s": W["s"], "d": W["d"]}, n_items=n, **options)
 
 
 @query(RRF_SQL + f"SELECT q, item_id, score, rank FROM (SELECT *, {RANK} AS rank FROM f) WHERE rank <= {TOP}")
 def hybrid_rrf(spark, sf_dir):
-    return channels.ranked(fused(spark, sf_dir), k=TOP)
+    return fused(spark, sf_dir)
 
 
 @query(
     f"""
-WITH {CHANNELS}, pos AS (SELECT doc_id AS item_id, row_number() OVER (ORDER BY doc_id) AS pos FROM documents),
+WITH {WHOLE}, pos AS (SELECT doc_id AS item_id, row_number() OVER (ORDER BY doc_id) AS pos FROM documents),
 a AS (
     SELECT b.item_id AS q, p.item_id, p.pos, s.rank AS sr, d.rank AS dr FROM benchmark b CROSS JOIN pos p
     LEFT JOIN s ON s.q = b.item_id AND s.item_id = p.item_id LEFT JOIN d ON d.q = b.item_id AND d.item_id = p.item_id
@@ -185,15 +195,20 @@ SELECT q, item_id, score, rank FROM (SELECT *, {RANK} AS rank FROM f) WHERE rank
 )
 def hybrid_rrf_positional(spark, sf_dir):
     rows = positioned(base.items(spark, sf_dir).select("item_id"), "item_id")
-    found = fusion.rrf_positional({"s": _sparse(spark, sf_dir), "d": base.nearest(spark, sf_dir)}, rows, base.asked(spark, sf_dir), W, TOP)
+    whole = base.lexical(spark, sf_dir).n
+    found = fusion.rrf_positional({"s": channels.ranked(base.sparse(spark, sf_dir)), "d": base.nearest(spark, sf_dir, whole)}, rows, base.asked(spark, sf_dir), W, TOP)
     return channels.ranked(found, k=TOP)
 
 
 def positioned(rows, order: str):
-    """Adds pos: each row's place from 1 in the order of a column, by range partitions and one offset for each of them."""
+    """Adds pos: each row's place from 1 in the order of a column, by written range partitions and one offset for each of them."""
     from pyspark.sql import Window
 
-    parts = rows.repartitionByRange(order).withColumn("_p", F.spark_partition_id())
+    from ..retrieval.held import fresh_folder
+
+    path = fresh_folder(rows.sparkSession, "positions")
+    rows.repartitionByRange(order).withColumn("_p", F.spark_partition_id()).write.parquet(path)  # once, so that both uses see the same ranges
+    parts = rows.sparkSession.read.parquet(path)
     local = parts.withColumn("_r", F.row_number().over(Window.partitionBy("_p").orderBy(order)))
     sizes = parts.groupBy("_p").agg(F.count("*").alias("_n"))
     base_ = sizes.select("_p", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_b"))
@@ -202,8 +217,8 @@ def positioned(rows, order: str):
 
 @query(
     f"""
-WITH {CHANNELS}, m AS (SELECT item_id, rank FROM (SELECT doc_id AS item_id, row_number() OVER (ORDER BY doc_id) AS rank FROM documents WHERE lang = '{PLACE}')),
-k AS (SELECT q, item_id FROM s UNION SELECT q, item_id FROM d),
+WITH {WHOLE}, m AS (SELECT item_id, rank FROM (SELECT doc_id AS item_id, row_number() OVER (ORDER BY doc_id) AS rank FROM documents WHERE lang = '{PLACE}')),
+k AS (SELECT q, item_id FROM s UNION SELECT q, item_id FROM d UNION SELECT b.item_id, m.item_id FROM benchmark b, m),
 f AS (
     SELECT k.q, k.item_id, round({W['m']}::DOUBLE / (60 + coalesce(m.rank, n + 1)) + {W['s']}::DOUBLE / (60 + coalesce(s.rank, n + 1)) + {W['d']}::DOUBLE / (60 + coalesce(d.rank, n + 1))
         + {W['v']}::DOUBLE / (60 + coalesce(d.rank, n + 1)), 8) AS score
@@ -212,17 +227,18 @@ f AS (
 SELECT q, item_id, score, rank FROM (SELECT *, {RANK} AS rank FROM f) WHERE rank <= {TOP}"""
 )
 def hybrid_four_channel(spark, sf_dir):
-    """Metadata, sparse, dense and vision, over what the content channels find; all questions ask for one place."""
-    s, d = _sparse(spark, sf_dir), base.nearest(spark, sf_dir)
-    both = s.select("q", "item_id").union(d.select("q", "item_id")).distinct()
-    m = positioned(base.items(spark, sf_dir).where(F.col("location") == PLACE).select("item_id"), "item_id")
-    m = both.join(m, "item_id").select("q", "item_id", F.col("pos").alias("rank"))
-    return channels.ranked(fusion.rrf({"m": m, "s": s, "d": d, "v": d}, W, base.n_items(spark, sf_dir)), k=TOP)
+    """Metadata, sparse, dense and vision over their whole rankings; all questions ask for one place."""
+    from ..retrieval.fused import Fixed
+
+    rows = base.items(spark, sf_dir).where(F.col("location") == PLACE).select("item_id")
+    chan = base.both_channels(spark, sf_dir)
+    n = base.lexical(spark, sf_dir).n
+    return fused_top({"m": Fixed(positioned(rows, "item_id")), **chan, "v": chan["d"]}, base.asked_both(spark, sf_dir), TOP, W, n_items=n)
 
 
 @query(
     f"""
-WITH {CHANNELS}, ok AS (SELECT doc_id FROM documents WHERE lang = '{PLACE}'),
+WITH {WHOLE}, ok AS (SELECT doc_id FROM documents WHERE lang = '{PLACE}'),
 f AS (
     SELECT coalesce(s.q, d.q) AS q, coalesce(s.item_id, d.item_id) AS item_id,
         round({W['s']}::DOUBLE / (60 + coalesce(s.rank, n + 1)) + {W['d']}::DOUBLE / (60 + coalesce(d.rank, n + 1)), 8) AS score
@@ -233,12 +249,12 @@ SELECT q, item_id, score, rank FROM (SELECT *, {RANK} AS rank FROM f WHERE item_
 def hybrid_rrf_hard(spark, sf_dir):
     """A hard filter drops rows after they are ranked and fused: ranks count all items."""
     keep = base.items(spark, sf_dir).where(F.col("location") == PLACE).select("item_id")
-    return channels.ranked(fused(spark, sf_dir).join(keep, "item_id", "left_semi").select("q", "item_id", "score"), k=TOP)
+    return fused(spark, sf_dir, keep=keep)
 
 
 @query(
     f"""
-WITH {CHANNELS}, sb AS (SELECT bm.q, bm.item_id, score, max(score) OVER (PARTITION BY q) AS h FROM bm), db AS (SELECT q, item_id, score, max(score) OVER (PARTITION BY q) AS h FROM d),
+WITH {WHOLE}, sb AS (SELECT bm.q, bm.item_id, score, max(score) OVER (PARTITION BY q) AS h FROM bm), db AS (SELECT q, item_id, score, max(score) OVER (PARTITION BY q) AS h FROM d),
 f AS (
     SELECT coalesce(s.q, d.q) AS q, coalesce(s.item_id, d.item_id) AS item_id, round({W['s']}::DOUBLE * coalesce(s.score / s.h, 0) + {W['d']}::DOUBLE * coalesce(d.score / d.h, 0), 6) AS score
     FROM sb s FULL JOIN db d ON s.q = d.q AND s.item_id = d.item_id
@@ -246,7 +262,7 @@ f AS (
 SELECT q, item_id, score, rank FROM (SELECT *, {RANK} AS rank FROM f) WHERE rank <= {TOP}"""
 )
 def hybrid_weighted_sum(spark, sf_dir):
-    return channels.ranked(fusion.weighted_sum({"s": base.sparse(spark, sf_dir), "d": base.nearest(spark, sf_dir)}, W), k=TOP)
+    return fused(spark, sf_dir, kind="sum")
 
 
 LISTS = f"{CHANNELS}, a AS (SELECT q, item_id, rank FROM s WHERE rank <= 20), b AS (SELECT q, item_id, rank FROM d WHERE rank <= 20)"

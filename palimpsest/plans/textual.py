@@ -43,7 +43,7 @@ def search_projection(spark, sf_dir):
     "FROM r JOIN documents ON doc_id = item_id WHERE rank <= 5) SELECT q, sha256(string_agg(b, chr(10) || chr(10) ORDER BY rank)) AS evidence_sha256 FROM e GROUP BY q"
 )
 def evidence_block(spark, sf_dir):
-    top = channels.ranked(base.sparse(spark, sf_dir), k=5)
+    top = base.first_sparse(spark, sf_dir, 5)
     out = render.evidence_blocks(top, base.items(spark, sf_dir).select("item_id", "text"), 5, 200)
     return out.select("q", F.sha2("evidence", 256).alias("evidence_sha256"))
 
@@ -52,7 +52,7 @@ def evidence_block(spark, sf_dir):
     f"WITH {bm25_sql()}, r AS (SELECT *, {RANK} AS rank FROM bm) SELECT q, sha256(string_agg(left(text, 200), ' | ' ORDER BY rank)) AS answer_sha256 FROM r JOIN documents ON doc_id = item_id WHERE rank <= 10 GROUP BY q"
 )
 def snippet_answer(spark, sf_dir):
-    top = channels.ranked(base.sparse(spark, sf_dir), k=10)
+    top = base.first_sparse(spark, sf_dir, 10)
     return render.snippet_answer(top, base.items(spark, sf_dir).select("item_id", "text")).select("q", F.sha2("answer", 256).alias("answer_sha256"))
 
 

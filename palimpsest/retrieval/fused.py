@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from ..operators.channels import DIGITS, ranked
 from .dense import VectorIndex
 from .held import held
-from .lexical import LexicalIndex
+from .lexical import LexicalIndex, counted_ranks
 
 RRF_K = 60
 DEPTH = 128
@@ -34,6 +34,22 @@ class Channel(Protocol):
     def ranks(self, pairs: DataFrame, questions: DataFrame) -> DataFrame: ...
 
 
+@dataclass
+class Stored:
+    """A channel whose scores (q, item_id, score) are a table."""
+
+    every: DataFrame
+
+    def top(self, questions: DataFrame, k: int) -> DataFrame:
+        return ranked(self.every.join(questions.select("q"), "q", "left_semi"), k=k)
+
+    def scores(self, pairs: DataFrame, questions: DataFrame) -> DataFrame:
+        return self.every.join(pairs.select("q", "item_id"), ["q", "item_id"], "left_semi")
+
+    def ranks(self, pairs: DataFrame, questions: DataFrame) -> DataFrame:
+        return counted_ranks(self.every, *held(self.scores(pairs, questions)))
+
+
 @dataclass
 class Lexical:
     """Questions need `question`."""
@@ -41,6 +57,11 @@ class Lexical:
     index: LexicalIndex
     variant: str = "plus1"
 
+    def prepared(self, questions: DataFrame) -> Channel:
+        """For these questions: their scores, written once, while they have few postings."""
+        every = self.index.few_scores(questions, self.variant)
+        return self if every is None else Stored(every)
+
     def top(self, questions: DataFrame, k: int) -> DataFrame:
         return self.index.top(questions, k, self.variant)
 
@@ -67,6 +88,23 @@ class Dense:
         return self.index.ranks(pairs, questions)
 
 
+@dataclass
+class Fixed:
+    """A ranking (item_id, pos) that is the same for all questions, pos from 1 without gaps."""
+
+    order: DataFrame
+
+    def top(self, questions: DataFrame, k: int) -> DataFrame:
+        first = self.order.where(F.col("pos") <= k).select("item_id", (-F.col("pos")).cast("double").alias("score"), F.col("pos").alias("rank"))
+        return questions.select("q").join(F.broadcast(first)).select("q", "item_id", "score", "rank")  # k rows for each question
+
+    def scores(self, pairs: DataFrame, questions: DataFrame) -> DataFrame:
+        return pairs.join(self.order, "item_id").select("q", "item_id", (-F.col("pos")).cast("double").alias("score"))
+
+    def ranks(self, pairs: DataFrame, questions: DataFrame) -> DataFrame:
+        return pairs.join(self.order, "item_id").select("q", "item_id", F.col("pos").alias("rank"))
+
+
 def _sum(terms: list[Column]) -> Column:
     total = terms[0]
     for t in terms[1:]:
@@ -107,7 +145,8 @@ def fused_top(
     Only items that some channel finds are in the answer.
     """
     names = [c for c in channels if weights[c]]
-    channels = {c: channels[c] for c in names}
+    questions, _ = held(questions)
+    channels = {c: channels[c].prepared(questions) if hasattr(channels[c], "prepared") else channels[c] for c in names}
     by_rank = kind == "rrf"
     value, digits = ("rank", DIGITS + 2) if by_rank else ("score", DIGITS)
     slack = 2 * 10**-digits

@@ -1,18 +1,19 @@
-"""A BM25 index in a folder: segments of postings in blocks, block-max pruning, batches that are added and merged.
+"""A BM25 index in a folder: bucketed postings in blocks, block-max pruning, batches that are added and merged.
 
-The items of a segment fall into ranges of about `RANGE` by the leading bits of a hash of their id, so a frequent term
-has many blocks and no task holds all of one term. A block is a row: a term, a range, and the ids, counts and lengths of
-the range's items that have the term. Beside the postings stand one row for each block with its largest impact, and one
-for each term with its document frequency and largest impact. The empty term holds all items: it gives the
-segment's size and mean length without a second reading of the texts. Postings lie in folders by a hash of the term,
-sorted within files, so a search reads the folders of its terms only.
+A posting is a row (term, block, item_id, tf, length). Postings are a table that is bucketed by item and sorted by term, so a
+question's terms find few pages of each file, all postings of an item are in one task, and scores are added up without
+a shuffle; no task holds all of a frequent term. Items fall into blocks of about `RANGE` by the leading bits of a
+hash of their id. Beside the postings stand one row for each term and block, with its largest impact, and one for each term,
+with its document frequency and largest impact. The empty term holds all items: it gives the segment's size and
+mean length without a second reading of the texts.
 
-A search (`top`) is exact and reads few blocks of frequent terms:
+A search (`top`) is exact. While the question terms have few postings in all (`PRUNE_FROM`), all of them are scored, in one
+job. Beyond that frequent terms are mostly passed over:
   1. each question's rarest terms that have k postings between them give k items, whose whole scores are looked up;
      the k-th is a score that the answer must reach;
   2. terms that could not lift an item to that score, even all together, bring no candidates (stop words mostly);
      of the other terms only those blocks do whose largest impact, with all other terms at their largest, reaches it;
-  3. candidates whose bound still reaches it are scored by looking up their blocks, of all terms, and ranked.
+  3. candidates whose bound still reaches it are scored by looking up all their terms, and ranked.
 Upper bounds are those of the segment's mean length; where the index has a longer mean by now, they grow in proportion.
 
 Batches: `add` writes a new segment and publishes a manifest that names all segments; the manifest is one file, so readers
@@ -25,15 +26,18 @@ Defined results
     repeated ids   within a batch are one item for each length; give ids once
     no terms       questions without a known term have no rows
     negative idf   (variant `okapi`, small corpora) bounds take such terms as 0, and they are always looked up
-    empty batch    is a segment without postings
+    empty batch    is a segment without files
+    no items       no rows
 """
 
 from __future__ import annotations
 
 import json
 import math
+import uuid
 from dataclasses import asdict, dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -43,10 +47,28 @@ from ..operators.channels import DIGITS, EPSILON, _saturated, question_terms, ra
 from .held import fresh_folder, held
 
 RANGE = 256
-SHARDS = 16
+#: Postings of question terms, counted for each question, from which on a search prunes.
+PRUNE_FROM = 1 << 26
 SLACK = 2 * 10**-DIGITS
-#: Terms that are written into a filter of the postings at most.
-NAMED_TERMS = 4096
+#: Terms that are written into a filter of the postings at most; it lets a scan skip pages.
+NAMED_TERMS = 32
+
+
+def counted_ranks(every: DataFrame, some: DataFrame, few: bool) -> DataFrame:
+    """(q, item_id, rank) of `some` rows (q, item_id, score) among `every` row of their question, ties in order of the ids.
+
+    Nothing is sorted: each row is compared with the few that are asked for, and counts are added up in the tasks.
+    """
+    wanted = some.groupBy("q").agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), F.col("item_id").alias("i")))).alias("wanted"))
+    every = every.join(F.broadcast(wanted) if few else wanted, "q")
+    hit = F.struct((-F.col("score")).alias("s"), F.col("item_id").alias("i"))
+    behind = F.size(F.filter("wanted", lambda w: w < hit)) + 1  # the first of the wanted that the hit is not behind
+    counts = every.select("q", behind.alias("at")).groupBy("q", "at").agg(F.count("*").alias("c"))
+    listed = wanted.select("q", F.posexplode("wanted").alias("p", "w")).select("q", (F.col("p") + 1).alias("at"), F.col("w.i").alias("item_id"))
+    both = listed.join(counts, ["q", "at"], "full")
+    # a hit at place j is at or before each wanted one from j on; a wanted one is itself among them
+    rank = F.sum(F.coalesce("c", F.lit(0))).over(Window.partitionBy("q").orderBy("at"))
+    return both.withColumn("rank", rank).where("item_id is not null").select("q", "item_id", "rank")
 
 
 @dataclass(frozen=True)
@@ -56,6 +78,7 @@ class Segment:
     n: int
     total: int
     bits: int
+    buckets: int
 
     @property
     def mean(self) -> float:
@@ -66,10 +89,6 @@ def _range(item: Column | str, bits: int) -> Column:
     return F.shiftrightunsigned(F.xxhash64(item), 64 - bits) if bits else F.lit(0).cast("long")
 
 
-def _shard(term: Column | str) -> Column:
-    return F.pmod(F.xxhash64(term), F.lit(SHARDS)).cast("int")
-
-
 def _bits(n: int) -> int:
     return max(0, math.ceil(math.log2(max(1, n) / RANGE)))
 
@@ -78,7 +97,7 @@ class LexicalIndex:
     """An index below `path`. Open one that is there, or `build` it from items (item_id, text)."""
 
     def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
+        self.spark, self.path, self._tables = spark, path.rstrip("/"), {}
         self.version, self.segments = self._published()
 
     # -- storing ----------------------------------------------------------------
@@ -86,13 +105,17 @@ class LexicalIndex:
     @classmethod
     def build(cls, items: DataFrame, path: str | None = None, batch: str = "0") -> LexicalIndex:
         spark = items.sparkSession
-        index = cls.__new__(cls)
-        index.spark, index.path, index.version, index.segments = spark, (path or fresh_folder(spark, "lexical")).rstrip("/"), 0, []
+        index = cls(spark, path or fresh_folder(spark, "lexical"))
         index.add(items, batch)
         return index
 
     def _published(self) -> tuple[int, list[Segment]]:
-        rows = self.spark.read.schema("version long, segments string").option("recursiveFileLookup", "true").json(f"{self.path}/manifests")
+        try:
+            rows = self.spark.read.schema("version long, segments string").option("recursiveFileLookup", "true").json(f"{self.path}/manifests")
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return 0, []  # nothing was published yet
         last = rows.orderBy(F.desc("version")).first()
         if last is None:
             return 0, []
@@ -109,47 +132,55 @@ class LexicalIndex:
         """Adds a batch as a segment. False if that batch is in the index already."""
         if any(batch in s.batches for s in self.segments):
             return False
-        bits = _bits(items.count())
-        words = items.select("item_id", tokens("text").alias("ts"))
+        n = items.count()
+        if not n:
+            self._publish([*self.segments, Segment(f"{self.version + 1:08d}", (batch,), 0, 0, 0, 1)])
+            return True
+        bits = _bits(n)
+        buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        words = items.select("item_id", "text").repartition(buckets, "item_id").select("item_id", tokens("text").alias("ts"))
         each = words.select("item_id", F.size("ts").alias("length"), F.explode(F.concat(F.array(F.lit("")), "ts")).alias("term"))
-        rows = each.groupBy("item_id", "length", "term").agg(F.count("*").alias("tf"))
-        self._publish([*self.segments, self._segment(rows, bits, (batch,))])
+        rows = each.groupBy("item_id", "length", "term").agg(F.count("*").cast("int").alias("tf"))
+        self._publish([*self.segments, self._segment(rows, bits, buckets, (batch,))])
         return True
 
-    def _segment(self, rows: DataFrame, bits: int, batches: tuple[str, ...]) -> Segment:
-        """Writes (item_id, length, term, tf) as a segment."""
+    def _segment(self, rows: DataFrame, bits: int, buckets: int, batches: tuple[str, ...]) -> Segment:
+        """Writes (item_id, length, term, tf), dealt by item, as a segment."""
         name = f"{self.version + 1:08d}"
         place = f"{self.path}/segments/{name}"
-        files = max(1, int(self.spark.conf.get("spark.sql.shuffle.partitions")) // SHARDS)
-        dealt = rows.withColumns({"shard": _shard("term"), "block": _range("item_id", bits)}).withColumn("file", F.pmod("block", F.lit(files)))
-        posting = F.sort_array(F.collect_list(F.struct("item_id", "tf", "length"))).alias("p")
-        blocks = dealt.repartition(SHARDS * files, "shard", "file").groupBy("shard", "file", "term", "block").agg(posting)
-        blocks = blocks.select("shard", "term", "block", F.col("p.item_id").alias("items"), F.col("p.tf").alias("tfs"), F.col("p.length").alias("lengths"))
-        blocks.sortWithinPartitions("shard", "term", "block").write.partitionBy("shard").mode("overwrite").parquet(f"{place}/postings")
-        written = self.spark.read.parquet(f"{place}/postings")
-        whole = written.where((F.col("shard") == _shard(F.lit(""))) & (F.col("term") == "")).agg(
-            F.sum(F.size("items")).alias("n"), F.sum(F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x)).alias("total")
-        )
-        size = whole.first()
-        segment = Segment(name, batches, size["n"] or 0, size["total"] or 0, bits)
-        peak = F.array_max(F.zip_with("tfs", "lengths", lambda tf, length: _saturated(tf, length, F.lit(segment.mean or 1.0))))
-        written.where("term <> ''").select("term", "block", F.size("items").alias("n"), peak.alias("peak")).write.mode("overwrite").parquet(f"{place}/blocks")
+        table = f"palimpsest_{uuid.uuid4().hex}"
+        postings = rows.select("term", _range("item_id", bits).alias("block"), "item_id", "tf", "length")
+        postings.write.bucketBy(buckets, "item_id").sortBy("term", "block").option("path", f"{place}/postings").saveAsTable(table)
+        self._tables[name] = written = self.spark.table(table)
+        self.spark.sql(f"DROP TABLE {table}")  # the name only: the files are outside of the warehouse
+        size = written.where("term = ''").agg(F.count("*").alias("n"), F.sum("length").alias("total")).first()
+        segment = Segment(name, batches, size["n"], size["total"] or 0, bits, buckets)
+        peak = F.max(_saturated(F.col("tf"), F.col("length"), F.lit(segment.mean or 1.0)))
+        blocks = written.where("term <> ''").groupBy("term", "block").agg(F.count("*").alias("n"), peak.alias("peak"))
+        blocks.write.mode("overwrite").parquet(f"{place}/blocks")
         terms = self.spark.read.parquet(f"{place}/blocks").groupBy("term").agg(F.sum("n").alias("df"), F.max("peak").alias("peak"))
         terms.write.mode("overwrite").parquet(f"{place}/terms")
         return segment
 
     def compact(self) -> None:
         """Merges all segments into one; scores stay as they are."""
-        rows, batches = None, ()
-        for s in self.segments:
-            p = self.spark.read.parquet(f"{self.path}/segments/{s.name}/postings").select("term", F.explode(F.arrays_zip("items", "tfs", "lengths")).alias("p"))
-            p = p.select(F.col("p.items").alias("item_id"), F.col("p.lengths").alias("length"), "term", F.col("p.tfs").alias("tf"))
-            rows, batches = p if rows is None else rows.unionByName(p), batches + s.batches
+        rows, buckets = None, int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        for s in self.live:
+            p = self._postings(s, None).select("item_id", "length", "term", "tf")
+            rows = p if rows is None else rows.unionByName(p)
         if rows is not None and len(self.segments) > 1:
-            self._publish([self._segment(rows, _bits(self.n), batches)])
+            self._publish([self._segment(rows.repartition(buckets, "item_id"), _bits(self.n), buckets, sum((s.batches for s in self.segments), ()))])
 
     # -- statistics -------------------------------------------------------------
 
+    @property
+    def live(self) -> list[Segment]:
+        return [s for s in self.segments if s.n]
+
+    def _none(self, questions: DataFrame, *columns: str) -> DataFrame:
+        kinds = {"score": F.lit(0.0), "rank": F.lit(0)}
+        return questions.select("q", F.lit(0).cast("long").alias("item_id"), *[kinds[c].alias(c) for c in columns]).limit(0)
+
     @property
     def n(self) -> int:
         return sum(s.n for s in self.segments)
@@ -168,10 +199,10 @@ class LexicalIndex:
     def terms(self) -> DataFrame:
         """(term, df, peak) of all segments."""
         rows = None
-        for s in self.segments:
+        for s in self.live:
             t = self._part(s, "terms").withColumn("peak", F.col("peak") * self._longer(s))
             rows = t if rows is None else rows.unionByName(t)
-        return rows if len(self.segments) == 1 else rows.groupBy("term").agg(F.sum("df").alias("df"), F.max("peak").alias("peak"))
+        return rows if len(self.live) == 1 else rows.groupBy("term").agg(F.sum("df").alias("df"), F.max("peak").alias("peak"))
 
     def weighted(self, questions: DataFrame, variant: str = "plus1") -> DataFrame:
         """(q, term, df, w, most): the weight of each known question term, and what it can add to a score at most."""
@@ -189,16 +220,20 @@ class LexicalIndex:
     # -- reading postings ---------------------------------------------------------
 
     def _postings(self, s: Segment, only: Column | None) -> DataFrame:
-        rows = self._part(s, "postings")
+        """The bucketed table of a segment; a reader of another session names it for itself once."""
+        if s.name not in self._tables:
+            table, place = f"palimpsest_{uuid.uuid4().hex}", f"{self.path}/segments/{s.name}/postings"
+            columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in self.spark.read.parquet(place).schema.fields)
+            self.spark.sql(f"CREATE TABLE {table} ({columns}) USING parquet CLUSTERED BY (item_id) SORTED BY (term, block) INTO {s.buckets} BUCKETS LOCATION '{place}'")
+            self._tables[s.name] = self.spark.table(table)
+            self.spark.sql(f"DROP TABLE {table}")
+        rows = self._tables[s.name]
         return rows if only is None else rows.where(only)
 
     def _filter(self, asked: DataFrame, few: bool) -> Column | None:
-        """A filter for folders, and for terms within them, where the terms are few."""
-        if not few:
-            return None
-        rows = asked.select("term", _shard("term").alias("shard")).distinct().collect()
-        some = F.col("shard").isin(sorted({r["shard"] for r in rows}))
-        return some & F.col("term").isin(sorted(r["term"] for r in rows)) if len(rows) <= NAMED_TERMS else some
+        """A filter of the terms within files, where they are few."""
+        terms = asked.select("term").distinct().limit(NAMED_TERMS + 1).collect() if few else []
+        return F.col("term").isin([r["term"] for r in terms]) if 0 < len(terms) <= NAMED_TERMS else None
 
     def _impact(self) -> Column:
         return F.col("w") * _saturated(F.col("tf"), F.col("length"), F.lit(self.mean))
@@ -206,17 +241,17 @@ class LexicalIndex:
     def _hits(self, asked: DataFrame, few: bool, only: Column | None, chosen: dict[str, DataFrame] | None = None) -> DataFrame:
         """(q, item_id, w, most, tf, length) of the postings of asked terms, of `chosen` blocks (q, term, block, ...) if given."""
         out = None
-        for s in self.segments:
+        for s in self.live:
             want = asked if chosen is None else chosen[s.name]
             key = ["term"] if chosen is None else ["term", "block"]
-            hit = self._postings(s, only).join(F.broadcast(want) if few else want, key)
-            hit = hit.select("q", "w", "most", F.explode(F.arrays_zip("items", "tfs", "lengths")).alias("p"))
-            hit = hit.select("q", F.col("p.items").alias("item_id"), "w", "most", F.col("p.tfs").alias("tf"), F.col("p.lengths").alias("length"))
+            hit = self._postings(s, only).join(F.broadcast(want) if few else want, key).select("q", "item_id", "w", "most", "tf", "length")
             out = hit if out is None else out.unionByName(hit)
         return out
 
     def all_scores(self, questions: DataFrame, variant: str = "plus1") -> DataFrame:
         """(q, item_id, score) of every item that has a question term. Reads the index, never the texts."""
+        if not self.live:
+            return self._none(questions, "score")
         asked, few = held(self.weighted(questions, variant))
         return self._all(asked, few)
 
@@ -226,28 +261,47 @@ class LexicalIndex:
 
     def scores(self, pairs: DataFrame, questions: DataFrame, variant: str = "plus1") -> DataFrame:
         """(q, item_id, score) of those pairs (q, item_id) that have a term in common, by looking up their blocks."""
+        if not self.live:
+            return self._none(questions, "score")
         asked, few = held(self.weighted(questions, variant))
         return self._exact(*held(pairs.select("q", "item_id")), asked, self._filter(asked, few))
 
     def _exact(self, pairs: DataFrame, few: bool, asked: DataFrame, only: Column | None) -> DataFrame:
+        """Whole scores of pairs, by looking up their (term, item)."""
         out = None
-        want = pairs.join(asked, "q")
-        for s in self.segments:
-            here = want.withColumn("block", _range("item_id", s.bits))
-            found = self._postings(s, only).join(F.broadcast(here) if few else here, ["term", "block"])
-            found = found.withColumn("at", F.array_position("items", F.col("item_id"))).where("at > 0")
-            at = F.col("at").cast("int") - 1
-            found = found.select("q", "item_id", "w", F.get("tfs", at).alias("tf"), F.get("lengths", at).alias("length"))
+        want = pairs.join(F.broadcast(asked) if few else asked, "q").select("q", "item_id", "term", "w")
+        for s in self.live:
+            found = self._postings(s, only).join(want, ["term", "item_id"]).select("q", "item_id", "w", "tf", "length")
             out = found if out is None else out.unionByName(found)
         return out.groupBy("q", "item_id").agg(F.round(F.sum(self._impact()), DIGITS).alias("score"))
 
+    def _plain(self, asked: DataFrame, few: bool) -> bool:
+        """Whether the postings of the questions are few enough to score all of them."""
+        return few and (asked.agg(F.sum("df")).first()[0] or 0) < PRUNE_FROM
+
+    def few_scores(self, questions: DataFrame, variant: str = "plus1") -> DataFrame | None:
+        """`all_scores`, written once, if the questions have few postings; None if they have many."""
+        if not self.live:
+            return self.all_scores(questions, variant)
+        asked, few = held(self.weighted(questions, variant))
+        if not self._plain(asked, few):
+            return None
+        path = fresh_folder(self.spark, "scores")
+        self._all(asked, few).write.parquet(path)
+        return self.spark.read.parquet(path)
+
     # -- searching ----------------------------------------------------------------
 
-    def top(self, questions: DataFrame, k: int, variant: str = "plus1") -> DataFrame:
-        """(q, item_id, score, rank): the k best items of each question (q, question), ties in order of their ids."""
-        if not self.segments:
-            raise ValueError("the index has no segment")
+    def top(self, questions: DataFrame, k: int, variant: str = "plus1", prune: bool | None = None) -> DataFrame:
+        """(q, item_id, score, rank): the k best items of each question (q, question), ties in order of their ids.
+
+        Whether to prune is decided by the number of postings, unless `prune` says so; the result is the same.
+        """
+        if not self.live:
+            return self._none(questions, "score", "rank")
         asked, few = held(self.weighted(questions, variant))
+        if not (prune if prune is not None else not self._plain(asked, few)):
+            return ranked(self._all(asked, few), k=k)
         only = self._filter(asked, few)
         by_q = Window.partitionBy("q")
         # 1: items of the rarest terms, and the score that they show to be reached
@@ -263,7 +317,7 @@ class LexicalIndex:
         bounds = bounds.withColumns({"upto": upto, "all": F.sum("most").over(by_q)}).where((F.col("upto") >= F.col("least")) | (F.col("w") < 0))
         bounds, few_bounds = held(bounds.select("q", "term", "w", "most", "all", "least"))
         chosen, few_blocks = {}, few_bounds
-        for s in self.segments:
+        for s in self.live:
             near = self._part(s, "blocks").join(F.broadcast(bounds) if few_bounds else bounds, "term")
             near = near.where(F.col("all") - F.col("most") + F.greatest(F.lit(0.0), F.col("w") * F.col("peak") * self._longer(s)) >= F.col("least"))
             chosen[s.name], ok = held(near.select("q", "term", "block", "w", "most"))
@@ -282,7 +336,7 @@ class LexicalIndex:
         bounds = asked.join(best, "q", "left").withColumn("least", F.coalesce("reached", F.lit(float("-inf"))) - SLACK)
         bounds = bounds.withColumns({"upto": F.sum("most").over(by_q.orderBy("most", "term")), "all": F.sum("most").over(by_q)})
         read = every = 0
-        for s in self.segments:
+        for s in self.live:
             near = self._part(s, "blocks").join(bounds, "term")
             hot = (F.col("upto") >= F.col("least")) & (F.col("all") - F.col("most") + F.col("w") * F.col("peak") * self._longer(s) >= F.col("least"))
             row = near.agg(F.count_if(hot).alias("read"), F.count("*").alias("every")).first()
@@ -295,17 +349,8 @@ class LexicalIndex:
         Ranks are counted, not sorted: each hit is compared with the few scores that are asked for, and the counts
         are added up in the tasks, so that no task holds all hits of a question.
         """
+        if not self.live:
+            return self._none(questions, "rank")
         asked, few = held(self.weighted(questions, variant).join(pairs.select("q").distinct(), "q", "left_semi"))
         scored, small = held(self._exact(*held(pairs.select("q", "item_id")), asked, self._filter(asked, few)))
-        wanted = scored.groupBy("q").agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), F.col("item_id").alias("i")))).alias("wanted"))
-        every = self._all(asked, few).join(F.broadcast(wanted) if small else wanted, "q")
-        hit = F.struct((-F.col("score")).alias("s"), F.col("item_id").alias("i"))
-        behind = F.size(F.filter("wanted", lambda w: w < hit)) + 1  # the first of the wanted that the hit is not behind
-        counts = every.select("q", behind.alias("at")).groupBy("q", "at").agg(F.count("*").alias("c"))
-        listed = wanted.select("q", F.posexplode("wanted").alias("p", "w")).select("q", (F.col("p") + 1).alias("at"), F.col("w.i").alias("item_id"))
-        both = listed.join(counts, ["q", "at"], "full")
-        # a hit at place j is at or before each wanted one from j on; a wanted one is itself among them
-        rank = F.sum(F.coalesce("c", F.lit(0))).over(Window.partitionBy("q").orderBy("at"))
-        return both.withColumn("rank", rank).where("item_id is not null").select("q", "item_id", "rank")
-
-
+        return counted_ranks(self._all(asked, few), scored, small)

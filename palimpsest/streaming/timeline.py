@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..functions.text import tokens
 
 
 def event_stream(spark: SparkSession, folder: str, schema, per_trigger: int = 1) -> DataFrame:
@@ -88,11 +87,16 @@ def short_term(stream: DataFrame, capacity: int, late: str = "1 day") -> DataFra
     return rows.groupBy("user_id").applyInPandasWithState(step, "user_id long, event_id long, ts timestamp", "ids array<long>, times array<timestamp>", "append", GroupStateTimeout.NoTimeout)
 
 
-def index_stream(items: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Appends the postings of each batch of items to a table; a batch that is run again replaces its own files."""
+def index_stream(items: DataFrame, path: str, checkpoint: str, most_segments: int = 8) -> StreamingQuery:
+    """Adds each batch of items (item_id, text) to the lexical index at `path`, and merges its segments when there are many.
 
-    def append(batch: DataFrame, number: int) -> None:
-        rows = batch.select("item_id", F.explode(tokens("text")).alias("term")).groupBy("item_id", "term").agg(F.count("*").alias("tf"))
-        rows.write.mode("overwrite").parquet(f"{path}/batch={number}")
+    A batch that is run again after a failure is known by its number and changes nothing.
+    """
+    from ..retrieval.lexical import LexicalIndex
+
+    def add(batch: DataFrame, number: int) -> None:
+        index = LexicalIndex(batch.sparkSession, path)
+        if index.add(batch, str(number)) and len(index.segments) > most_segments:
+            index.compact()
 
-    return items.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return items.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -40,11 +40,3 @@ def test_open_events_close_by_gap_and_city(spark, tmp_path):
 def test_short_term_memory_gives_up_the_oldest(spark, tmp_path):
     rows = run(spark, timeline.short_term(feed(spark, tmp_path, PARTS), 1), tmp_path, "short_term")
     assert {(r.user_id, r.event_id) for r in rows} >= {(1, 1), (2, 3)}
-
-
-def test_index_grows_by_batches(spark, tmp_path):
-    docs = spark.createDataFrame([(1, "a b a"), (2, "b")], "item_id long, text string")
-    docs.write.parquet(str(tmp_path / "docs"))
-    stream = spark.readStream.schema(docs.schema).parquet(str(tmp_path / "docs"))
-    timeline.index_stream(stream, str(tmp_path / "index"), str(tmp_path / "ck")).awaitTermination(120)
-    assert {(r.item_id, r.term, r.tf) for r in spark.read.parquet(str(tmp_path / "index")).collect()} == {(1, "a", 2), (1, "b", 1), (2, "b", 1)}
