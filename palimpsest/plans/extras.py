@@ -148,3 +148,42 @@ def routed_vision_weights(spark, sf_dir):
     rows = base.asked(spark, sf_dir)
     w = fusion.adaptive_vision(fusion.STANDARD_WEIGHTS, 0.25, ask.is_visual(F.col("question")))
     return rows.select("q", *[F.round(w[k], 6).alias(k) for k in "msdv"])
+
+
+# -- passage graph --------------------------------------------------------------
+
+NAMED = "[a-z]{6,}"
+WALK = 3
+
+
+def _walk_sql() -> str:
+    """Rounds of the walk from entities to passages and back; what sits on entities without passages returns to the seeds."""
+    steps = []
+    for r in range(1, WALK + 1):
+        last = f"x{r - 1}"
+        steps.append(
+            f"l{r} AS (SELECT q, sum(v) AS lost FROM {last} WHERE kind = 'e' AND n NOT IN (SELECT e FROM de) GROUP BY q), "
+            f"x{r} AS MATERIALIZED (SELECT q, kind, n, sum(v) AS v FROM ("
+            f"SELECT x.q, 'p' AS kind, g.p AS n, 0.5e0 * x.v / de.d AS v FROM {last} x JOIN g ON x.kind = 'e' AND g.e = x.n JOIN de ON de.e = x.n "
+            f"UNION ALL SELECT x.q, 'e', g.e, 0.5e0 * x.v / dp.d FROM {last} x JOIN g ON x.kind = 'p' AND g.p = x.n JOIN dp ON dp.p = x.n "
+            f"UNION ALL SELECT s.q, 'e', s.n, s.v * (0.5e0 + 0.5e0 * coalesce(l.lost, 0)) FROM x0 s LEFT JOIN l{r} l USING (q)) GROUP BY q, kind, n)"
+        )
+    return (
+        f"WITH g AS MATERIALIZED (SELECT conv_id || ':' || turn AS p, unnest(list_distinct(regexp_extract_all(lower(text), '{NAMED}'))) AS e FROM conversations), "
+        "de AS (SELECT e, count(*) AS d FROM g GROUP BY e), dp AS (SELECT p, count(*) AS d FROM g GROUP BY p), "
+        f"w AS (SELECT item_id AS q, unnest(list_distinct(regexp_extract_all(lower(text), '{NAMED}'))) AS n FROM benchmark), "
+        "x0 AS MATERIALIZED (SELECT q, 'e' AS kind, n, 1e0 / count(*) OVER (PARTITION BY q) AS v FROM w), "
+        + ", ".join(steps)
+        + f" SELECT q, item_id, score, rank FROM (SELECT q, n AS item_id, round(v, 6) AS score, row_number() OVER (PARTITION BY q ORDER BY round(v, 6) DESC, n) AS rank FROM x{WALK} WHERE kind = 'p') WHERE rank <= 10"
+    )
+
+
+@query(_walk_sql())
+def passage_walk(spark, sf_dir):
+    """The turns that a walk from a question's long words reaches, through the words that turns share."""
+    from ..retrieval import graph
+
+    names = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit(NAMED), F.lit(0)))
+    turns = base.table(spark, sf_dir, "conversations").select(F.concat_ws(":", "conv_id", "turn").alias("item_id"), names("text").alias("entities"))
+    seeds = base.asked(spark, sf_dir).select("q", F.explode(names("question")).alias("e")).select("q", graph.entity("e").alias("node"), F.lit(1.0).alias("w"))
+    return graph.passages_of(graph.pagerank(graph.passage_edges(turns), seeds, tolerance=None, rounds=WALK), 10, digits=6)
