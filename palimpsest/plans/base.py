@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from ..operators import channels
 from ..retrieval.dense import VectorIndex
-from ..retrieval.fused import Dense, Lexical
+from ..retrieval.fused import Scan, Stored
+from ..retrieval.held import fresh_folder
 from ..retrieval.lexical import LexicalIndex
+from ..retrieval.retriever import Retriever
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -80,8 +82,15 @@ def vector_index(spark: SparkSession, sf_dir: str) -> VectorIndex:
     return _kept(rows, "vectors", lambda: VectorIndex.build(rows))
 
 
-def both_channels(spark: SparkSession, sf_dir: str) -> dict[str, Lexical | Dense]:
-    return {"s": Lexical(lexical(spark, sf_dir)), "d": Dense(vector_index(spark, sf_dir))}
+def retriever(spark: SparkSession, sf_dir: str) -> Retriever:
+    return Retriever(items(spark, sf_dir), lexical(spark, sf_dir), vector_index(spark, sf_dir))
+
+
+def both_channels(spark: SparkSession, sf_dir: str) -> dict[str, Stored | Scan]:
+    """The lexical and the dense channel for questions that are asked once: scores are written, vectors scanned."""
+    path = fresh_folder(spark, "scores")
+    sparse(spark, sf_dir).write.parquet(path)
+    return {"s": Stored(spark.read.parquet(path)), "d": Scan(item_vectors(spark, sf_dir))}
 
 
 def asked_both(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,18 +98,19 @@ def asked_both(spark: SparkSession, sf_dir: str) -> DataFrame:
     return asked(spark, sf_dir).join(question_vectors(spark, sf_dir), "q", "left")
 
 
-def first_sparse(spark: SparkSession, sf_dir: str, k: int, variant: str = "plus1") -> DataFrame:
-    """(q, item_id, score, rank) of the k best by words."""
-    return lexical(spark, sf_dir).top(asked(spark, sf_dir), k, variant)
-
-
 def sparse(spark: SparkSession, sf_dir: str, variant: str = "plus1") -> DataFrame:
     """(q, item_id, score) of all items that have a word of the question."""
-    return lexical(spark, sf_dir).all_scores(asked(spark, sf_dir), variant)
+    return channels.bm25(items(spark, sf_dir), asked(spark, sf_dir), variant)
+
+
+def first_sparse(spark: SparkSession, sf_dir: str, k: int, variant: str = "plus1") -> DataFrame:
+    """(q, item_id, score, rank) of the k best by words."""
+    return channels.ranked(sparse(spark, sf_dir, variant), k=k)
 
 
 def nearest(spark: SparkSession, sf_dir: str, k: int = 50) -> DataFrame:
-    return vector_index(spark, sf_dir).top(question_vectors(spark, sf_dir), k)
+    found = channels.dense(item_vectors(spark, sf_dir), question_vectors(spark, sf_dir), k)
+    return channels.ranked(found.where("score > 0"), k=k)
 
 
 def contained(rows: DataFrame, questions: DataFrame) -> DataFrame:

@@ -37,6 +37,18 @@ def bm25_filtered_topk(spark, sf_dir):
     return channels.ranked(channels.bm25(base.items(spark, sf_dir).where("location = 'en'"), base.asked(spark, sf_dir)), k=TOP)
 
 
+@query(_top(bm25_sql(), "bm"))
+def bm25_indexed_topk(spark, sf_dir):
+    """The same from the index, which a session builds once."""
+    return base.lexical(spark, sf_dir).top(base.asked(spark, sf_dir), TOP)
+
+
+@query(_top(bm25_sql(), "bm"))
+def bm25_pruned_topk(spark, sf_dir):
+    """The same with block-max pruning, whatever the number of postings."""
+    return base.lexical(spark, sf_dir).top(base.asked(spark, sf_dir), TOP, prune=True)
+
+
 @query(
     f"WITH {bm25_sql()} SELECT q, item_id, score, rank FROM (SELECT *, {RANK} AS rank FROM bm) WHERE rank = 1 OR (score > 0 AND rank <= 5)"
 )
@@ -173,7 +185,7 @@ f AS (
 
 def fused(spark, sf_dir, k=TOP, **options):
     """The first k by fusion of whole rankings."""
-    n = base.lexical(spark, sf_dir).n
+    n = base.items(spark, sf_dir).count()
     return fused_top(base.both_channels(spark, sf_dir), base.asked_both(spark, sf_dir), k, {"s": W["s"], "d": W["d"]}, n_items=n, **options)
 
 
@@ -195,11 +207,33 @@ SELECT q, item_id, score, rank FROM (SELECT *, {RANK} AS rank FROM f) WHERE rank
 )
 def hybrid_rrf_positional(spark, sf_dir):
     rows = positioned(base.items(spark, sf_dir).select("item_id"), "item_id")
-    whole = base.lexical(spark, sf_dir).n
+    whole = base.items(spark, sf_dir).count()
     found = fusion.rrf_positional({"s": channels.ranked(base.sparse(spark, sf_dir)), "d": base.nearest(spark, sf_dir, whole)}, rows, base.asked(spark, sf_dir), W, TOP)
     return channels.ranked(found, k=TOP)
 
 
+@query(f"WITH {DENSE_SQL} SELECT q, item_id, score, rank FROM (SELECT *, {RANK} AS rank FROM dn WHERE score > 0) WHERE rank <= {TOP}")
+def dense_indexed_topk(spark, sf_dir):
+    """Nearest items from the cells of the vector index that can hold them."""
+    return base.vector_index(spark, sf_dir).top(base.question_vectors(spark, sf_dir), TOP)
+
+
+@query(
+    f"""
+WITH {WHOLE.replace(bm25_sql(), bm25_sql(**OKAPI))},
+f AS (
+    SELECT coalesce(s.q, d.q) AS q, coalesce(s.item_id, d.item_id) AS item_id,
+        round(0.4e0 / (60 + coalesce(s.rank, n + 1)) + 0.3e0 / (60 + coalesce(d.rank, n + 1)), 8) AS score
+    FROM s FULL JOIN d ON s.q = d.q AND s.item_id = d.item_id CROSS JOIN nn
+)
+SELECT q, item_id, score, rank FROM (SELECT *, {RANK} AS rank FROM f) WHERE rank <= {TOP}"""
+)
+def retriever_topk(spark, sf_dir):
+    """One call of the retriever on its indexes, without a metadata channel."""
+    found = base.retriever(spark, sf_dir).retrieve(base.asked_both(spark, sf_dir), TOP, weights={"s": 0.4, "d": 0.3})
+    return found.select("q", "item_id", "score", "rank")
+
+
 def positioned(rows, order: str):
     """Adds pos: each row's place from 1 in the order of a column, by written range partitions and one offset for each of them."""
     from pyspark.sql import Window
@@ -232,7 +266,7 @@ def hybrid_four_channel(spark, sf_dir):
 
     rows = base.items(spark, sf_dir).where(F.col("location") == PLACE).select("item_id")
     chan = base.both_channels(spark, sf_dir)
-    n = base.lexical(spark, sf_dir).n
+    n = base.items(spark, sf_dir).count()
     return fused_top({"m": Fixed(positioned(rows, "item_id")), **chan, "v": chan["d"]}, base.asked_both(spark, sf_dir), TOP, W, n_items=n)
 
 

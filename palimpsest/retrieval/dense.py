@@ -19,7 +19,7 @@ Defined results
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -240,42 +240,45 @@ class VectorIndex:
         return ranked(out, k=k)
 
     def scores(self, pairs: DataFrame, questions: DataFrame) -> DataFrame:
-        """(q, item_id, score) of those pairs whose product is positive."""
-        pairs, few = held(pairs.select("q", "item_id"))
-        mine = pairs.join(questions.select("q", F.col("vector").cast("array<double>").alias("asked")), "q").where("asked is not null")
-        found = self.rows.select("item_id", "vector").join(F.broadcast(mine) if few else mine, "item_id")
-        product = F.aggregate(F.zip_with("vector", "asked", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
-        return found.select("q", "item_id", F.round(product, DIGITS).alias("score")).where("score > 0")
+        return pair_scores(self.rows, pairs, questions)
 
     def ranks(self, pairs: DataFrame, questions: DataFrame) -> DataFrame:
-        """(q, item_id, rank) of those pairs whose product is positive, by counting what scores higher: nothing is sorted."""
-        wanted = self.scores(pairs, questions).groupBy("q").agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), F.col("item_id").alias("i")))).alias("w"))
-        both, _ = held(wanted.join(questions.select("q", "vector"), "q"))
-        out = None
-        lists = {}
-
-        def one(names, matrix):
-            lists_ = [(-np.array([x["s"] for x in lists[q]]), [x["i"] for x in lists[q]]) for q in names]
-            shared = self.spark.sparkContext.broadcast((matrix, lists_))
-            counts = self.rows.select("item_id", "vector").mapInArrow(_counted(shared), "at long, place long, n long").groupBy("at", "place").agg(F.sum("n").alias("n"))
-            named = [(at, p, names[at], i) for at, (_, ids) in enumerate(lists_) for p, i in enumerate(ids)]
-            rows = self.spark.createDataFrame(named, T.StructType([T.StructField("at", T.LongType()), T.StructField("place", T.LongType()), questions.schema["q"], self.rows.schema["item_id"]]))
-            rank = F.sum(F.coalesce("n", F.lit(0))).over(Window.partitionBy("at").orderBy("place"))
-            return rows.join(counts, ["at", "place"], "left").withColumn("rank", rank).select("q", "item_id", "rank")
-
-        names, matrix = [], []
-        for r in both.toLocalIterator():
-            names.append(r["q"])
-            matrix.append(r["vector"])
-            lists[r["q"]] = r["w"]
-            if len(names) == VECTOR_BLOCK:
-                part = one(names, np.array(matrix, np.float64))
-                out = part if out is None else out.unionByName(part)
-                names, matrix, lists = [], [], {}
-        if names:
-            part = one(names, np.array(matrix, np.float64))
-            out = part if out is None else out.unionByName(part)
-        return out if out is not None else pairs.select("q", "item_id", F.lit(0).cast("long").alias("rank")).limit(0)
-
+        return pair_ranks(self.rows, pairs, questions)
+
+
+def pair_scores(rows: DataFrame, pairs: DataFrame, questions: DataFrame) -> DataFrame:
+    """(q, item_id, score) of those pairs whose product is positive, from rows (item_id, vector) and questions (q, vector)."""
+    pairs, few = held(pairs.select("q", "item_id"))
+    mine = pairs.join(questions.select("q", F.col("vector").cast("array<double>").alias("asked")), "q").where("asked is not null")
+    found = rows.select("item_id", "vector").where("vector is not null").join(F.broadcast(mine) if few else mine, "item_id")
+    product = F.aggregate(F.zip_with("vector", "asked", lambda a, b: a.cast("double") * b), F.lit(0.0), lambda a, x: a + x)
+    return found.select("q", "item_id", F.round(product, DIGITS).alias("score")).where("score > 0")
+
+
+def pair_ranks(rows: DataFrame, pairs: DataFrame, questions: DataFrame) -> DataFrame:
+    """(q, item_id, rank) of those pairs whose product is positive, by counting what scores higher: nothing is sorted."""
+    spark = rows.sparkSession
+    wanted = pair_scores(rows, pairs, questions).groupBy("q").agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), F.col("item_id").alias("i")))).alias("w"))
+    both, _ = held(wanted.join(questions.select("q", "vector"), "q"))
+    vectors = rows.where("vector is not null").select("item_id", F.col("vector").cast("array<double>").alias("vector"))
+    schema = T.StructType([T.StructField("at", T.LongType()), T.StructField("place", T.LongType()), questions.schema["q"], rows.schema["item_id"]])
+
+    def one(block: list) -> DataFrame:
+        lists = [(-np.array([x["s"] for x in r["w"]]), [x["i"] for x in r["w"]]) for r in block]
+        shared = spark.sparkContext.broadcast((np.array([r["vector"] for r in block], np.float64), lists))
+        counts = vectors.mapInArrow(_counted(shared), "at long, place long, n long").groupBy("at", "place").agg(F.sum("n").alias("n"))
+        named = spark.createDataFrame([(at, p, block[at]["q"], i) for at, (_, ids) in enumerate(lists) for p, i in enumerate(ids)], schema)
+        rank = F.sum(F.coalesce("n", F.lit(0))).over(Window.partitionBy("at").orderBy("place"))
+        found, _ = held(named.join(counts, ["at", "place"], "left").withColumn("rank", rank).select("q", "item_id", "rank"))
+        shared.destroy()
+        return found
 
-Encoder = Callable[[Column], Column]
+    out, block = None, []
+    for r in both.toLocalIterator():
+        block.append(r)
+        if len(block) == VECTOR_BLOCK:
+            out = one(block) if out is None else out.unionByName(one(block))
+            block = []
+    if block:
+        out = one(block) if out is None else out.unionByName(one(block))
+    return out if out is not None else pairs.select("q", "item_id", F.lit(0).cast("long").alias("rank")).limit(0)

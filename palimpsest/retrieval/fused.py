@@ -17,8 +17,8 @@ from typing import Protocol
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators.channels import DIGITS, ranked
-from .dense import VectorIndex
+from ..operators.channels import DIGITS, dense, ranked
+from .dense import VectorIndex, pair_ranks, pair_scores
 from .held import held
 from .lexical import LexicalIndex, counted_ranks
 
@@ -88,6 +88,22 @@ class Dense:
         return self.index.ranks(pairs, questions)
 
 
+@dataclass
+class Scan:
+    """Vectors (item_id, vector) without an index, for questions that are asked once. Questions need `vector`."""
+
+    items: DataFrame
+
+    def top(self, questions: DataFrame, k: int) -> DataFrame:
+        return ranked(dense(self.items, questions, k).where("score > 0"), k=k)
+
+    def scores(self, pairs: DataFrame, questions: DataFrame) -> DataFrame:
+        return pair_scores(self.items, pairs, questions)
+
+    def ranks(self, pairs: DataFrame, questions: DataFrame) -> DataFrame:
+        return pair_ranks(self.items, pairs, questions)
+
+
 @dataclass
 class Fixed:
     """A ranking (item_id, pos) that is the same for all questions, pos from 1 without gaps."""
@@ -177,13 +193,14 @@ def fused_top(
             break
         open_ = questions.join(pending, "q", "left_semi")
         depth *= 4
+    found = settled
     for c in names:
-        missing, _ = held(settled.where(F.col(c).isNull() & ~F.col(f"whole_{c}")).select("q", "item_id"))
+        missing, _ = held(found.where(F.col(c).isNull() & ~F.col(f"whole_{c}")).select("q", "item_id"))
         if missing.isEmpty():
             continue
         asked = questions.join(missing.select("q").distinct(), "q", "left_semi")
         exact = channels[c].ranks(missing, asked) if by_rank else channels[c].scores(missing, asked)
-        exact = exact.select("q", "item_id", F.col(value).cast("double").alias("_exact"))
-        settled = settled.join(exact, ["q", "item_id"], "left").withColumn(c, F.coalesce(F.col(c), F.col("_exact"))).drop("_exact")
+        exact, few = held(exact.select("q", "item_id", F.col(value).cast("double").alias("_exact")))
+        settled = settled.join(F.broadcast(exact) if few else exact, ["q", "item_id"], "left").withColumn(c, F.coalesce(F.col(c), F.col("_exact"))).drop("_exact")
     total = _sum([F.coalesce(worth(c, F.col(c)), lost[c]) for c in names])
     return ranked(settled.select("q", "item_id", F.round(total, digits).alias("score")), k=k)

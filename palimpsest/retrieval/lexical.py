@@ -60,7 +60,7 @@ def counted_ranks(every: DataFrame, some: DataFrame, few: bool) -> DataFrame:
     Nothing is sorted: each row is compared with the few that are asked for, and counts are added up in the tasks.
     """
     wanted = some.groupBy("q").agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), F.col("item_id").alias("i")))).alias("wanted"))
-    every = every.join(F.broadcast(wanted) if few else wanted, "q")
+    every = every.join(F.broadcast(wanted) if few else wanted, "q").where(-F.col("score") <= F.element_at("wanted", -1)["s"])
     hit = F.struct((-F.col("score")).alias("s"), F.col("item_id").alias("i"))
     behind = F.size(F.filter("wanted", lambda w: w < hit)) + 1  # the first of the wanted that the hit is not behind
     counts = every.select("q", behind.alias("at")).groupBy("q", "at").agg(F.count("*").alias("c"))
