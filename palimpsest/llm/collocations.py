@@ -3,7 +3,7 @@
 All 1- to max_n-grams of the pieces between punctuation become rows, those of a block of about a million words
 with their number in the block, and are counted by a hash aggregation, which Spark does partially in each task
 first. Grams of three words or more are left out only where that is sure to change nothing: if a gram of one word less
-inside is too rare. Phrases of two or more words that come up at least `least` times are candidates. Each way to cut one in two
+inside is too rare, as a filter of bounded size tells. Phrases of two or more words that come up at least `least` times are candidates. Each way to cut one in two
 is a row; it is joined with the counts of its first and its last part and scored in Decimal, and the lowest score
 counts. A candidate that a longer one explains is anti-joined away: it is enough to look one word further, since of
 the candidates that hold it and are frequent enough each has one of the next length inside that holds it too and is
@@ -32,6 +32,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -43,8 +44,8 @@ LEAST = 10
 INSIDE = 50
 TOP = 2000
 SALTS = 64
-#: Bytes of frequent grams that are sent to the tasks at most.
-SENT_BYTES = 64 << 20
+#: Bits of the filter of frequent grams at most (32 MB).
+FILTER_BITS = 1 << 28
 #: Bytes of text that are split at once, and words whose grams are counted at once.
 BATCH_BYTES = 8 << 20
 BLOCK = 1 << 20
@@ -52,6 +53,8 @@ BLOCK = 1 << 20
 BREAKS = r"[.,;:!?\n-\r]+"
 UNKNOWN = "und"
 SCALE = 1_000_000
+#: The seed of Spark's XXH64.
+HASH_SEED = 42
 
 
 def _split(text: pa.Array) -> tuple[np.ndarray, pa.StringArray, np.ndarray, np.ndarray]:
@@ -73,7 +76,7 @@ def _numbered(keys: np.ndarray) -> tuple[np.ndarray, int]:
 
 
 def _gram_rows(first_n: int, last_n: int, shared=None):
-    """Rows of the first_n- to last_n-grams. With `shared`, all frequent grams of one word less, only those between two of them."""
+    """Rows of the first_n- to last_n-grams. With `shared`, a filter of grams of one word less, only those between two of them."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches_of(batches, 1 << 16, BATCH_BYTES, "text"):
@@ -92,8 +95,8 @@ def _gram_rows(first_n: int, last_n: int, shared=None):
                     if n > 1:  # every text ends with a dot, so a word's next one is of the same text
                         keep = ~ends[at + n - 1]
                         if n == first_n and shared is not None:
-                            good = np.zeros(BLOCK + 2, bool)  # whether a frequent gram of n - 1 words begins here
-                            good[at - first] = np.asarray(pc.is_in(strings(one, n - 1), shared.value))[key]
+                            good = np.zeros(BLOCK + 2, bool)  # whether a gram of the filter begins here
+                            good[at - first] = has(shared.value, strings(one, n - 1))[key]
                             keep &= good[at - first] & good[at - first + 1]
                         at, key = at[keep], key[keep]
                     if n == first_n:
@@ -107,10 +110,31 @@ def _gram_rows(first_n: int, last_n: int, shared=None):
     return scan
 
 
-def grams(docs: DataFrame, first_n: int = 1, last_n: int = MAX_N, *, within: pa.Array | None = None, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+def gram_filter(known: DataFrame) -> np.ndarray:
+    """A Bloom filter of (gram), of about 16 bits a gram and FILTER_BITS at most: as 64-bit words, which Spark aggregates."""
+    bits = min(FILTER_BITS, max(1 << 10, 1 << (16 * known.count()).bit_length()))
+    hashed = known.select(F.xxhash64("gram").alias("h"))
+    places = hashed.select(F.explode(F.array(F.col("h"), F.shiftrightunsigned("h", 32))).alias("h")).select(F.col("h").bitwiseAND(bits - 1).alias("at"))
+    words = places.groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("mask")).toArrow()
+    out = np.zeros(bits >> 6, np.uint64)
+    out[np.asarray(words.column("word"))] = np.asarray(words.column("mask")).view(np.uint64)
+    return out
+
+
+def has(words: np.ndarray, grams_: pa.StringArray) -> np.ndarray:
+    """Whether the filter has each gram; now and then it has one that was not put in."""
+    h = np.fromiter((xxhash.xxh64_intdigest(g, HASH_SEED) for g in grams_.to_pylist()), np.uint64, len(grams_))
+    found = np.ones(len(h), bool)
+    for at in (h, h >> np.uint64(32)):
+        at = at & np.uint64(len(words) * 64 - 1)
+        found &= (words[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) == 1
+    return found
+
+
+def grams(docs: DataFrame, first_n: int = 1, last_n: int = MAX_N, *, within: np.ndarray | None = None, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """(gram, f): the first_n- to last_n-grams of the texts, each with a tab and its language after it, once for each block that has it.
 
-    `within` are grams of first_n - 1 words: only grams that begin and end with one of them are rows then.
+    `within` is a filter of grams of first_n - 1 words: only grams that begin and end with one of them are rows then.
     """
     lang = F.coalesce(F.col(f"`{lang_col}`").cast("string"), F.lit(UNKNOWN))
     rows = docs.select(lang.alias("lang"), F.col(f"`{text_col}`").cast("string").alias("text"))
@@ -127,18 +151,17 @@ def _counted(rows: DataFrame, least: int) -> DataFrame:
     return counts.where((F.col("length") == 1) | (F.col("f") >= least))
 
 
-def phrase_counts(docs: DataFrame, scratch: Scratch, max_n: int = MAX_N, least: int = LEAST, sent_bytes: int = SENT_BYTES, **columns) -> DataFrame:
+def phrase_counts(docs: DataFrame, scratch: Scratch, max_n: int = MAX_N, least: int = LEAST, **columns) -> DataFrame:
     """(lang, phrase, length, f): how often each word occurs, and each longer gram that occurs at least `least` times.
 
     Words and pairs are counted first. A longer gram can be frequent only if the grams of one word less at its begin and
-    its end are, so while all of these fit `sent_bytes` they are sent to the tasks, and only grams between two of them become rows.
+    its end are, so a filter of these is sent to the tasks, and only grams between two that it has become rows. What it has
+    by mistake is counted like the rest, so the filter's bounded size changes no result.
     """
     out = scratch.write(_counted(grams(docs, 1, min(2, max_n), **columns), least), "counts")
     for n in range(3, max_n + 1):
         known = out.where((F.col("length") == n - 1) & (F.col("f") >= least)).select(F.concat("phrase", F.lit("\t"), "lang").alias("gram"))
-        size = known.agg(F.sum(F.octet_length("gram") + 8)).first()[0] or 0
-        within = known.toArrow().column(0).combine_chunks() if size <= sent_bytes else None
-        out = out.unionByName(scratch.write(_counted(grams(docs, n, n, within=within, **columns), least), f"counts-{n}"))
+        out = out.unionByName(scratch.write(_counted(grams(docs, n, n, within=gram_filter(known), **columns), least), f"counts-{n}"))
     return out
 
 

@@ -56,13 +56,15 @@ def test_phrases_equal_brute_force(spark, monkeypatch, max_n, block):
         assert whole == dict(rows)
         if max_n > 2:  # between frequent grams of one word less
             pa = collocations.pa
-            within = pa.array([g for g, f in rows.items() if g.split("\t")[0].count(" ") == max_n - 2 and f >= 3])
+            frequent = [g for g, f in rows.items() if g.split("\t")[0].count(" ") == max_n - 2 and f >= 3]
+            within = collocations.gram_filter(spark.createDataFrame([(g,) for g in frequent], "gram string"))
+            assert collocations.has(within, pa.array(frequent)).all()
             cut = Counter()
             for batch in batches:
                 batch = batch.set_column(0, "lang", pa.array([x or "und" for x in batch.column(0).to_pylist()]))
                 for out in collocations._gram_rows(max_n, max_n, type("Shared", (), {"value": within}))(iter([batch])):
                     cut.update(dict(zip(out.column(0).to_pylist(), out.column(1).to_pylist(), strict=True)))
-            often = set(within.to_pylist())
+            often = {g for g in rows if collocations.has(within, pa.array([g]))[0]}
 
             def inside(gram):
                 phrase, lang = gram.split("\t", 1)
@@ -71,8 +73,11 @@ def test_phrases_equal_brute_force(spark, monkeypatch, max_n, block):
             assert cut == {g: f for g, f in rows.items() if g.split("\t")[0].count(" ") == max_n - 1 and inside(g)}
         return
     scratch = collocations.Scratch(spark, "phrases")
-    sent, unsent = (sorted(map(tuple, collocations.phrase_counts(frame, scratch, max_n, 3, sent_bytes=b).collect())) for b in (collocations.SENT_BYTES, -1))
-    assert sent == unsent
+    every = sorted(map(tuple, collocations._counted(collocations.grams(frame, 1, max_n), 3).collect()))
+    assert sorted(map(tuple, collocations.phrase_counts(frame, scratch, max_n, 3).collect())) == every
+    with monkeypatch.context() as m:
+        m.setattr(collocations, "FILTER_BITS", 64)  # a full filter, which has everything
+        assert sorted(map(tuple, collocations.phrase_counts(frame, scratch, max_n, 3).collect())) == every
     for least, inside, top in ((10, 50, 2000), (2, 100, 5)):
         got = sorted(tuple(r) for r in collocations.collocations(frame, max_n=max_n, least=least, inside=inside, top=top).collect())
         assert got == plain(docs, max_n, least, inside, top)
