@@ -51,19 +51,24 @@ def entry_items(spark, sf_dir):
     return mentions.best_match(entries, items)
 
 
+def _plain(rows, *stamps):
+    """Times without a zone, as the table has them."""
+    return rows.withColumns({c: F.col(c).cast("timestamp_ntz") for c in stamps})
+
+
 @query()
 def memory_tiers(spark, sf_dir):
     """What moves between the tiers of each user's memory; topics are event types."""
-    return tier_moves(base.table(spark, sf_dir, "events"), owner="user_id", item="event_id", topic="event_type")
+    return _plain(tier_moves(base.table(spark, sf_dir, "events"), owner="user_id", item="event_id", topic="event_type"), "ts")
 
 
 @query(
     """
-WITH e AS (SELECT user_id AS owner, epoch_ms(ts) AS ms, event_id, min(event_type) AS city FROM events WHERE event_id IS NOT NULL AND user_id IS NOT NULL AND ts IS NOT NULL GROUP BY ALL),
+WITH e AS (SELECT user_id AS owner, epoch_us(ts) // 1000 AS ms, event_id, min(event_type) AS city FROM events WHERE event_id IS NOT NULL AND user_id IS NOT NULL AND ts IS NOT NULL GROUP BY ALL),
 l AS (SELECT *, lag(city) OVER w AS before, lag(ms // 86400000) OVER w AS day FROM e WINDOW w AS (PARTITION BY owner ORDER BY ms, event_id)),
 r AS (SELECT *, sum(CASE WHEN before = city AND ms // 86400000 - day <= 2 THEN 0 ELSE 1 END) OVER (PARTITION BY owner ORDER BY ms, event_id) AS run FROM l)
 SELECT owner, make_timestamp(min(ms) * 1000) AS "start", make_timestamp(max(ms) * 1000) AS "end", city, count(*) AS n FROM r GROUP BY owner, run, city"""
 )
 def city_runs(spark, sf_dir):
     """Events of each user that a change of place or a gap ends."""
-    return city_events(base.table(spark, sf_dir, "events"), owner="user_id", item="event_id", city="event_type")
+    return _plain(city_events(base.table(spark, sf_dir, "events"), owner="user_id", item="event_id", city="event_type"), "start", "end")

@@ -61,7 +61,7 @@ class Tiers:
 
 
 def _labels(rows: DataFrame, owner: str, item: str, ts: str, label: str) -> DataFrame:
-    clean = rows.select(F.col(owner).cast("long").alias("owner"), F.col(item).cast("long").alias("item_id"), F.col(ts).alias("ts"), F.coalesce(F.col(label), F.lit("")).alias("label"))
+    clean = rows.select(F.col(owner).cast("long").alias("owner"), F.col(item).cast("long").alias("item_id"), F.col(ts).cast("timestamp").alias("ts"), F.coalesce(F.col(label), F.lit("")).alias("label"))
     return clean.where("owner is not null and item_id is not null and ts is not null")
 
 
