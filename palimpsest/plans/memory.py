@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import facts, mentions
+from ..operators.evolution import evolve_notes
 from ..streaming.memory import city_events, tier_moves
 from . import base
 from .base import query
@@ -72,3 +73,28 @@ SELECT owner, make_timestamp(min(ms) * 1000) AS "start", make_timestamp(max(ms)
 def city_runs(spark, sf_dir):
     """Events of each user that a change of place or a gap ends."""
     return _plain(city_events(base.table(spark, sf_dir, "events"), owner="user_id", item="event_id", city="event_type"), "start", "end")
+
+
+def _turn_replies(prompts):
+    """A rule in place of a model: half of all notes evolve, and what they say depends on the whole prompt."""
+    h = F.crc32("prompt")
+    kept = prompts.where(h % 2 == 0)
+    none = F.lit(None).cast("array<array<string>>")
+    return kept.select(
+        "ord",
+        F.array(F.col("ord") - 1).alias("links"),
+        F.array(F.concat(F.lit("tag"), h % 7)).alias("own_tags"),
+        F.array(F.concat(F.lit("context"), h % 11), F.lit(None).cast("string"), F.concat(F.lit("context"), h % 13)).alias("contexts"),
+        none.alias("tags"),
+    )
+
+
+@query()
+def note_evolution(spark, sf_dir):
+    """Turns as notes whose neighbours are the three turns before; replies follow a rule, since there is no model."""
+    turns = base.table(spark, sf_dir, "conversations")
+    number = lambda back: F.col("conv_id") * 1_000_000 + F.col("turn") - back
+    notes = turns.select(number(0).alias("ord"), F.col("text").alias("content"), F.col("role").alias("context"), F.array("role").alias("tags"))
+    near = turns.select(number(0).alias("ord"), "turn", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("pos")).where("pos < turn")
+    near = near.select("ord", F.col("pos").cast("int").alias("pos"), (F.col("ord") - 1 - F.col("pos")).alias("neighbour"))
+    return evolve_notes(notes, near, _turn_replies)[0]
