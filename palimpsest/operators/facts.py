@@ -76,15 +76,17 @@ def fact_history(statements: DataFrame, least: float = 0.6) -> DataFrame:
     first = F.min(F.struct(F.col("text").isNotNull().alias("k"), "text", "removes")).alias("s")
     said = said.groupBy("owner", "seq").agg(first).select("owner", "seq", "s.text", "s.removes")
     words = F.array_sort(F.array_distinct(F.coalesce(tx.tokens(F.coalesce("text", F.lit(""))), F.array().cast("array<string>"))))
-    said = stored(said.withColumns({"_o": F.coalesce(F.concat(F.lit("="), "owner"), F.lit("")), "tokens": words}), "statements")
-    sets = stored(said.groupBy("_o", "tokens").agg(F.count("*").alias("n")).select("_o", "tokens", F.monotonically_increasing_id().alias("id")), "texts")
+    said = said.withColumn("_o", F.coalesce(F.concat(F.lit("="), "owner"), F.lit("")))
+    said = stored(said.withColumn("_t", F.sha2(F.array_join(words, " "), 256)), "statements")
+    sets = said.groupBy("_o", "_t").agg(F.min("text").alias("text")).select("_o", "_t", words.alias("tokens"), F.monotonically_increasing_id().alias("id"))
+    sets = stored(sets, "texts")
     near = stored(similar_sets(sets, least, "_o"), "near")
     roots = components(near)
     ways = near.select(F.col("a").alias("id"), F.struct(F.col("b").alias("id"), "similarity").alias("n"))
     ways = ways.unionByName(near.select(F.col("b").alias("id"), F.struct(F.col("a").alias("id"), "similarity").alias("n")))
     ways = ways.groupBy("id").agg(F.collect_list("n").alias("near"))
-    placed = sets.join(roots, "id", "left").join(ways, "id", "left").withColumn("root", F.coalesce("root", "id"))
-    rows = said.join(placed, ["_o", "tokens"]).select("root", "seq", "id", "removes", "near", "owner", "text")
+    placed = sets.select("_o", "_t", "id").join(roots, "id", "left").join(ways, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    rows = said.join(placed, ["_o", "_t"]).select("root", "seq", "id", "removes", "near", "owner", "text")
     return rows.repartition("root").sortWithinPartitions("root", "seq").mapInArrow(_read_in_order, DECIDED)
 
 

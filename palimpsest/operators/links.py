@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +14,8 @@ from ..retrieval.held import fresh_folder
 
 #: What a product of floats may lose before it is compared with a whole number.
 SLACK = 1e-9
+#: Frequent tokens that are listed at most: two megabytes.
+FREQUENT = 1 << 17
 
 
 def stored(rows: DataFrame, label: str) -> DataFrame:
@@ -22,20 +29,45 @@ def jaccard_of(shared: Column, left: Column, right: Column) -> Column:
     return shared / (left + right - shared)
 
 
+def _heads(by: str, codes: np.ndarray, df: np.ndarray, least: float):
+    """(by, id, n, token) of each set's first tokens, those that are not frequent before the frequent ones."""
+    order = np.argsort(codes)
+    known, weight = codes[order], df[order]
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, tokens, sizes = [], [], []
+            for at, found in enumerate(batch.column("codes")):
+                mine = found.values.to_numpy()
+                n = len(mine)
+                place = np.minimum(np.searchsorted(known, mine), max(0, len(known) - 1))
+                often = np.where(known[place] == mine, weight[place], 0) if len(known) else np.zeros(n, np.int64)
+                head = mine[np.lexsort((mine, often))[: n - math.ceil(n * least - SLACK) + 1]]
+                rows.append(np.full(len(head), at))
+                tokens.append(head)
+                sizes.append(np.full(len(head), n, np.int32))
+            if rows:
+                take = pa.array(np.concatenate(rows))
+                yield pa.RecordBatch.from_arrays([batch.column(by).take(take), batch.column("id").take(take), pa.array(np.concatenate(sizes)), pa.array(np.concatenate(tokens))], [by, "id", "n", "token"])
+
+    return cut
+
+
 def similar_sets(sets: DataFrame, least: float, by: str) -> DataFrame:
     """(a, b, similarity), a < b: all pairs of sets under one value of `by` whose Jaccard similarity is `least` or more.
 
     sets: (by, id, tokens), tokens distinct. Two sets that similar share one of their rarest tokens: of n tokens, the
     n - ceil(least n) + 1 rarest are the keys on which sets meet, and a set only meets sets of a size that can reach
-    the bound. What meets is verified on whole sets. Empty sets have no links.
+    the bound. Which are rare is told by a list of the FREQUENT most frequent tokens; the others come first, in any order that is the
+    same for all. Tokens meet by 64-bit hashes: two tokens of one hash only make sets meet more often. What meets is
+    verified on whole sets. Empty sets have no links.
     """
     sets = sets.where(F.size("tokens") > 0)
-    counted = sets.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("df"))
-    each = sets.select(by, "id", F.explode("tokens").alias("token")).join(counted, "token")
-    ordered = each.groupBy(by, "id").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("ts"))
-    n = F.size("ts")
-    head = F.slice("ts", F.lit(1), (n - F.ceil(n * least - SLACK) + 1).cast("int"))
-    keys = stored(ordered.select(by, "id", n.alias("n"), F.explode(F.transform(head, lambda t: t["token"])).alias("token")), "prefix")
+    coded = sets.select(by, "id", F.transform("tokens", lambda t: F.xxhash64(t)).alias("codes"))
+    counted = coded.select(F.explode("codes").alias("code")).groupBy("code").agg(F.count("*").alias("df")).where("df > 1")
+    often = counted.orderBy(F.desc("df"), "code").limit(FREQUENT).toArrow()
+    kind = coded.select(by, "id").withColumns({"n": F.lit(0), "token": F.lit(0).cast("long")}).schema
+    keys = stored(coded.mapInArrow(_heads(by, often["code"].to_numpy(), often["df"].to_numpy(), least), kind), "prefix")
     left = keys.select(by, "token", F.col("id").alias("a"), F.col("n").alias("na"))
     right = keys.select(by, "token", F.col("id").alias("b"), F.col("n").alias("nb"))
     sized = (F.col("nb") >= F.col("na") * least - SLACK) & (F.col("na") >= F.col("nb") * least - SLACK)
