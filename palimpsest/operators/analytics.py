@@ -93,8 +93,8 @@ def usage_totals(records: DataFrame, keys: Sequence[str], group: str = "group_id
 
 
 def price_of(models: DataFrame, prices: DataFrame, model: str = "model", prefix: str = "prefix") -> DataFrame:
-    """Models with the price of their longest prefix. The price list is small and given; every prefix of a model is looked up."""
-    cut = models.select("*", F.explode(F.transform(F.sequence(F.lit(1), F.length(model)), lambda k: F.left(F.col(model), k))).alias(prefix)).join(prices, prefix)
+    """Models with the price of their longest prefix. The price list is small and given, so it is what goes to the tasks; every prefix of a model is looked up."""
+    cut = models.select("*", F.explode(F.transform(F.sequence(F.lit(0), F.length(model)), lambda k: F.left(F.col(model), k))).alias(prefix)).join(F.broadcast(prices), prefix)
     w = Window.partitionBy(model).orderBy(F.desc(F.length(prefix)))
     return cut.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
 

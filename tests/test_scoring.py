@@ -123,6 +123,15 @@ def test_longest_prefix(spark):
     assert {r.model: r.rate for r in analytics.price_of(models, prices).collect()} == {"gpt-5-mini": 3.0, "gpt-5": 2.0}
 
 
+def test_prices_are_sent_not_models(spark):
+    models = spark.createDataFrame([("gpt-5",), ("",), (None,)], "model string")
+    prices = spark.createDataFrame([("gpt", 1.0), ("", 0.5)], "prefix string, rate double")
+    found = analytics.price_of(models, prices)
+    assert {(r.model, r.rate) for r in found.collect()} == {("gpt-5", 1.0), ("", 0.5)}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "rightHint=(strategy=broadcast)" in plan
+
+
 def test_long_pages_keep_their_length(spark, tmp_path):
     from palimpsest.plans import textual
 
