@@ -164,3 +164,18 @@ def test_scoring_tasks_grow_with_the_pairs(spark, monkeypatch):
     assert {tuple(r) for r in many.collect()} == one
     grouped = channels.bm25(items.withColumn("half", F.col("item_id") % 2), asked, group="half")
     assert {(r.q, r.item_id, r.score) for r in grouped.collect()} == one
+
+
+def test_products_are_made_in_bounded_blocks(spark, monkeypatch):
+    made = []
+    keep = np.partition
+    monkeypatch.setattr(channels, "PRODUCTS", 50)
+    monkeypatch.setattr(channels.np, "partition", lambda a, *x, **y: made.append(a.size) or keep(a, *x, **y))
+    vectors = pa.array([[float(i), 1.0] for i in range(20)], pa.list_(pa.float64()))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(20), pa.int64()), vectors], ["item_id", "vector"])
+
+    class Shared:
+        value = (list(range(30)), np.array([[1.0, q] for q in range(30)]))
+
+    rows = [r for b in channels._nearest(Shared, 3, 6)([batch]) for r in b.to_pylist()]
+    assert max(made) <= 50 and sorted(r["item_id"] for r in rows if r["q"] == 4) == [17, 18, 19] and len(rows) == 90
