@@ -8,12 +8,15 @@ with its document frequency and largest impact. The empty term holds all items:
 mean length without a second reading of the texts.
 
 A search (`top`) is exact. While the question terms have few postings in all (`PRUNE_FROM`), all of them are scored, in one
-job. Beyond that frequent terms are mostly passed over:
+job without a shuffle of postings. Beyond that frequent terms are mostly passed over:
   1. each question's rarest terms that have k postings between them give k items, whose whole scores are looked up;
      the k-th is a score that the answer must reach;
   2. terms that could not lift an item to that score, even all together, bring no candidates (stop words mostly);
      of the other terms only those blocks do whose largest impact, with all other terms at their largest, reaches it;
   3. candidates whose bound still reaches it are scored by looking up all their terms, and ranked.
+Pruning pays while little is left. Where more blocks pass than can be sent to the tasks, the bound is put to each posting in the scan,
+which is tighter; where more candidates are left than can be sent, all question terms of the items are scored in one scan.
+Postings are never shuffled for a few questions.
 Upper bounds are those of the segment's mean length; where the index has a longer mean by now, they grow in proportion.
 
 Batches: `add` writes a new segment and publishes a manifest that names all segments; the manifest is one file, so readers
@@ -44,11 +47,13 @@ from pyspark.sql import types as T
 
 from ..functions.text import tokens
 from ..operators.channels import DIGITS, EPSILON, _saturated, question_terms, ranked
-from .held import fresh_folder, held
+from .held import HELD_ROWS, fresh_folder, held
 
 RANGE = 256
 #: Postings of question terms, counted for each question, from which on a search prunes.
-PRUNE_FROM = 1 << 26
+PRUNE_FROM = 1 << 36
+#: Items of a bucket at most: what a task adds up is so many scores for each question.
+BUCKET_ITEMS = 1 << 13
 SLACK = 2 * 10**-DIGITS
 #: Terms that are written into a filter of the postings at most; it lets a scan skip pages.
 NAMED_TERMS = 32
@@ -137,13 +142,16 @@ class LexicalIndex:
             self._publish([*self.segments, Segment(f"{self.version + 1:08d}", (batch,), 0, 0, 0, 1)])
             return True
         bits = _bits(n)
-        buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        buckets = self._buckets(n)
         words = items.select("item_id", "text").repartition(buckets, "item_id").select("item_id", tokens("text").alias("ts"))
         each = words.select("item_id", F.size("ts").alias("length"), F.explode(F.concat(F.array(F.lit("")), "ts")).alias("term"))
         rows = each.groupBy("item_id", "length", "term").agg(F.count("*").cast("int").alias("tf"))
         self._publish([*self.segments, self._segment(rows, bits, buckets, (batch,))])
         return True
 
+    def _buckets(self, n: int) -> int:
+        return max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), -(-n // BUCKET_ITEMS))
+
     def _segment(self, rows: DataFrame, bits: int, buckets: int, batches: tuple[str, ...]) -> Segment:
         """Writes (item_id, length, term, tf), dealt by item, as a segment."""
         name = f"{self.version + 1:08d}"
@@ -164,7 +172,7 @@ class LexicalIndex:
 
     def compact(self) -> None:
         """Merges all segments into one; scores stay as they are."""
-        rows, buckets = None, int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        rows, buckets = None, self._buckets(self.n)
         for s in self.live:
             p = self._postings(s, None).select("item_id", "length", "term", "tf")
             rows = p if rows is None else rows.unionByName(p)
@@ -244,7 +252,7 @@ class LexicalIndex:
         for s in self.live:
             want = asked if chosen is None else chosen[s.name]
             key = ["term"] if chosen is None else ["term", "block"]
-            hit = self._postings(s, only).join(F.broadcast(want) if few else want, key).select("q", "item_id", "w", "most", "tf", "length")
+            hit = self._postings(s, only).join(F.broadcast(want) if few else want, key).select("q", "item_id", "w", "most", "tf", "length", *[c for c in ("all", "least") if c in want.columns])
             out = hit if out is None else out.unionByName(hit)
         return out
 
@@ -256,8 +264,7 @@ class LexicalIndex:
         return self._all(asked, few)
 
     def _all(self, asked: DataFrame, few: bool) -> DataFrame:
-        hits = self._hits(asked, few, self._filter(asked, few))
-        return hits.groupBy("q", "item_id").agg(F.round(F.sum(self._impact()), DIGITS).alias("score"))
+        return self._summed(self._hits(asked, few, self._filter(asked, few)))
 
     def scores(self, pairs: DataFrame, questions: DataFrame, variant: str = "plus1") -> DataFrame:
         """(q, item_id, score) of those pairs (q, item_id) that have a term in common, by looking up their blocks."""
@@ -267,13 +274,26 @@ class LexicalIndex:
         return self._exact(*held(pairs.select("q", "item_id")), asked, self._filter(asked, few))
 
     def _exact(self, pairs: DataFrame, few: bool, asked: DataFrame, only: Column | None) -> DataFrame:
-        """Whole scores of pairs, by looking up their (term, item)."""
+        """Whole scores of pairs, by looking up their (term, item). Pairs that are sent meet the postings of the questions in one scan;
+        more of them meet the scores of all items, which are fewer rows than the postings."""
+        if self._sent(asked):
+            rows = self._hits(asked, True, only)
+            if few:
+                return self._summed(rows.join(F.broadcast(pairs), ["q", "item_id"], "left_semi"))
+            return self._summed(rows).join(pairs, ["q", "item_id"], "left_semi")
         out = None
         want = pairs.join(F.broadcast(asked) if few else asked, "q").select("q", "item_id", "term", "w")
         for s in self.live:
             found = self._postings(s, only).join(want, ["term", "item_id"]).select("q", "item_id", "w", "tf", "length")
             out = found if out is None else out.unionByName(found)
-        return out.groupBy("q", "item_id").agg(F.round(F.sum(self._impact()), DIGITS).alias("score"))
+        return self._summed(out)
+
+    def _summed(self, hits: DataFrame) -> DataFrame:
+        return hits.groupBy("q", "item_id").agg(F.round(F.sum(self._impact()), DIGITS).alias("score"))
+
+    def _sent(self, asked: DataFrame) -> bool:
+        """Whether rows that were computed once are few enough to be sent."""
+        return asked.limit(HELD_ROWS + 1).count() <= HELD_ROWS
 
     def _plain(self, asked: DataFrame, few: bool) -> bool:
         """Whether the postings of the questions are few enough to score all of them."""
@@ -322,11 +342,16 @@ class LexicalIndex:
             near = near.where(F.col("all") - F.col("most") + F.greatest(F.lit(0.0), F.col("w") * F.col("peak") * self._longer(s)) >= F.col("least"))
             chosen[s.name], ok = held(near.select("q", "term", "block", "w", "most"))
             few_blocks &= ok
-        partial = self._hits(asked, few_blocks, only, chosen).groupBy("q", "item_id").agg(F.sum(self._impact()).alias("part"), F.sum("most").alias("seen"))
+        if few_bounds and not few_blocks:  # the bound of each posting: one that an item of the answer has reaches it
+            near = self._hits(bounds, True, only).where(F.col("all") - F.col("most") + F.greatest(F.lit(0.0), self._impact()) >= F.col("least"))
+        else:
+            near = self._hits(asked, few_blocks, only, chosen)
+        partial = near.groupBy("q", "item_id").agg(F.sum(self._impact()).alias("part"), F.sum("most").alias("seen"))
         limits = bounds.select("q", "all", "least").distinct()
         partial = partial.join(F.broadcast(limits) if few_bounds else limits, "q").where(F.col("part") + F.col("all") - F.col("seen") >= F.col("least"))
         # 3: whole scores
-        return ranked(self._exact(*held(partial.select("q", "item_id")), asked, only), k=k)
+        partial, few_items = held(partial.select("q", "item_id"))
+        return ranked(self._exact(partial, few_items, asked, only) if few_items or not few else self._all(asked, few), k=k)
 
     def blocks_read(self, questions: DataFrame, k: int, variant: str = "plus1") -> tuple[int, int]:
         """How many blocks bring candidates in `top`, and how many the question terms have."""

@@ -1,5 +1,7 @@
 """Indexes in folders, whole-ranking fusion and the retriever, held against scoring everything."""
 
+import random
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -211,3 +213,27 @@ def test_adaptive_weights_are_used(spark, album):
     for q in (2, 3):
         w = {"m": weights[q]["w_m"], "s": weights[q]["w_s"], "d": weights[q]["w_d"]}
         assert rows(got.where(F.col("q") == q)) == rows(it.retrieve(asked.where(F.col("q") == q), 5, weights=w, filter_mode=weights[q]["filter_mode"]))
+
+
+def test_pruning_that_leaves_much_scans_instead(spark, monkeypatch):
+    """Blocks, candidates and pairs beyond what is sent: the rows stay, and no posting is shuffled."""
+    rng = random.Random(12)
+    items = spark.createDataFrame([(i, " ".join(f"w{int(rng.paretovariate(0.7)) % 60}" for _ in range(rng.randint(1, 30)))) for i in range(600)], "item_id long, text string")
+    asked = spark.createDataFrame([(q, " ".join(f"w{rng.randrange(60)}" for _ in range(6))) for q in range(8)], "q long, question string")
+    monkeypatch.setattr(lexical, "BUCKET_ITEMS", 100)
+    index = lexical.LexicalIndex.build(items)
+    assert index.segments[0].buckets == 6
+    best = {tuple(r) for r in channels.ranked(channels.bm25(items, asked), k=5).collect()}
+    every = channels.bm25(items, asked)
+    some = every.where("item_id % 3 = 0").select("q", "item_id")
+    want = {tuple(r) for r in every.where("item_id % 3 = 0").collect()}
+    held = lexical.held
+    for rows in (lexical.HELD_ROWS, 60):
+        monkeypatch.setattr(lexical, "HELD_ROWS", rows)
+        monkeypatch.setattr(lexical, "held", lambda df, rows=rows: held(df, rows))
+        assert {tuple(r) for r in index.top(asked, 5, prune=True).collect()} == best
+        scores = index.scores(some, asked)
+        assert {tuple(r) for r in scores.collect()} == want
+        if rows > 60:
+            found = index.scores(some.limit(9), asked)._jdf.queryExecution().executedPlan().toString()
+            assert "SortMergeJoin" not in found and "hashpartitioning(term" not in found
