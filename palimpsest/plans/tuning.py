@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from ..operators import channels
+from ..operators.links import stored
 from ..retrieval.weights import AIM, WeightSearch
 from . import base
 from .base import query, values
@@ -14,8 +15,9 @@ GRID = [(i, i / 10, (10 - i) / 10) for i in range(11)]
 def search(spark, sf_dir) -> WeightSearch:
     """Over the whole rankings of the lexical and the dense channel."""
     whole = base.items(spark, sf_dir).count()
+    gold = stored(base.gold(spark, sf_dir), "gold")  # its texts are read once
     lists = {"s": channels.ranked(base.sparse(spark, sf_dir)), "d": base.nearest(spark, sf_dir, whole)}
-    return WeightSearch(lists, base.gold(spark, sf_dir), whole)
+    return WeightSearch(lists, gold, whole)
 
 
 @query(

@@ -20,6 +20,8 @@ AIM = {1: 0.2, 5: 0.2, 10: 0.3, 25: 0.2, 50: 0.1}
 #: Settings that a batch is weighed by at once, and settings of one pass.
 BLOCK, PASS = 64, 4096
 SHARES = 1024
+#: Items of a question that are read before they are compared, and items that are compared at once.
+READ, COMPARED = 1 << 13, 256
 
 
 def normal(weights: np.ndarray) -> tuple[float, ...]:
@@ -29,6 +31,54 @@ def normal(weights: np.ndarray) -> tuple[float, ...]:
     return tuple(float(x) for x in np.round(w, 4))
 
 
+def _band(ranks: np.ndarray, ids: np.ndarray, depth: int) -> np.ndarray:
+    """Places of the items with fewer than `depth` others that come before them under any weights: no rank worse, and the smaller id."""
+    codes = np.unique(ids, return_inverse=True)[1].astype(np.float64)
+    order = np.lexsort((codes, ranks.sum(1)))  # what is before an item under any weights comes first
+    rows = np.column_stack([ranks, codes])[order]
+    kept, places = rows[:0], []
+    for at in range(0, len(rows), COMPARED):
+        part = rows[at : at + COMPARED]
+        before = np.full(len(part), -1)  # each item is counted once with itself
+        for others in (kept, part):
+            hit = np.ones((len(part), len(others)), bool)
+            for c in range(rows.shape[1]):
+                hit &= others[:, c] <= part[:, c, None]
+            before += hit.sum(1)
+        some = before < depth
+        kept = np.concatenate([kept, part[some]])
+        places.append(order[at : at + COMPARED][some])
+    return np.concatenate(places) if places else order
+
+
+def _bands(depth: int):
+    """The band of each question, from rows (q, item_id, r) that have the rows of a question together; a task holds one band and READ rows."""
+
+    def of(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        whole = pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+        width = len(whole.column("r")[0])
+        ranks = np.asarray(whole.column("r").flatten(), np.float64).reshape(-1, width)
+        return whole.take(pa.array(np.sort(_band(ranks, whole.column("item_id").to_numpy(zero_copy_only=False), depth))))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        q, parts = None, []
+        for batch in batches:
+            names = batch.column("q").to_pylist()
+            starts = [i for i in range(len(names)) if not i or names[i] != names[i - 1]]
+            for start, end in zip(starts, [*starts[1:], len(names)], strict=True):
+                if parts and names[start] != q:
+                    yield of(parts)
+                    parts = []
+                q = names[start]
+                parts.append(batch.slice(start, end - start))
+                if len(parts) > 1 and sum(p.num_rows for p in parts[1:]) >= READ:
+                    parts = [of(parts)]
+        if parts:
+            yield of(parts)
+
+    return cut
+
+
 def _ahead(settings: np.ndarray, k: int):
     """Counts, in each batch and for each aim, the rivals that come before it under each setting."""
 
@@ -69,6 +119,10 @@ class WeightSearch:
     gives it the rank n_items + 1; a gold item of no list is not found. Equal scores, of eight digits, go to the smaller
     item_id. Weights are not negative.
 
+    Only the depths of the aim count. An item that as many others as the largest depth come before under any weights is within no
+    depth, so it is left out, in each task and then for each question; of what comes before an item that is within a depth, all
+    is kept. What is left of a question does not grow with its lists, but with their logarithm where channels are independent.
+
     A gold item's rank is one more than the items before it, so nothing is sorted. What is kept for it are the rank vectors of its
     rivals: an item that is behind it in all channels and has the larger id never passes it and is left out; one that is before it
     in all and has the smaller id always does and is only counted. That depends on no weights, so all settings of all
@@ -81,6 +135,10 @@ class WeightSearch:
         ranks = F.array(*[F.coalesce(F.col(n), F.lit(float(n_items + 1))) for n in self.names])
         wide = wide.select("q", "item_id", ranks.alias("r"))
         gold = gold.select("q", "item_id").where("q is not null and item_id is not null").distinct()
+        wide = wide.join(gold.select("q").distinct(), "q", "left_semi")
+        bands = _bands(max(self.aim))
+        wide = stored(wide.repartition("q", "item_id").sortWithinPartitions("q").mapInArrow(bands, wide.schema), "near")
+        wide = stored(wide.repartition("q").sortWithinPartitions("q").mapInArrow(bands, wide.schema), "bands")
         aims = gold.join(wide, ["q", "item_id"], "left").select("q", F.col("item_id").alias("g"), F.col("r").alias("mine"))
         aims = stored(aims.withColumn("aim", F.monotonically_increasing_id()), "aims")
         seen = aims.where("mine is not null")

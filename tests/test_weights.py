@@ -63,3 +63,17 @@ def test_empty_lists_and_no_gold(spark):
     gold = spark.createDataFrame([(1, 5), (None, 5), (2, 9)], "q long, item_id long")
     assert WeightSearch({"a": one, "b": none}, gold, 9).evaluate([(1.0, 0.0)])[0].recalls[1] == 0.5
     assert WeightSearch({"a": one}, gold.where("q > 5"), 9).evaluate([(1.0,)])[0].value == 0
+
+
+def test_what_can_be_within_a_depth_is_kept_and_little_else(spark):
+    rng = random.Random(9)
+    n = 4000
+    lists = {c: [(1, i, r + 1) for r, i in enumerate(rng.sample(range(n), n - 500))] for c in "ab"}
+    gold = [(1, i) for i in rng.sample(range(n), 40)] + [(1, lists["a"][k][1]) for k in range(0, 30, 3)]
+    frames = {c: spark.createDataFrame(rows, "q long, item_id long, rank int") for c, rows in lists.items()}
+    search = WeightSearch(frames, spark.createDataFrame(gold, "q long, item_id long"), n)
+    settings = [*search.grid(10), (0.0, 0.0)]
+    found = search.evaluate(settings)
+    for f, w in zip(found, recalls(lists, gold, n, settings, search.aim), strict=True):
+        assert list(f.recalls.values()) == pytest.approx(w, abs=2e-6)
+    assert search.rivals.count() < 10 * n  # 50 gold items by nearly 4000 rivals before
