@@ -11,9 +11,14 @@ from . import base
 from .base import query
 
 
+#: Ids that are sent to the tasks at most, about 24 bytes each.
+SENT_IDS = 1 << 20
+
+
 def _statements(spark, sf_dir):
     """Documents as statements of their source; a toxic one takes back what it says."""
-    toxic = base.table(spark, sf_dir, "labels").groupBy("doc_id").agg((F.max("toxic") == 1).alias("removes"))
+    toxic = base.table(spark, sf_dir, "labels").groupBy("doc_id").agg((F.max("toxic") == 1).alias("removes")).where("removes")
+    toxic = F.broadcast(toxic) if toxic.limit(SENT_IDS + 1).count() <= SENT_IDS else toxic  # texts stay where they are
     rows = base.table(spark, sf_dir, "documents").join(toxic, "doc_id", "left")
     return rows.select(F.col("source").alias("owner"), F.col("doc_id").alias("seq"), "text", "removes")
 
@@ -21,13 +26,13 @@ def _statements(spark, sf_dir):
 @query()
 def fact_history(spark, sf_dir):
     """What each statement did to the facts of its source."""
-    return facts.fact_history(_statements(spark, sf_dir)).drop("text")
+    return facts.fact_history(_statements(spark, sf_dir), text=False)
 
 
 @query()
 def fact_store(spark, sf_dir):
     """The facts that live after all statements."""
-    return facts.current_facts(facts.fact_history(_statements(spark, sf_dir))).drop("text")
+    return facts.current_facts(facts.fact_history(_statements(spark, sf_dir), text=False))
 
 
 LONG_WORDS = "[a-z]{4,}"

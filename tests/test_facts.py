@@ -90,3 +90,29 @@ def test_components_of_a_chain_a_hub_and_a_pair(spark):
     found = {r.id: r.root for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert found == {k: 10 for k in range(10, 61)} | {k: 200 for k in range(200, 260)} | {5: 5, 300: 5}
     assert components(spark.createDataFrame([], "a long, b long")).where(F.col("id") > 0).collect() == []
+
+
+def test_what_is_written_is_a_part_of_the_texts(spark):
+    from pathlib import Path
+
+    from palimpsest.retrieval.held import shared_root
+
+    rng = random.Random(3)
+    names = [f"{rng.getrandbits(64):x}" for _ in range(600)]
+    rows = [("hot", seq, " ".join(rng.sample(names, 200)), False) for seq in range(300)]
+    rows += [("hot", 300 + seq, rows[seq][2] + " more", False) for seq in range(10)]
+    root = Path(shared_root(spark).removeprefix("file://"))
+    size = lambda: sum(p.stat().st_size for p in root.rglob("*.parquet"))
+    before = size()
+    assert fact_history(spark.createDataFrame(rows, KIND), text=False).where("action = 'update'").count() == 10
+    assert size() - before < sum(len(r[2]) for r in rows) / 4
+
+
+def test_cells_and_rows_that_come_twice(spark, monkeypatch):
+    from palimpsest.operators import links
+
+    monkeypatch.setattr(links, "CELL", 5)
+    test_similar_sets_equal_all_pairs(spark)
+    rng = random.Random(9)
+    rows = [("a", rng.randint(0, 30), " ".join(rng.sample("pqrstu", rng.randint(0, 6))), rng.random() < 0.2) for _ in range(120)]
+    check(spark, rows)
