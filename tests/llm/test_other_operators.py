@@ -217,6 +217,13 @@ def test_encoder_equals_the_library(name):
             assert np.split(ids, np.cumsum(sizes))[:-1] and [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == [*want[at + 1 : at + 100], []]
 
 
+def test_words_that_come_up_again_are_remembered():
+    known = tokens.Recent(tokens.REMEMBERED)
+    for at in range(0, 200_000, 50_000):
+        known.keep({str(k): b"" for k in range(at, at + 50_000)})
+    assert None not in known.find([str(k) for k in range(1000)])
+
+
 # -- archives ----------------------------------------------------------------
 
 
