@@ -22,7 +22,10 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group of near duplicates: 5-word shingles, Jaccard 0.8 or more."""
+    """Keeps the document with the smallest id of each group of near duplicates: 5-word shingles, Jaccard 0.8 or more.
+
+    SimHash fingerprints link first and are verified; whole sets find the pairs that fingerprints of 64 bits can't reach.
+    """
     return deduplicate(docs, width=5, similarity=0.8)
 
 

@@ -8,7 +8,8 @@ The order puts frequent shingles last, the most frequent after the rest, so that
 seldom make a block: shingles are counted over all texts in portions, and those that are frequent within a portion
 are summed up. The order changes the cost, never the result.
 
-Equal sets are one node from the start. The nodes of a block do not make pairs. First, in some rounds, every node
+Equal sets are one node from the start. Where links of 64-bit fingerprints are given, what they link is verified and
+joined first; the blocks then find what fingerprints can't reach. The nodes of a block do not make pairs. First, in some rounds, every node
 meets a few of the block, whose choice differs from round to round; what is verified joins components. Then the
 nodes of a block that are in different components still meet each other, those of like sizes, which is exact.
 Candidates are checked by size and by the places of the shingle that they share, as if it were their first common
@@ -297,8 +298,20 @@ class Nodes:
         return self.data if self.data is not None else self.scratch.spark.createDataFrame([], "node long, data binary")
 
 
-def similar_components(nodes: Nodes) -> DataFrame:
-    """(node, component) of the nodes that have a link."""
+def fingerprint_pairs(nodes: Nodes, prints: DataFrame, links: DataFrame) -> DataFrame:
+    """(u, v) of nodes that fingerprints link: each with the first of its own fingerprint, and the first ones of linked fingerprints.
+
+    prints: (text_hash, fp); links: (u, v) between values of fp.
+    """
+    of = nodes.rows.select("text_hash", "node").distinct().join(prints.select("text_hash", "fp").distinct(), "text_hash").select("node", "fp").distinct()
+    first = nodes.scratch.write(of.groupBy("fp").agg(F.min("node").alias("first")), "first")
+    own = of.join(first, "fp").select(F.col("node").alias("a"), F.col("first").alias("b"))
+    across = links.join(first.toDF("u", "a"), "u").join(first.toDF("v", "b"), "v").select("a", "b")
+    return own.unionByName(across).where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+
+
+def similar_components(nodes: Nodes, met: DataFrame | None = None) -> DataFrame:
+    """(node, component) of the nodes that have a link; those of the pairs `met` that are so alike are joined first."""
     scratch, s = nodes.scratch, nodes.similarity
     links, groups = None, scratch.spark.createDataFrame([], "node long, component long")
 
@@ -327,6 +340,9 @@ def similar_components(nodes: Nodes) -> DataFrame:
         return (F.least(n, n2) >= s * F.greatest(n, n2) - EPS) & (F.least(n - at, n2 - at2) >= s / (1 + s) * (n + n2) - EPS)
 
     now, before = nodes.blocks.withColumn("component", F.col("node")), math.inf
+    if met is not None:
+        joined(met)
+        now = nodes.blocks.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
     for turn in range(STARS):
         if now.isEmpty():
             return groups
@@ -356,12 +372,17 @@ def similar_components(nodes: Nodes) -> DataFrame:
     return groups
 
 
-def deduplicate_similar(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame:
-    """One row of each group of similar texts stays: that with the smallest id, then the smallest text hash."""
+def deduplicate_similar(
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, similarity: float = SIMILARITY, linked: tuple[DataFrame, DataFrame] | None = None
+) -> DataFrame:
+    """One row of each group of similar texts stays: that with the smallest id, then the smallest text hash.
+
+    linked: fingerprints (text_hash, fp) and their links (u, v). What they link is verified and joined first.
+    """
     scratch = Scratch(docs.sparkSession, "similar")
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(f"`{text_col}`").alias("text_hash"), F.col(f"`{text_col}`").alias("text"))
     nodes = Nodes(rows, scratch, width, similarity)
-    groups = similar_components(nodes)
+    groups = similar_components(nodes, fingerprint_pairs(nodes, *linked) if linked else None)
     grouped = nodes.rows.select("id", "text_hash", "node").join(groups, "node", "left").select("id", "text_hash", F.coalesce("component", "node").alias("component"))
     return one_of_each(docs, grouped, scratch, id_col=id_col, text_col=text_col)
 

@@ -175,11 +175,16 @@ def deduplicate(
 ) -> DataFrame:
     """One row of each group stays: that with the smallest id, of rows with that id the one with the smallest text hash.
 
-    Groups are those of the 64-bit fingerprints, or with `similarity` those of whole shingle sets (`nearjaccard`): at a
-    similarity of 0.8 fingerprints differ in about 10 of 64 bits, in which no part of useful width stays equal.
+    Groups are those of the 64-bit fingerprints. With `similarity` what fingerprints link is verified on whole shingle sets,
+    and the sets find what is left (`nearjaccard`): at a similarity of 0.8 fingerprints differ in about 10 of 64 bits, in
+    which no part of useful width stays equal.
     """
     if similarity is not None:
-        return deduplicate_similar(docs, id_col=id_col, text_col=text_col, width=width, similarity=similarity)
+        scratch = Scratch(docs.sparkSession, "simhash-links")
+        rows = docs.select(F.xxhash64(f"`{text_col}`").alias("text_hash"), F.col(f"`{text_col}`").alias("text"))
+        prints = scratch.write(with_fingerprint(rows, width=width, out="fp"), "fingerprints")
+        links = scratch.write(fingerprint_links(prints.select("fp").distinct(), scratch, parts=parts, crowd=crowd), "links")
+        return deduplicate_similar(docs, id_col=id_col, text_col=text_col, width=width, similarity=similarity, linked=(prints, links))
     scratch = Scratch(docs.sparkSession, "simhash-keep")
     grouped = _grouped(docs, id_col=id_col, text_col=text_col, width=width, parts=parts, crowd=crowd)
     return one_of_each(docs, grouped.select("id", "text_hash", "component"), scratch, id_col=id_col, text_col=text_col)

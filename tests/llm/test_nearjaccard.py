@@ -60,3 +60,19 @@ def test_stage_on_the_table(spark, sf):
     want = d.brute_force([(r.doc_id, r.text) for r in docs.collect()])
     kept = corpus_pipeline.drop_near_duplicates(spark, docs, sf)
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == sorted(set(want.values()))
+
+
+def test_fingerprints_link_before_blocks_do(spark, sf, monkeypatch):
+    made = d.Nodes.__init__
+
+    def without_blocks(self, *args):
+        made(self, *args)
+        self.blocks = self.blocks.limit(0)
+
+    monkeypatch.setattr(d.Nodes, "__init__", without_blocks)
+    rng = random.Random(4)
+    words = [f"w{rng.randrange(9000)}" for _ in range(3000)]
+    rows = [(2, " ".join(words)), (1, " ".join(words[1:])), (3, " ".join(words[:900])), (4, None)]
+    assert (simhash.fingerprint(rows[0][1], 5) ^ simhash.fingerprint(rows[1][1], 5)).bit_count() <= 2
+    kept = corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), sf)
+    assert sorted(r.doc_id for r in kept.collect()) == [1, 3, 4]
