@@ -185,5 +185,5 @@ def passage_walk(spark, sf_dir):
 
     names = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit(NAMED), F.lit(0)))
     turns = base.table(spark, sf_dir, "conversations").select(F.concat_ws(":", "conv_id", "turn").alias("item_id"), names("text").alias("entities"))
-    seeds = base.asked(spark, sf_dir).select("q", F.explode(names("question")).alias("e")).select("q", graph.entity("e").alias("node"), F.lit(1.0).alias("w"))
-    return graph.passages_of(graph.pagerank(graph.passage_edges(turns), seeds, tolerance=None, rounds=WALK), 10, digits=6)
+    seeds = base.asked(spark, sf_dir).select("q", F.explode(names("question")).alias("entity"), F.lit(1.0).alias("w"))
+    return graph.walked_passages(turns, seeds, WALK, 10, digits=6)
