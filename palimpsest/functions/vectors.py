@@ -17,9 +17,15 @@ def norm(a: Column) -> Column:
 
 
 def normalized(a: Column) -> Column:
-    """Unit length; a zero vector stays as it is."""
-    n = norm(a)
-    return F.when(n > 0, F.transform(a, lambda x: x / n)).otherwise(F.transform(a, lambda x: x.cast("double")))
+    """Unit length; a zero vector stays as it is. Vector and norm are lambda variables, or each component would make them again."""
+
+    def divided(v: Column, n: Column) -> Column:
+        return F.when(n > 0, F.transform(v, lambda x: x / n)).otherwise(F.transform(v, lambda x: x.cast("double")))
+
+    def unit(v: Column) -> Column:
+        return F.transform(F.array(norm(v)), lambda n: divided(v, n))[0]
+
+    return F.transform(F.array(a), unit)[0]
 
 
 def cosine(a: Column, b: Column) -> Column:

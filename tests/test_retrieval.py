@@ -5,6 +5,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from palimpsest.functions import vectors as vx
 from palimpsest.operators import channels, evaluate, fusion
 from palimpsest.operators import query as ask
 from palimpsest.plans import base
@@ -179,3 +180,9 @@ def test_products_are_made_in_bounded_blocks(spark, monkeypatch):
 
     rows = [r for b in channels._nearest(Shared, 3, 6)([batch]) for r in b.to_pylist()]
     assert max(made) <= 50 and sorted(r["item_id"] for r in rows if r["q"] == 4) == [17, 18, 19] and len(rows) == 90
+
+
+def test_a_norm_is_computed_once(spark):
+    rows = spark.createDataFrame([(1, [3.0, 4.0]), (2, [0.0, 0.0]), (3, None)], "i int, v array<float>").select("i", vx.normalized(F.col("v")).alias("v"))
+    assert rows._jdf.queryExecution().analyzed().toString().lower().count("sqrt") == 1
+    assert [r.v for r in rows.orderBy("i").collect()] == [[0.6, 0.8], [0.0, 0.0], None]
