@@ -182,6 +182,27 @@ def test_products_are_made_in_bounded_blocks(spark, monkeypatch):
     assert max(made) <= 50 and sorted(r["item_id"] for r in rows if r["q"] == 4) == [17, 18, 19] and len(rows) == 90
 
 
+def test_a_task_leaves_the_best_of_all_its_batches():
+    class Shared:
+        value = ([7, 8], np.array([[1.0, 0.0], [0.0, 1.0]]))
+
+    def batch(ids, vectors):
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(vectors, pa.list_(pa.float64()))], ["item_id", "vector"])
+
+    equal = [batch(range(at, at - 10, -1), [[0.5, 0.25]] * 10) for at in (39, 29, 19, 9)]  # 40 equal vectors
+    better = [batch([50, 51], [[0.75, 0.0], [float("nan"), 0.5]])]
+    rows = [tuple(r.values()) for b in channels._nearest(Shared, 3, 6)([*equal, *better]) for r in b.to_pylist()]
+    assert len(rows) == 6 and {r[:2] for r in rows if r[0] == 8} >= {(8, 51), (8, 0)}
+    assert {r[:2] for r in rows if r[0] == 7} == {(7, 51), (7, 50), (7, 0)}  # NaN is the largest, as Spark and SQL have it
+    rng = np.random.default_rng(0)
+    scores = rng.integers(0, 4, (50, 30)) / 4
+    ids = rng.permutation(30)
+    for k in (1, 5, 30, 99):
+        got = channels._best(scores, ids, k)
+        for row, s, i in zip(scores, *got, strict=True):
+            assert sorted(zip(-s, i, strict=True)) == sorted(zip(-row, ids, strict=True))[:k]
+
+
 def test_a_norm_is_computed_once(spark):
     rows = spark.createDataFrame([(1, [3.0, 4.0]), (2, [0.0, 0.0]), (3, None)], "i int, v array<float>").select("i", vx.normalized(F.col("v")).alias("v"))
     assert rows._jdf.queryExecution().analyzed().toString().lower().count("sqrt") == 1
