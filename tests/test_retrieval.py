@@ -1,4 +1,5 @@
 import random
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -207,3 +208,13 @@ def test_a_norm_is_computed_once(spark):
     rows = spark.createDataFrame([(1, [3.0, 4.0]), (2, [0.0, 0.0]), (3, None)], "i int, v array<float>").select("i", vx.normalized(F.col("v")).alias("v"))
     assert rows._jdf.queryExecution().analyzed().toString().lower().count("sqrt") == 1
     assert [r.v for r in rows.orderBy("i").collect()] == [[0.6, 0.8], [0.0, 0.0], None]
+
+
+def test_all_terms_are_summed_up_where_items_are_dealt(spark, monkeypatch):
+    items = spark.createDataFrame([(i, f"w{i % 7} w{i % 3} all") for i in range(40)], "item_id long, text string")
+    asked = spark.createDataFrame([(q, f"w{q} all") for q in range(5)], "q long, question string")
+    one = {tuple(r) for r in channels.bm25(items, asked, "okapi").collect()}
+    monkeypatch.setattr(channels, "SPREAD_BYTES", 0)
+    large = channels.bm25(items, asked, "okapi")
+    assert not re.search(r"hashpartitioning\(item_id#\d+L?, length", large._jdf.queryExecution().executedPlan().toString())
+    assert {tuple(r) for r in large.collect()} == one
