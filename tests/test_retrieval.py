@@ -147,6 +147,22 @@ def test_contained_texts_by_runs_of_words(spark):
     assert {tuple(r) for r in base.contained(rows, asked).collect()} == {(10, 1), (11, 3)}
 
 
+def test_contained_texts_stay_where_they_are(spark, monkeypatch):
+    rows = spark.createDataFrame([(1, "xx one two three four five six seven yy"), (2, "one two three four five seven six"), (3, "a tiny text"), (None, "no id")], "item_id long, text string")
+    asked = spark.createDataFrame([(10, "one two three four five six seven"), (11, "tiny"), (12, None)], "q long, question string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as with tables that Spark does not send by itself
+    try:
+        found = base.contained(rows, asked)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in plan and not re.search(r"Exchange hashpartitioning\((item_id|_key)#\d+L, \d+\), ENSURE", plan)
+        sent = {tuple(r) for r in found.collect()}
+        monkeypatch.setattr(base, "SENT_QUESTIONS", 2)
+        assert "SortMergeJoin" in base.contained(rows, asked)._jdf.queryExecution().executedPlan().toString()
+        assert {tuple(r) for r in base.contained(rows, asked).collect()} == sent == {(10, 1), (11, 3)}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_rerank_and_fallback(spark):
     first = spark.createDataFrame([(1, i, i) for i in range(1, 7)], "q long, item_id long, rank int")
     scores = spark.createDataFrame([(1, 1, 0.1), (1, 2, 0.9), (1, 3, 0.9), (1, 6, 5.0)], "q long, item_id long, score double")
