@@ -9,8 +9,8 @@ whatever the number of vectors, and sends as many back.
 Nearest entries are found by metric branch and bound. The entries of a part are a binary ball tree: a node has an
 integer centre and a radius that is rounded up; leaves hold at most `LEAF` entries. A batch of parts first descends
 to the leaf of the nearer centres, which gives each a distance to beat, then visits every ball that can hold an entry
-as near as that: the bound is non-strict and distances to centres are rounded down, so that an equally near entry
-of a lower index is never passed over. Entries in visited leaves are compared by their exact squared distances.
+as near as that: the bound is non-strict and distances to centres are rounded down, both by `SLACK` of their size, so that
+an equally near entry of a lower index is never passed over. Entries in visited leaves are compared by their exact squared distances.
 
 Arithmetic is exact: squared distances are computed in doubles while they stay below 2^53, else in 64-bit integers.
 
@@ -46,6 +46,8 @@ PARTS = 4
 ENTRIES = 256
 ROUNDS = 4
 LEAF = 16
+#: Roots of exact squares are wrong by less than this share of their size.
+SLACK = 1e-12
 #: Bytes of label sums that are sent to the tasks at most; beyond that Spark shuffles.
 SENT_BYTES = 32 << 20
 
@@ -83,7 +85,7 @@ class BallTree:
         ball = Ball(len(centres))
         centre = rows.sum(0) // len(rows)
         centres.append(centre)
-        radii.append(float(np.ceil(np.sqrt(squared(rows, centre[None]).astype(np.float64).max()))) + 1)
+        radii.append(float(np.sqrt(squared(rows, centre[None]).astype(np.float64).max())) * (1 + SLACK))
         widest = int(np.argmax(rows.max(0) - rows.min(0)))
         if len(members) <= self.leaf:
             ball.entries = members
@@ -98,8 +100,8 @@ class BallTree:
         n = len(points)
         best, found = np.full(n, np.iinfo(np.int64).max), np.zeros(n, np.int64)
         home = np.full(n, -1)
-        apart = np.floor(np.sqrt(squared(points, self.centres).astype(np.float64)))  # to the centre of each ball
-        least = apart - 1 - self.radii  # no entry of the ball is nearer
+        apart = np.sqrt(squared(points, self.centres).astype(np.float64))  # to the centre of each ball
+        least = apart * (1 - SLACK) - self.radii - SLACK * (apart + self.radii)  # no entry of the ball is nearer
         compared = 0
 
         def leaf(ball: Ball, rows: np.ndarray) -> None:
@@ -122,7 +124,7 @@ class BallTree:
             descend(ball.right, rows[right])
 
         def visit(ball: Ball, rows: np.ndarray) -> None:
-            rows = rows[least[rows, ball.node] <= np.ceil(np.sqrt(best[rows].astype(np.float64))) + 1]
+            rows = rows[least[rows, ball.node] <= np.sqrt(best[rows].astype(np.float64)) * (1 + SLACK)]
             if ball.entries is not None:
                 rows = rows[home[rows] != ball.node]  # the others have been there
                 if len(rows):
