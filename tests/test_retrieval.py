@@ -163,6 +163,12 @@ def test_contained_texts_stay_where_they_are(spark, monkeypatch):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+def test_gold_is_found_once(spark, sf):
+    found = base.gold(spark, sf)
+    assert "Generate" not in found._jdf.queryExecution().executedPlan().toString()
+    assert {tuple(r) for r in found.collect()} == {tuple(r) for r in base.contained(base.items(spark, sf), base.asked(spark, sf)).collect()}
+
+
 def test_rerank_and_fallback(spark):
     first = spark.createDataFrame([(1, i, i) for i in range(1, 7)], "q long, item_id long, rank int")
     scores = spark.createDataFrame([(1, 1, 0.1), (1, 2, 0.9), (1, 3, 0.9), (1, 6, 5.0)], "q long, item_id long, score double")
