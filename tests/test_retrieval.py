@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from palimpsest.functions import vectors as vx
 from palimpsest.operators import channels, evaluate, fusion
 from palimpsest.operators import query as ask
-from palimpsest.plans import base
+from palimpsest.plans import base, retrieval
 
 GAZETTEER = ["Porto", "Lisbon", "Tokyo", "Cambridge"]
 ITEMS = [
@@ -123,6 +123,28 @@ def test_dense_in_blocks(spark):
     assert channels.dense(df, asked.limit(0), 5).count() == 0
 
 
+@pytest.mark.parametrize("batch", (7, 10000))
+def test_own_items_take_no_place_however_often_they_come(spark, tmp_path, batch):
+    """Thirteen rows of each id in one task, two of them with other vectors, and a row without an id: all of the ten best others are there."""
+    rng = np.random.default_rng(5)
+    v = rng.normal(size=(45, 8))
+    v = (v / np.linalg.norm(v, axis=1)[:, None]).astype(np.float32)  # an item is nearest to itself
+    rows = [(i, (v[i] if c else -v[i]).tolist()) for c in range(12) for i in range(45)] + [(i, (v[i] * 1.01).tolist()) for i in range(45)] + [(None, v[0].tolist())]
+    ids, matrix = [i for i, _ in rows], np.array([x for _, x in rows], np.float64)
+    spark.createDataFrame([(i, x, 0) for i, x in rows], "vec_id long, embedding array<float>, label int").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    want = set()
+    for q in (0, 20, 40):
+        pairs = [(float(np.round(matrix[a] @ matrix[b], 6)) + 0.0, ids[b]) for a in range(len(ids)) if ids[a] == q for b in range(len(ids)) if ids[b] not in (q, None)]
+        want |= {(q, i, s, rank) for rank, (s, i) in enumerate(sorted(pairs, key=lambda p: (-p[0], p[1]))[:10], 1)}
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        got = retrieval.dense_topk_exclude_self(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert len(got) == 30 and {tuple(r) for r in got} == want
+
+
 def test_recall_rises_and_ignores_repeats(spark):
     gold = spark.createDataFrame([(1, 5), (1, 6), (1, 5), (2, 9)], "q long, item_id long")
     ranked = evaluate.deduplicated(spark.createDataFrame([(1, 5, 1), (1, 5, 2), (1, 7, 3), (1, 6, 4)], "q long, item_id long, rank int"))
