@@ -145,6 +145,19 @@ def test_own_items_take_no_place_however_often_they_come(spark, tmp_path, batch)
     assert len(got) == 30 and {tuple(r) for r in got} == want
 
 
+def test_searches_compare_all_rows_with_every_twentieth(spark, tmp_path):
+    """The questions are all ids divisible by 20; the items are all rows, in whatever file."""
+    v = np.random.default_rng(6).normal(size=(700, 3)).astype(np.float32)
+    spark.createDataFrame([(i, x.tolist(), 0) for i, x in enumerate(v)], "vec_id long, embedding array<float>, label int").repartition(7).write.parquet(f"{tmp_path}/embeddings.parquet")
+    v = v.astype(np.float64)
+    both = np.concatenate((v, v * v), axis=1)
+    both /= np.linalg.norm(both, axis=1)[:, None]
+    for run, matrix, own in ((retrieval.dense_topk_exclude_self, v, False), (retrieval.dual_embedding_topk, both, True)):
+        want = {(q, i) for q in range(0, 700, 20) for i in sorted((i for i in range(700) if own or i != q), key=lambda i: (-np.round(matrix[q] @ matrix[i], 6), i))[:10]}
+        got = {(r.q, r.item_id) for r in run(spark, str(tmp_path)).collect()}
+        assert got == want and {i for _, i in got if i % 20}
+
+
 def test_recall_rises_and_ignores_repeats(spark):
     gold = spark.createDataFrame([(1, 5), (1, 6), (1, 5), (2, 9)], "q long, item_id long")
     ranked = evaluate.deduplicated(spark.createDataFrame([(1, 5, 1), (1, 5, 2), (1, 7, 3), (1, 6, 4)], "q long, item_id long, rank int"))
